@@ -41,7 +41,7 @@ def strict_cast(value: Column, to: str) -> Column:
     if to in INTEGERS:
         low, high = INTEGERS[to]
         whole = F.when(kind.isin("integer", "string") | ((kind == "number") & text.rlike(r"^-?\d+$")), F.when(text.rlike(r"^[+-]?\d{1,20}$"), _try(text, "decimal(20,0)"))).when(kind == "boolean", (text == "true").cast("decimal(20,0)"))
-        kept = F.when(whole.between(F.lit(low).cast("decimal(20,0)"), F.lit(high).cast("decimal(20,0)")), whole)
+        kept = F.when(whole.between(F.lit(str(low)).cast("decimal(20,0)"), F.lit(str(high)).cast("decimal(20,0)")), whole)
         return kept if to == "u64" else kept.cast({"i32": "int"}.get(to, "bigint"))
     if to in ("f32", "f64"):
         number = F.when(kind == "boolean", (text == "true").cast("int").cast("double")).when(kind.isin("integer", "number", "string"), _try(text, "double"))
@@ -80,10 +80,14 @@ def clean_name(name: Column, group: Column | None = None, purity: Column | None
     return F.concat_ws(" ", group, F.trim(F.regexp_replace(s, r"\s+", " ")), purity) if group is not None or purity is not None else F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def nfkc(texts: pd.Series) -> pd.Series:
+def nfkc(text: Column) -> Column:
     """Unicode compatibility composition, which Spark has no function for."""
-    return texts.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(text)
 
 
 def repaired(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import candle_queries, price_queries, source_queries  # noqa: F401
+from . import candle_queries, function_queries, price_queries, source_queries, stream_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

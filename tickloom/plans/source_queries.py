@@ -21,7 +21,7 @@ from .registry import query
 def column_document(candles: DataFrame, wrap: str) -> DataFrame:
     """symbol, payload: one document of six lists for each series."""
     x = F.array_sort(F.collect_list(F.struct("t", "o", "h", "l", "c", "v")))
-    lists = F.to_json(F.struct(*(F.transform("x", lambda r, c=c: r[c]).alias(c) for c in "tohlcv")))
+    lists = F.to_json(F.struct(*(F.col("x")[c].alias(c) for c in "tohlcv")))
     return candles.groupBy("symbol").agg(x.alias("x")).select("symbol", F.format_string(wrap, lists).alias("payload"))
 
 
@@ -93,11 +93,10 @@ def src_bank_rate_json(spark, d):
     return pages.bank_rates(s.select(body.alias("payload")))
 
 
-@query("SELECT o_orderkey AS id, n_name AS code, CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) AS sell, CAST(CAST(floor(o_totalprice / 2) AS BIGINT) AS VARCHAR) AS cash FROM orders JOIN nation ON n_nationkey = o_custkey % 25")
+@query("SELECT o_orderkey AS id, n_name AS code, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS sell, CAST(CAST(floor(o_totalprice / 2) AS BIGINT) AS VARCHAR) AS cash FROM orders JOIN nation ON n_nationkey = o_custkey % 25")
 def src_fx_json(spark, d):
     o = views.table(spark, d, "orders").withColumn("n_nationkey", (F.col("o_custkey") % 25).cast("int")).join(views.table(spark, d, "nation"), "n_nationkey")
-    # DuckDB rounds casts to integers
-    sell, cash = F.round("o_totalprice").cast("long"), F.floor(F.col("o_totalprice") / 2)
+    sell, cash = F.floor("o_totalprice"), F.floor(F.col("o_totalprice") / 2)
     body = F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("currencyCode"), sell.cast("string").alias("sell"), cash.cast("string").alias("cash"))).alias("Data")))
     return pages.fx_rates(o.select(F.col("o_orderkey").alias("id"), body.alias("payload")))
 

@@ -43,7 +43,7 @@ def read_page(rows: DataFrame, schema: Sequence[tuple[str, str]], after: int, li
     key = schema[0][0]
     page = rows.where(F.col(key) > after).orderBy(key).limit(limit)
     item = F.array_sort(F.collect_list(F.struct(*(n for n, _ in schema))))
-    return page.agg(item.alias("x")).select(*(F.transform("x", lambda r, n=n: r[n]).alias(n) for n, _ in schema))
+    return page.agg(item.alias("x")).select(*(F.col("x")[n].alias(n) for n, _ in schema))  # a field of an array of structs is an array
 
 
 def write_monthly(rows: DataFrame, path: str, at: str = "created_at", mode: str = "append") -> None:
