@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint_folder, settled
+
+__all__ = ["WORD", "checkpoint_folder", "connected_components", "n_words", "settled", "table"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,21 +18,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`, which all executors share; a temporary folder only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder and read from there, so that lost executors cost no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of `edges` (a long, b long); component is the smallest node reachable.
 

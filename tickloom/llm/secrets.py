@@ -143,7 +143,7 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Data
     Spans of a document are gathered by its id; documents that share an id share their text's findings only where the
     span's text agrees.
     """
-    spans = findings.where("is_secret and doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    spans = findings.where("is_secret").groupBy(F.col("doc_id").alias("__id"))
     spans = spans.agg(F.array_sort(F.collect_set(F.struct("start", "end", "candidate"))).alias("__spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
@@ -156,7 +156,7 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Data
 
     rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"]))
     clean = F.when(F.col("__spans").isNull() | text.isNull(), text).otherwise(F.aggregate("__spans", start, step, rest))
-    out = docs.join(spans, F.col("doc_id") == F.col("__id"), "left").withColumn("text", clean)
+    out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
         changed = F.col("__spans").isNotNull() & text.isNotNull()
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
