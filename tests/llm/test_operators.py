@@ -318,6 +318,14 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_frames_around_the_article(spark):
+    """Names of furniture on a frame around the article don't hide it; an article among comments is a comment."""
+    page = '<body class="has-sidebar nav-open"><div class="layout with-menu"><article class="post">Main <span class="ad">buy</span>text<section class="comments"><article>No</article></section></article></div><div class="related"><article>Other</article></div><section id="comments"><article class="comment">Nay</article></section></body>'
+    plain = '<body class="no-sidebar"><div class="menu">Menu</div><div>Text</div><div style="display: none">gone</div></body>'
+    df = spark.createDataFrame([(1, "https://a.example/", page), (2, "https://b.example/", plain)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {1: "Main text", 2: "Text"}
+
+
 def test_html_of_copies_and_long_pages(spark):
     """Pages that are copies of one another keep their text; long pages are read to the end."""
     same = "<article><h1>A</h1><p>b</p></article>"
@@ -378,12 +386,25 @@ def test_substrings_against_brute_force(spark, small):
         run = []
         for a, b, w, x in [*substrings.units(t), (0, 0, 0, "")]:
             if x and first[x, w] < (i, a):
-                run.append((a, b, w))
+                run.append((a, b, w, first[x, w][0]))
             else:
-                if sum(r[2] for r in run) >= 20:
-                    want.add((i, run[0][0], run[-1][1], sum(r[2] for r in run)))
+                n = {k: sum(r[2] for r in run if r[3] == k) for k in {r[3] for r in run}}
+                if n and max(n.values()) >= 20:
+                    want.add((i, run[0][0], run[-1][1], sum(r[2] for r in run), min(n, key=lambda k: (-n[k], k))))
                 run = []
-    assert {(r.doc_id, r.start, r.end, r.n_words) for r in substrings.repeated_spans(docs).collect()} == want
+    assert {(r.doc_id, r.start, r.end, r.n_words, r.kept_in) for r in substrings.repeated_spans(docs).collect()} == want
+
+
+def test_passages_within_lines_are_found(spark):
+    """Passages of over 50 words in the middle of other lines."""
+    rows = []
+    for k in range(40):
+        passage = " ".join(w + "." * (n % 11 == 7) for n, w in enumerate(words(900 + k, 55 + k)))
+        for copy in range(2):
+            rows.append((2 * k + copy, " ".join([*words(5000 + 2 * k + copy, 80), passage, *words(7000 + 2 * k + copy, 80)])))
+    rows += [(500 + k, " ".join(words(9000 + k, 200))) for k in range(100)]
+    got = {(r.doc_id, r.kept_in) for r in substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(2 * k + 1, 2 * k) for k in range(40)} and len(got) >= 36
 
 
 def test_html_pages_against_the_markup(spark, small):

@@ -1,9 +1,11 @@
-"""Substring dedup by hashing lines and their sentences."""
+"""Substring dedup by hashing lines and their parts."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -12,57 +14,102 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-#: A unit ends with a line, or with a sentence: its mark, what else is no letter, then white space.
-_END = re.compile(r"\n|[.!?][^\w\s]*(?=\s)")
+_TOKEN = re.compile(r"\n|\S+")
+#: A sentence ends with a word that ends with its mark and what else is no letter.
+_END = re.compile(r"(?:[.?]|(?<!!)!(?!!))[^\w\s]*$")
+#: One word in CUT, by its hash, ends a unit as well, and a unit has LONGEST words at most.
+CUT, LONGEST = 16, 48
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, words, normalised text) of the units of a text in order: case and white space don't matter, blank units don't count."""
-    at = 0
-    for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        own = text[at:end]
-        if words := own.lower().split():
-            yield at + len(own) - len(own.lstrip()), at + len(own.rstrip()), len(words), " ".join(words)
-        at = end
+def _ends() -> Callable[[str], bool]:
+    """Whether a word ends a unit; answers are kept for up to half a million words."""
+    known: dict[str, bool] = {}
+
+    def ends(word: str) -> bool:
+        said = known.get(word)
+        if said is None:
+            if len(known) > 500_000:
+                known.clear()
+            said = known[word] = bool(_END.search(word)) or zlib.crc32(word.lower().encode("utf-8", "replace")) % CUT == 0
+        return said
+
+    return ends
+
+
+def units(text: str, ends: Callable[[str], bool] | None = None) -> Iterator[tuple[int, int, int, str]]:
+    """(start, end, words, normalised text) of the units of a text in order: case and white space don't matter.
+
+    A unit is a line, cut after each sentence and after the words that their hashes choose. Where a passage stands
+    in the middle of a line, all but its first and last unit are therefore cut alike.
+    """
+    ends = ends or _ends()
+    own: list[str] = []
+    start = end = 0
+    for m in _TOKEN.finditer(text):
+        word = m[0]
+        if word != "\n":
+            if not own:
+                start = m.start()
+            own.append(word.lower())
+            end = m.end()
+            if not ends(word) and len(own) < LONGEST:
+                continue
+        if own:
+            yield start, end, len(own), " ".join(own)
+            own = []
+    if own:
+        yield start, end, len(own), " ".join(own)
 
 
 def with_units(docs: DataFrame) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text): doc_id and arrays digest, start, end, words of its units."""
+    """One row for each row of `docs` (doc_id, text): doc_id and arrays digest, start, end, words, times of its units.
+
+    times is how often a unit occurs in the text at its first occurrence there, 0 at later ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = _ends()
         for batch in batches:
-            rows: list = [[], [], [], []]
+            rows: list = [[], [], [], [], []]
             for text in batch.column(1):
-                own = [(xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63), a, b, w) for a, b, w, x in units(text.as_py() or "")]
-                for to, x in zip(rows, zip(*own) if own else ((), (), (), ())):
+                own = [(xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63), a, b, w) for a, b, w, x in units(text.as_py() or "", ends)]
+                left = Counter(x[0] for x in own)
+                own = [(*x, left.pop(x[0], 0)) for x in own]
+                for to, x in zip(rows, zip(*own) if own else ((),) * 5):
                     to.append(list(x))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.record_batch([batch.column(0), *(pa.array(r, pa.list_(k)) for r, k in zip(rows, kinds))], names=["doc_id", "digest", "start", "end", "words"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.record_batch([batch.column(0), *(pa.array(r, pa.list_(k)) for r, k in zip(rows, kinds))], names=["doc_id", "digest", "start", "end", "words", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest array<long>, start array<int>, end array<int>, words array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest array<long>, start array<int>, end array<int>, words array<int>, times array<int>")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """Spans of `docs` (doc_id, text) to remove: doc_id, start, end (characters of the original text), n_words, kept_in.
 
     The occurrence of a unit that is first in order of doc_id (null last) and position stays; every other one is repeated.
-    Repeated units that follow on one another form a span; a span of fewer than `min_words` words stays, as short
-    sentences meet by chance. kept_in is the doc_id that keeps the span's first unit. Rows that share a doc_id count as
-    one document's, whose equal units at equal positions are one. Null, empty and blank texts have no units.
+    Repeated units that follow on one another form a span. A span stays unless `min_words` words of it have their first
+    occurrence in one document, kept_in (the largest such; of equals the smallest id), as short units also meet by chance.
+    Rows that share a doc_id count as one document. Null, empty and blank texts have no units.
+
+    A unit goes to the count once for each document, with its number there; the digests that occur twice or more are
+    written before all units meet them, so that adaptive execution can split the join where one digest has most of them.
     """
     rows = settled(with_units(docs))
-    each = rows.select("doc_id", F.posexplode(F.arrays_zip("digest", "start", "end", "words")).alias("pos", "u"))
-    each = each.select("doc_id", "pos", "u.digest", "u.start", "u.end", "u.words")
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("start").alias("at"))
-    first = each.groupBy("digest", "words").agg(F.min(rank).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    again = each.join(first, ["digest", "words"]).where(rank > F.col("first"))
-    again = again.select("doc_id", "pos", "start", "end", "words", F.col("first.id").alias("kept_in")).repartition("doc_id")
+    each = rows.select("doc_id", F.posexplode(F.arrays_zip("digest", "start", "end", "words", "times")).alias("pos", "u"))
+    each = each.select("doc_id", "pos", "u.digest", "u.start", "u.end", "u.words", "u.times")
+    first = each.where("times > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.sum("times").alias("times"))
+    first = settled(first.where("times > 1").select("digest", "first"))
+    later = F.coalesce(F.col("doc_id") > F.col("first"), F.col("doc_id").isNull() & F.col("first").isNotNull())
+    again = each.join(first, "digest").where((F.col("times") == 0) | later)
+    again = again.select("doc_id", "pos", "start", "end", "words", F.col("first").alias("kept_in")).repartition("doc_id")
     again = again.dropDuplicates(["doc_id", "pos", "start"])
     island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    runs = again.withColumn("run", island).groupBy("doc_id", "run")
-    runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min_by("kept_in", "pos").alias("kept_in"))
-    return runs.where(F.col("n_words") >= min_words).drop("run")
+    parts = again.withColumn("run", island).groupBy("doc_id", "run", "kept_in")
+    parts = parts.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n"))
+    most = F.min_by("kept_in", F.struct(-F.col("n"), F.col("kept_in"))).alias("kept_in")
+    runs = parts.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.max("n").alias("most"), most)
+    return runs.where(F.col("most") >= min_words).drop("run", "most")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
