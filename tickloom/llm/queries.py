@@ -62,7 +62,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    vectors_sql = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+            n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS r FROM v
+                WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0)"""
     return {
+        "op1_embedding_dedup": f"""
+            WITH RECURSIVE {vectors_sql},
+            p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.r * b.r) >= 0.95),
+            c AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.node WHERE c.root < p.b),
+            m AS (SELECT node AS vec_id, min(root) AS component_id FROM c GROUP BY node)
+            SELECT vec_id, count(p.a) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN p ON p.a = vec_id GROUP BY vec_id, component_id""",
+        "op5_html_extraction": """
+            WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS h FROM pages),
+            b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '</?(?:p|h1|br|div|ul|li)(?:\\s[^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+            c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS text FROM b)
+            SELECT page_id, url, text, length(text) AS n_chars FROM c""",
+        "op6_nearest_neighbours": f"""
+            WITH {vectors_sql},
+            s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+            t AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+            SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20""",
         "op8_chat_format": """
             WITH t AS (
                 SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
