@@ -23,8 +23,16 @@ def _levels(candles: DataFrame, levels: int, keys: Keys) -> DataFrame:
     return rows.withColumns({"a": at("l"), "b": at("h")})
 
 
-def _empty_levels(levels: int):
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(levels - 1).cast("long"))).alias("level")
+def _filled(sums: DataFrame, group: Sequence[str], levels: int) -> DataFrame:
+    """`sums` (group, level, v) with a row for each level of each group, 0 where there was none.
+
+    A group's levels, a few hundred at most, meet in a map; that needs no join, and no exchange where the rows are
+    already dealt by a part of the group.
+    """
+    by_level = F.map_from_entries(F.collect_list(F.struct("level", "v"))).alias("of")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(levels - 1).cast("long"))).alias("level")
+    rows = sums.groupBy(*group).agg(by_level).select(*group, "of", every)
+    return rows.withColumn("volume", F.round(F.coalesce(F.try_element_at("of", F.col("level")), F.lit(0.0)), 6)).drop("of")
 
 
 def volume_profile(candles: DataFrame, levels: int = 10, keys: Keys = ("symbol",)) -> DataFrame:
@@ -33,17 +41,17 @@ def volume_profile(candles: DataFrame, levels: int = 10, keys: Keys = ("symbol",
     Levels cut the series' whole price range evenly; price is a level's lower edge. Levels without volume are there with 0.
     """
     rows = _levels(candles, levels, keys)
-    each = rows.select(*keys, F.explode(F.sequence("a", "b")).alias("level"), (F.col("v") / (F.col("b") - F.col("a") + 1)).alias("v"))
-    filled = each.groupBy(*keys, "level").agg(F.sum("v").alias("v"))
-    edges = rows.select(*keys, "low", "bin").distinct().select(*keys, "low", "bin", _empty_levels(levels))
-    return edges.join(filled, [*keys, "level"], "left").select(*keys, "level", F.round(F.col("low") + F.col("level") * F.col("bin"), 6).alias("price"), F.round(F.coalesce("v", F.lit(0.0)), 6).alias("volume"))
+    each = rows.select(*keys, "low", "bin", F.explode(F.sequence("a", "b")).alias("level"), (F.col("v") / (F.col("b") - F.col("a") + 1)).alias("v"))
+    sums = each.groupBy(*keys, "low", "bin", "level").agg(F.sum("v").alias("v"))
+    price = F.round(F.col("low") + F.col("level") * F.col("bin"), 6)
+    return _filled(sums, [*keys, "low", "bin"], levels).select(*keys, "level", price.alias("price"), "volume")
 
 
 def heatmap(candles: DataFrame, levels: int = 10, hours: int = 24, overlap: int = 0, keys: Keys = ("symbol",)) -> DataFrame:
     """keys, window, level, volume: profiles of windows of `overlap` pins, a step of one apart; 0 is one window of all.
 
     A pin is a span of `hours` with bars in it. Series with fewer pins than `overlap` are left out. Bars are summed by pin
-    and level before they are repeated for the windows.
+    and level before they are repeated for the windows; every window has a pin, so none is without rows.
     """
     if hours < 1 or overlap < 0:
         raise ValueError("hours must be 1 or more and overlap not negative")
@@ -55,11 +63,9 @@ def heatmap(candles: DataFrame, levels: int = 10, hours: int = 24, overlap: int
     width = overlap or 1
     sums = sums.withColumn("pins", F.max("p").over(Window.partitionBy(*keys)) + 1).where(F.col("pins") >= width)
     first, last = F.greatest(F.col("p") - (width - 1), F.lit(0)), F.least(F.col("p"), F.col("pins") - width)
-    sums = sums.select(*keys, F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("window"), "level", "v", "pins")
-    filled = sums.groupBy(*keys, "window", "level").agg(F.sum("v").alias("v"))
-    frame = sums.groupBy(*keys).agg(F.first("pins").alias("pins")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("pins").cast("long") - width)).alias("window"))
-    frame = frame.select(*keys, "window", _empty_levels(levels))
-    return frame.join(filled, [*keys, "window", "level"], "left").select(*keys, "window", "level", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("volume"))
+    windows = sums.select(*keys, F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("window"), "level", "v")
+    windows = windows.groupBy(*keys, "window", "level").agg(F.sum("v").alias("v"))
+    return _filled(windows, [*keys, "window"], levels)
 
 
 def level_totals(heat: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
