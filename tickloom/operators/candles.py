@@ -12,12 +12,17 @@ WEEK = 7 * 86400
 Keys = Sequence[str]
 
 
+def order_of(columns: Keys) -> Column:
+    """What ranks rows in max_by and min_by: one column as it is, which aggregates by hash; several as a struct, which takes a sort."""
+    return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+
+
 def tick_bars(ticks: DataFrame, period: int, keys: Keys = ("symbol",), order: Keys = ("timestamp",)) -> DataFrame:
     """Bars of `period` seconds from ticks (keys, timestamp in ms, price, quantity): keys, t, o, h, l, c, v, last_qty.
 
     `order` must rank the ticks of a bar; v sums the quantities, last_qty is the last tick's.
     """
-    at = F.struct(*order)
+    at = order_of(order)
     t = (F.floor(F.floor(F.col("timestamp") / 1000) / period) * period).alias("t")
     return ticks.groupBy(*keys, t).agg(
         F.min_by("price", at).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", at).alias("c"),

@@ -14,11 +14,18 @@ from .registry import query
 FILES = 4
 
 
+def in_order(rows: DataFrame, by: str, write) -> None:
+    """Writes `rows` in FILES files by ranges of `by`, one after the other: a stream reads files by the time they were written."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    part = F.least(F.floor((F.col(by) - low) * FILES / max(high - low, 1)), F.lit(FILES - 1))
+    for k in range(FILES):
+        write(rows.where(part == k).coalesce(1).sortWithinPartitions(by).write.mode("append"))
+
+
 def landed(spark, d) -> str:
-    """Ticks as files of JSON lines, in order of time: a range of times a file."""
+    """Ticks as files of JSON lines, in order of time."""
     path = scratch(spark, "ticks")
-    rows = views.ticks(spark, d).select("broker", "symbol", "price", "quantity", "timestamp")
-    rows.repartitionByRange(FILES, "timestamp").sortWithinPartitions("timestamp").write.json(path)
+    in_order(views.ticks(spark, d).select("broker", "symbol", "price", "quantity", "timestamp"), "timestamp", lambda w: w.json(path))
     return path
 
 
@@ -144,10 +151,7 @@ def st_fan_out(spark, d):
 def st_price_ingest(spark, d):
     path, base = scratch(spark, "prices"), scratch(spark, "ingest")
     rows = views.price_history(spark, d).select("product_id", "buy", "sell", "ts", "id")
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    part = F.least(F.floor((F.col("ts") - low) * FILES / max(high - low, 1)), F.lit(FILES - 1))
-    for k in range(FILES):  # one after the other: a stream reads files by the time they were written
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    in_order(rows, "ts", lambda w: w.parquet(path))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(path)
     batches(stream, "ingest", live.price_ingest(f"{base}/current", f"{base}/history"))
     versions = spark.read.parquet(f"{base}/current")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.scalars import strict_cast
+from ..operators.candles import order_of
 from ..operators.prices import ingest
 from ..sources.json_path import parse
 
@@ -55,7 +56,7 @@ def live_bars(ticks: DataFrame, period: int, late: str = "1 minute") -> DataFram
     """broker, symbol, t, o, h, l, c, v, last_qty of ticks (TICK). On a stream ticks later than `late` are dropped."""
     rows = ticks.withColumn("ts", F.timestamp_millis("timestamp"))
     rows = rows.withWatermark("ts", late) if ticks.isStreaming else rows
-    at = F.struct("timestamp", *(c for c in ("event_id",) if c in ticks.columns))
+    at = order_of([c for c in ("timestamp", "event_id") if c in ticks.columns])
     g = rows.groupBy("broker", "symbol", F.window("ts", f"{period} seconds").alias("w")).agg(
         F.min_by("price", at).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", at).alias("c"),
         F.round(F.sum("quantity"), 6).alias("v"), F.max_by("quantity", at).alias("last_qty"),
@@ -65,7 +66,7 @@ def live_bars(ticks: DataFrame, period: int, late: str = "1 minute") -> DataFram
 
 def last_prices(ticks: DataFrame) -> DataFrame:
     """broker, symbol, price, quantity, timestamp of the latest tick of each; for update mode on a stream."""
-    order = F.struct("timestamp", *(c for c in ("event_id",) if c in ticks.columns))
+    order = order_of([c for c in ("timestamp", "event_id") if c in ticks.columns])
     g = ticks.groupBy("broker", "symbol").agg(F.max_by(F.struct("price", "quantity", "timestamp"), order).alias("x"))
     return g.select("broker", "symbol", "x.price", "x.quantity", "x.timestamp")
 
