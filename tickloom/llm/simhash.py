@@ -156,6 +156,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     # smallest doc_id of each component, then of each fingerprint
     joined = least.join(comps, least.fp == comps.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     joined = settled(joined)
-    lowest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    lowest = settled(joined.groupBy("component").agg(F.min("least").alias("component_id")))  # a plain side of the join, which can then be split
     of_fp = joined.join(lowest, "component").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
