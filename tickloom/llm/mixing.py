@@ -53,7 +53,8 @@ def _rounded(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
         left = put(pair[1], F.when(few, total).otherwise(total - 1), F.lit(0))
         return F.struct(F.concat(state["done"], F.array(done)).alias("done"), left.alias("left"))
 
-    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    largest_first = F.sort_array(F.collect_list(item), asc=False)  # so that what is left at last is small
+    got = rows.groupBy(*keys).agg(largest_first.alias("items"))
     start = F.struct(F.slice("items", 1, 0).alias("done"), F.element_at("items", 1).alias("left"))
     folded = F.aggregate(F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))), start, step)
     return got.select(*keys, folded.alias("f")).select(*keys, "f.done", "f.left")
