@@ -73,15 +73,14 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, missed: floa
 
     Vectors link whose cosine is `threshold` or more, computed in double precision. Candidates come from collision
     counting: every vector has PROJECTIONS one-dimensional Gaussian projections; two collide in one where each lies in the
-    window centred at the other; pairs with at least the calibrated count are verified. Runs sorted by
-    the first projection are searched, twice as wide,
-    within cells: a table's cell holds the vectors on the same side of the medians of some further projections, a cell
-    is sorted by the first projection, and as many tables are searched as leave out only `missed` of pairs at the
-    threshold. A pair is counted in the first table in which both share a cell.
+    window centred at the other; pairs with at least the calibrated count are verified. Windows are searched in cells: a
+    table's cell holds the vectors on the same side of the medians of some further projections, sorted by the first
+    projection, in which a window of twice the width is looked through. As many tables are searched as leave out only
+    `missed` of pairs at the threshold, and a pair is counted in the first table in which both share a cell.
 
     Copies are taken together first. Vectors that aren't usable() link with nothing and are kept. Rows with a null vec_id
-    are left out; of rows that share a vec_id the vector with the smallest digest counts. A vector's length must be one
-    for all; vectors of other lengths than the commonest of the first rows never share a cell, as lengths are part of it.
+    are left out; of rows that share a vec_id the vector with the smallest digest counts. Vectors of different lengths
+    share no cell and don't link.
     """
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null")
     members, reps = distinct_vectors(rows.where(usable(F.col("v"))))
@@ -151,11 +150,14 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, missed: floa
             p, q = np.nonzero(near & (count >= need))
             p, q = p + at, q + at
             good = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
-            left.append(p[good]), right.append(q[good])
-        p, q = np.concatenate(left), np.concatenate(right)
-        if len(p):
+            p, q = p[good], q[good]
             np.add.at(links, p, copies[q])
             np.add.at(links, q, copies[p])
+            root = local_components(n, p, q)  # of a block's pairs only what connects is kept
+            moved = np.flatnonzero(root != np.arange(n))
+            left.append(moved), right.append(root[moved])
+        p, q = np.concatenate(left), np.concatenate(right)
+        if len(p):
             order = np.argsort(rep, kind="stable")  # so that the smallest position has the smallest rep
             where = np.empty(n, np.int64)
             where[order] = np.arange(n)
