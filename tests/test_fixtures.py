@@ -289,3 +289,17 @@ def test_results_do_not_depend_on_partitions(spark, six):
     for f in (lambda c: profile.heatmap(c, 10, 24, 2), lambda c: indicators.macd(c, 1, 2, 2), lambda c: patterns.swings(c, 1)):
         a, b = (sorted(map(str, f(c).collect())) for c in (six, six.orderBy(F.desc("t")).repartition(5)))
         assert a == b
+
+
+def test_series_across_batches(spark):
+    """Series that end within a batch, or go on over several, are followed alike."""
+    rows = [(s, i * 60, float((i * 7 + len(s)) % 11)) for s in ("A", "BB", "CCC") for i in range(17)] + [(None, i, float(i)) for i in range(5)]
+    c = spark.createDataFrame(rows, "symbol string, t long, c double").coalesce(1)
+    whole = sorted(map(str, indicators.rsi(c, 2).collect())), sorted(map(str, indicators.ema_first(c, 3).collect()))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, 4)
+    try:
+        cut = sorted(map(str, indicators.rsi(c, 2).collect())), sorted(map(str, indicators.ema_first(c, 3).collect()))
+    finally:
+        spark.conf.unset(size)
+    assert whole == cut and len(whole[1]) == len(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -67,17 +67,35 @@ def recurrences(candles: DataFrame, columns: dict[str, Callable[[np.ndarray], np
     """keys, t and a column for each function of a series' closes, in one pass; rows where all are missing are left out.
 
     A recurrence follows a series from its start, so one task holds the closes of one series; keys spread over tasks.
+    Series come sorted, many to a batch, and are cut apart here: a call for each series would cost more than its work.
     """
     kinds = {f.name: f.dataType.simpleString() for f in candles.schema}
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("t", kind="stable")
-        made = {name: f(b["c"].to_numpy(np.float64)) for name, f in columns.items()}
-        out = pd.concat([b[[*keys, "t"]].reset_index(drop=True), pd.DataFrame(made)], axis=1)
+    def made(rows: pd.DataFrame) -> pd.DataFrame:
+        series = rows.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(series)) + 1, [len(rows)]))
+        closes = rows["c"].to_numpy(np.float64)
+        out = rows[[*keys, "t"]].copy()
+        for name, f in columns.items():
+            out[name] = np.concatenate([f(closes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
         return out.dropna(subset=list(columns), how="all")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the last series of what has been read, which may go on
+        for b in batches:
+            if not len(b):
+                continue
+            rows = pd.concat([*held, b], ignore_index=True)
+            series = rows.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+            whole = int(np.searchsorted(series, series[-1]))
+            held = [rows.iloc[whole:]]
+            if whole:
+                yield made(rows.iloc[:whole])
+        if held:
+            yield made(held[0])
+
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*keys, "t")), *(f"{c} double" for c in columns)])
-    return candles.select(*keys, "t", "c").groupBy(*keys).applyInPandas(run, schema)
+    return candles.select(*keys, "t", "c").repartition(*keys).sortWithinPartitions(*keys, "t").mapInPandas(run, schema)
 
 
 def ema_first(candles: DataFrame, period: int = 20, keys: Keys = ("symbol",)) -> DataFrame:
