@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import chat, common, html, mixing, packing, quality, queries, secrets, simhash, substrings, vectors
+from tickloom.llm import chat, common, html, jaccard, mixing, packing, quality, queries, secrets, simhash, substrings, vectors
 
 DOCS = "doc_id long, text string, source string, size int, component_id string, n_chars long"
 
@@ -437,3 +437,39 @@ def test_pipeline(spark, small, messy):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, messy, small).count() >= 0, name
         assert stage(spark, messy.limit(0), small).count() == 0, name
+
+
+@pytest.mark.parametrize("part", [256, 3])
+def test_pipeline_drops_near_copies(spark, monkeypatch, part):
+    """Texts that share 0.8 of their five-word shingles, far beyond 4 bits of a fingerprint, are one group; in the components of all pairs."""
+    monkeypatch.setattr(jaccard, "PART", part)
+    r = random.Random(11)
+    rows = []
+    for k in range(12):
+        base = words(100 + k, 150)
+        for _ in range(8):
+            own = list(base)
+            for _ in range(r.randrange(5)):
+                own[r.randrange(len(own))] = f"other{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows), "four words stand here"), (len(rows) + 1, "Four words  stand here"), (len(rows) + 2, ""), (len(rows) + 3, " ")]
+
+    def sets(text):
+        own = text.lower().split()
+        k = min(5, len(own))
+        return {tuple(own[i : i + k]) for i in range(len(own) - k + 1)} if own else set()
+
+    own = {i: sets(t) for i, t in rows}
+    near = [(a, b) for a in own for b in own if a < b and 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])]
+    want = components(list(own), near)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs).collect()} == want
+    assert {x.doc_id for x in corpus_pipeline.one_of_each(spark, docs, "").collect()} == set(want.values())
+    assert len({x.component_id for x in simhash.near_duplicates(docs).collect()}) > len(set(want.values()))
+
+
+def test_balls_of_no_radius(spark):
+    fps = spark.createDataFrame([(1,)], "fp long")
+    for radius, halves in ((3, 1), (0, 1), (5, 2), (6, 2)):
+        with pytest.raises(ValueError, match="no balls"):
+            simhash.links(fps, radius, halves)

@@ -90,8 +90,10 @@ def links(fps: DataFrame, radius: int = 4, halves: int = HALVES, direct: int = D
     Fingerprints that meet in a variant are within the radius of one another, so each links with the smallest there.
     With halves=2 the same is done in each 32-bit half: of two fingerprints within the radius one half differs in half
     as many bits, so balls of a quarter of the radius meet there, 66 rows in place of 2,081. Those that meet are verified
-    on all 64 bits. Buckets of more than `direct` members aren't compared pair by pair; their members go the first way.
+    on all 64 bits. Buckets of more than `direct` members aren't compared pair by pair; their members go the first way. The balls are fixed to this: halves=1 takes an even radius, halves=2 one of 2 or 4.
     """
+    if radius < 2 or radius % 2 or halves == 2 and radius > 4:
+        raise ValueError(f"no balls for a radius of {radius} with halves={halves}")
     if halves == 1:
         flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << b) - (b == 63 and 1 << 64)).cast("long") for b in range(64)))
         ball = flips
