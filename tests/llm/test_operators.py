@@ -473,3 +473,17 @@ def test_balls_of_no_radius(spark):
     for radius, halves in ((3, 1), (0, 1), (5, 2), (6, 2)):
         with pytest.raises(ValueError, match="no balls"):
             simhash.links(fps, radius, halves)
+
+
+def test_html_constants_among_many_paragraphs(spark):
+    """A text of every page is template beside 20 and 40 paragraphs of its key; one on 85 % of the pages too, one on 70 % isn't."""
+    rows = []
+    for host, n in (("a.org", 20), ("b.org", 40)):
+        for k in range(60):
+            own = [f"{host} paragraph {k} of number {i} says {' '.join(words(1000 * k + i, 6))}" for i in range(n)]
+            more = ["This notice stands on every page"] + ["Most pages have this"] * (k % 20 < 17) + ["Some pages have this"] * (k % 10 < 7)
+            body = own[: k % n] + more + own[k % n :]
+            rows.append((len(rows), f"https://{host}/{k}", "<html><body><div>" + "".join(f"<p>{x}</p>" for x in body) + "</div></body></html>", " ".join(x for x in body if x not in more[:-1] or x.startswith("Some")) if k % 10 < 7 else " ".join(own)))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {r[0]: r[3] for r in rows}

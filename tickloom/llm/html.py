@@ -30,8 +30,8 @@ BESIDE = frozenset("ad ads advert adverts advertisement advertisements comment c
 FRAMES = frozenset("html body main".split())
 #: A text is furniture where it stands in the same slot of this share of a host's pages, of so many at least.
 CONSTANT, PAGES = 0.8, 8
-#: Texts counted in a slot, nodes of a wrapper, templates merged at once, and templates a task holds, at most.
-KEPT, NODES, FAN, HELD = 32, 256, 64, 512
+#: Nodes of a wrapper, templates merged at once, and templates a task holds, at most; counts of texts that a task holds before it passes them on.
+NODES, FAN, HELD, COUNTS = 256, 64, 512, 200_000
 #: Wrappers up to so many bytes in all are broadcast to the pages; beyond it pages and wrappers are joined by a shuffle.
 BROADCAST = 32 << 20
 
@@ -212,38 +212,43 @@ def matching(a: list, b: list) -> int:
 
 
 def counted(tree: list) -> list:
-    """A template of one page: [key, children, pages, {text hash: pages}]."""
-    return [tree[0], [counted(c) for c in tree[1]], 1, _few(dict.fromkeys(map(str, tree[2]), 1))]
-
-
-def _few(counts: dict) -> dict:
-    """The counts of frequent texts: over KEPT of them, all lose what the first left out has, so that none of a share over 1 / KEPT goes."""
-    if len(counts) <= KEPT:
-        return counts
-    less = sorted(counts.values(), reverse=True)[KEPT]
-    return {k: v - less for k, v in counts.items() if v > less}
+    """A template of one page: [key, children, pages]."""
+    return [tree[0], [counted(c) for c in tree[1]], 1]
 
 
 def merged(a: list, b: list) -> list:
     """The template of the pages of two templates whose roots have one key."""
-    counts = dict(a[3])
-    for k, v in b[3].items():
-        counts[k] = counts.get(k, 0) + v
     nodes = [x if y is None else y if x is None else merged(x, y) for x, y in aligned(a, b)]
     if len(nodes) > NODES:
         least = sorted((x[2] for x in nodes), reverse=True)[NODES - 1]
         nodes = [x for x in nodes if x[2] >= least][:NODES]
-    return [a[0], nodes, a[2] + b[2], _few(counts)]
+    return [a[0], nodes, a[2] + b[2]]
+
+
+def places(template: list, tree: list, path: str = "") -> list:
+    """The path of the template's slot for each node of a folded page, parents first; None where it has none. Texts don't matter."""
+    number = {id(x): k for k, x in enumerate(template[1])}
+    partner = {id(y): x for x, y in aligned(template, tree) if x is not None and y is not None}
+    out: list = [path]
+    for c in tree[1]:
+        x = partner.get(id(c))
+        out += [None] * len(texts(c)) if x is None else places(x, c, f"{path}/{number[id(x)]}")
+    return out
+
+
+def texts(tree: list) -> list[list]:
+    """The text hashes of each node of a folded page, parents first."""
+    return [tree[2], *(t for c in tree[1] for t in texts(c))]
 
 
 def shape(tree: list) -> str:
     return tree[0] + "(" + ",".join(map(shape, tree[1])) + ")"
 
 
-def constants(template: list, pages: int) -> list:
-    """A wrapper: [key, children, hashes of the texts that most pages have in this slot], without slots that have none."""
-    nodes = [x for c in template[1] if (x := constants(c, pages))[1] or x[2]]
-    return [template[0], nodes, [int(k) for k, v in template[3].items() if pages >= PAGES and v >= CONSTANT * pages]]
+def constants(template: list, fixed: dict, path: str = "") -> list:
+    """A wrapper: [key, children, hashes of the texts that most pages have in this slot (`fixed` by path)], without slots that have none."""
+    nodes = [x for k, c in enumerate(template[1]) if (x := constants(c, fixed, f"{path}/{k}"))[1] or x[2]]
+    return [template[0], nodes, fixed.get(path, [])]
 
 
 def _is_furniture(node: Node, inside: bool) -> bool:
@@ -331,7 +336,7 @@ def induce(pages: DataFrame) -> DataFrame:
     """Wrappers (host, wrapper) of `pages` (url, html), from all pages of each host.
 
     A task merges the pages of one shape that it reads; what the tasks have is merged about FAN templates of a host at
-    once, until one is left for each host. So a host with most of the pages is spread over all tasks, and no group grows
+    once, until one is left for each host. Then the pages that have a text in a slot of it are counted, all of them. So a host with most of the pages is spread over all tasks, and no group grows
     with it.
     """
 
@@ -374,12 +379,56 @@ def induce(pages: DataFrame) -> DataFrame:
         if most <= 1:
             break
 
+    templates = found.select("host", "pages", "template")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        seen: dict = {}
+
+        def out() -> pd.DataFrame:
+            rows = [(*k, n) for k, n in seen.items()]
+            seen.clear()
+            return pd.DataFrame(rows, columns=["host", "path", "text", "n"])
+
+        for b in batches:
+            for h, page, template in zip(b["host"], b["html"], b["template"]):
+                tree = fold(parse(page or ""))
+                key = h, shape(tree)
+                if key not in known:
+                    if len(known) > HELD:
+                        known.clear()
+                    known[key] = places(json.loads(template), tree)
+                for one in {(h, path, t) for path, own in zip(known[key], texts(tree)) if path is not None for t in own}:
+                    seen[one] = seen.get(one, 0) + 1
+                if len(seen) > COUNTS:
+                    yield out()
+        if seen:
+            yield out()
+
+    enough = templates.where(F.col("pages") >= PAGES)
+    rows = pages.select(host(F.col("url")).alias("host"), "html").join(_small(enough.select("host", "template"), "template"), "host")
+    counts = rows.mapInPandas(count, "host string, path string, text long, n long").groupBy("host", "path", "text").agg(F.sum("n").alias("n"))
+    counts = counts.join(_small(enough.select("host", "pages"), "host"), "host").where(F.col("n") >= CONSTANT * F.col("pages"))
+    fixed = counts.groupBy("host").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "text"))).alias("fixed"))
+
     def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [constants(json.loads(t), int(n)) for t, n in zip(b["template"], b["pages"])]
-            yield pd.DataFrame({"host": b["host"], "wrapper": [json.dumps(w) if w[1] or w[2] else None for w in made]})
+            made = []
+            for t, own in zip(b["template"], b["fixed"]):
+                by_path: dict = {}
+                for x in own:
+                    path, text = x.rsplit(" ", 1)
+                    by_path.setdefault(path, []).append(int(text))
+                made.append(json.dumps(constants(json.loads(t), by_path)))
+            yield pd.DataFrame({"host": b["host"], "wrapper": made})
+
+    return enough.join(fixed, "host").select("host", "template", "fixed").mapInPandas(wrap, "host string, wrapper string")
+
 
-    return found.mapInPandas(wrap, "host string, wrapper string").where("wrapper is not null")
+def _small(of: DataFrame, column: str) -> DataFrame:
+    """`of` (host, `column`; written before), to be broadcast where it is small."""
+    size = of.agg(F.coalesce(F.sum(F.length(column) + F.length("host")), F.lit(0))).first()[0]
+    return F.broadcast(of) if size <= BROADCAST else of
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -389,10 +438,7 @@ def extract(pages: DataFrame) -> DataFrame:
     are decoded, white space within a block is one space. Null and empty pages have an empty text. Pages without a host
     share one wrapper. Repeated rows have their text again.
     """
-    wrappers = settled(induce(pages))
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
-    if size <= BROADCAST:
-        wrappers = F.broadcast(wrappers)
+    wrappers = _small(settled(induce(pages)), "wrapper")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
