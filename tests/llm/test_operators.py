@@ -336,6 +336,41 @@ def test_html_of_copies_and_long_pages(spark):
     assert got[99] == " ".join(f"p{i} d{i}" for i in range(3000))
 
 
+def test_wrapper_alone(spark):
+    """Furniture without tell-tale names or elements goes by the wrapper; copies of an article keep it."""
+    menus = [f"<div class='x1'><div>Menu {m}</div><div>About {m}</div></div>" for m in range(3)]
+    rows = []
+    for k in range(40):
+        body = f"<div class='x2'><h2>Title {k % 35}</h2><p>Article {k % 35} says {' '.join(words(k % 35, 12))}</p></div>"
+        rows.append((k, f"https://w.example/{k}", f"<html><body>{menus[k % 3]}{body}<div class='x3'>Imprint {k % 2}</div></body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df, names=False).collect()}
+    assert got == {k: f"Title {k % 35} Article {k % 35} says {' '.join(words(k % 35, 12))}" for k in range(40)}
+
+
+def test_wrapper_decides_given_pages(spark):
+    """Pages of the tables whose text changes by the wrapper, with names and kinds of elements left out of account."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    right = {r.page_id: r.text for r in html.extract(pages).collect()}
+    got = {r.page_id: r.text for r in html.extract(pages, names=False).collect()}
+    plain = {r.page_id: " ".join(html.blocks(html.parse(r.html or ""), {"slots": set(), "texts": {}}, [""], html.fold(html.parse("")), False)) for r in pages.collect()}
+    changed = [k for k in got if got[k] != plain[k]]
+    assert len(changed) > 50 and sum(got[k] == right[k] for k in changed) > 0
+
+
+def test_markup_of_all_kinds(spark):
+    """Attributes are read by their names, deep pages and nested spans to their ends."""
+    kept = {
+        '<p title="a hidden gem">Kept text</p>': "Kept text", '<div data-hidden="false">Kept text</div>': "Kept text", '<p>A <a title="hidden">link text</a></p>': "A link text", '<p>A <a href="/hidden-lake">lake</a></p>': "A lake",
+        '<div class="social-history">Kept</div><div class="share-price">also</div><div id="search-results">this</div><p>and <span class="ad-hoc">that</span></p>': "Kept also this and that",
+        '<p>x <span class="ad">y <span>z</span> AD</span> end</p>': "x end", '<p>x <span hidden>y</p><p>z</p>': "x z", '<div aria-hidden="true">no</div><div aria-hidden="false">yes</div><div hidden>no</div>': "yes",
+        '<p style="color:red; display : none">no</p><p style="color:red">yes</p>': "yes", "<div>" * 5000 + "deep": "deep", "<ul><li>" * 3000 + "list" + "</li></ul>" * 3000: "list", "<b>" * 5000 + "bold": "bold",
+    }
+    rows = [(k, f"https://m{k}.example/", x) for k, x in enumerate(kept)] + [(100 + k, "https://deep.example/", "<div>" * 5000 + f"deep {k}") for k in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(kept.values())) | {100 + k: f"deep {k}" for k in range(6)}
+
+
 def test_tree_matching():
     t = lambda key, *kids: [key, list(kids), []]
     a, b = t("x", t("p", t("q")), t("r"), t("s")), t("x", t("r"), t("p", t("q")), t("s"))

@@ -28,40 +28,63 @@ CONTENT = frozenset("content article post entry story".split())
 #: Of these, those that name something beside the article even where it is one itself; the others may name a frame around the main article.
 BESIDE = frozenset("ad ads advert adverts advertisement advertisements comment comments commentlist disqus replies respond related recommended recommendations promo promotion promoted sponsor sponsored".split())
 FRAMES = frozenset("html body main".split())
-#: A text is furniture where it stands in the same slot of this share of a host's pages, of so many at least.
-CONSTANT, PAGES = 0.8, 8
-#: Nodes of a wrapper, templates merged at once, and templates a task holds, at most; counts of texts that a task holds before it passes them on.
-NODES, FAN, HELD, COUNTS = 256, 64, 512, 200_000
-#: Wrappers up to so many bytes in all are broadcast to the pages; beyond it pages and wrappers are joined by a shuffle.
+#: A slot is template where this share of its pages have a value that pages of other content have as well, in so many pages of a host at least; a text where this share of a host's pages have it in one slot.
+REPEATED, PAGES, CONSTANT = 0.5, 4, 0.8
+#: Children of a template's node by position (others share one slot), and levels of a template (deeper nodes belong to the slot above them).
+NODES, DEPTH = 256, 48
+#: Templates merged at once, templates a task holds, and counts of texts that a task holds before it passes them on.
+FAN, HELD, COUNTS = 64, 512, 200_000
+#: Templates and wrappers up to so many bytes in all are broadcast to the pages; beyond it they are joined by a shuffle.
 BROADCAST = 32 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>?|<[!?][^>]*>?", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class Node:
-    """A block element: its key, the words of its class, id and role, child nodes, and texts with the number of child nodes before each."""
+    """A block element: its key, the words that name it, and its items in order: child nodes, and lists of pieces of text."""
 
-    __slots__ = ("tag", "key", "words", "off", "frame", "nodes", "texts")
+    __slots__ = ("tag", "key", "words", "off", "frame", "items")
 
     def __init__(self, tag: str, key: str, words: frozenset, off: bool):
-        self.tag, self.key, self.words, self.off, self.nodes, self.texts = tag, key, words, off, [], []
+        self.tag, self.key, self.words, self.off, self.items = tag, key, words, off, []
         self.frame = tag in FRAMES  # or it has the main article within
 
+    def nodes(self) -> list:
+        return [x for x in self.items if isinstance(x, Node)]
+
+    def texts(self) -> list[str]:
+        return [t for x in self.items if not isinstance(x, Node) and (t := _plain("".join(x)))]
+
 
 def _named(tag: str, attributes: str) -> tuple[str, frozenset, bool]:
-    """Key, words of class, id and role, and whether the element is hidden."""
+    """Key, words and whether the element is hidden. Names of class, id and role are words, and so is what a name with hyphens ends in: share-price is a price."""
     names, off = [], False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
             names += value.lower().split()
         elif name == "style":
-            off |= "display:none" in value.replace(" ", "").lower()
+            off |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()))
         else:
-            off |= name == "hidden" or value.lower() == "true"
+            off |= name == "hidden" or name == "aria-hidden" and value.lower() == "true"
     key = ".".join([tag, *sorted({re.sub(r"\d+", "0", x) for x in names})])
-    return key, frozenset(w for x in names for w in re.split(r"[^a-z]+", x) if w), off
+    return key, frozenset(w for x in names for w in (x, re.split(r"[-_:]+", x)[-1])), off
+
+
+def _after_inline(page: str, at: int, tag: str, block: str) -> int:
+    """Where an inline element that is left out ends: after its own closing tag, elements of its kind within it counted, or before its block's."""
+    depth = 1
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        name = (m[2] or "").lower()
+        if name == tag:
+            depth += -1 if m[1] else 1
+        elif m[1] and name == block:
+            return m.start()
+        if not depth:
+            return at
+    return len(page)
 
 
 def parse(page: str) -> Node:
@@ -94,12 +117,10 @@ def parse(page: str) -> Node:
         if tag in VOID:
             _put(stack[-1], " ")
             continue
+        named = known.get((tag, m[3])) or known.setdefault((tag, m[3]), _named(tag, m[3]))
         if tag in INLINE:
-            if m[3]:
-                key, words, off = known.get((tag, m[3])) or known.setdefault((tag, m[3]), _named(tag, m[3]))
-                if off or words & FURNITURE:  # a hidden or furniture span: leave it out up to its end
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at = end.end() if end else at
+            if named[2] or named[1] & FURNITURE:
+                at = _after_inline(page, at, tag, stack[-1].tag)
             continue
         if tag in CLOSES_P and stack[-1].tag == "p":
             stack.pop()
@@ -111,7 +132,6 @@ def parse(page: str) -> Node:
                 if stack[k].tag in mine.split():
                     del stack[k:]
                     break
-        named = known.get((tag, m[3])) or known.setdefault((tag, m[3]), _named(tag, m[3]))
         node = Node(tag, *named)
         if tag in ("article", "main") and not node.off and not node.words & BESIDE:
             node.frame = True
@@ -119,7 +139,7 @@ def parse(page: str) -> Node:
                 if above.frame or above.tag in SKIPPED or above.words & BESIDE:
                     break
                 above.frame = True
-        stack[-1].nodes.append(node)
+        stack[-1].items.append(node)
         stack.append(node)
     if at < n:
         _put(stack[-1], page[at:])
@@ -127,38 +147,46 @@ def parse(page: str) -> Node:
 
 
 def _put(node: Node, text: str) -> None:
-    """Adds text to what stands since the node's last child."""
-    k = len(node.nodes)
-    if node.texts and node.texts[-1][0] == k:
-        node.texts[-1][1] += text
+    if node.items and not isinstance(node.items[-1], Node):
+        node.items[-1].append(text)
     else:
-        node.texts.append([k, text])
+        node.items.append([text])
 
 
 def _plain(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def fold(node: Node) -> list:
-    """[key, children, texts]: neighbours of one key are a list of one kind and fold into one slot; furniture folds to nothing.
+def _hash(text: str) -> int:
+    return xxhash.xxh32_intdigest(text)
 
-    Where a node has over NODES slots even so, slots of one key fold wherever they stand.
+
+def fold(node: Node, level: int = 0) -> list:
+    """A tree of slots [key, children, nodes]: neighbours of one key are a list of one kind and fold into one slot.
+
+    Where a node has over NODES children even so, children of one key fold wherever they stand. Nodes below DEPTH levels
+    belong to the slot at that level.
     """
+    if level >= DEPTH:
+        every, left = [], [node]
+        while left:
+            every.append(x := left.pop())
+            left += reversed(x.nodes())
+        return [node.key, [], every]
     slots: list = []
     by_key: dict = {}
-    scattered = len(node.nodes) > NODES
-    for child in node.nodes:
-        if _is_furniture(child, False):
-            continue
-        own = fold(child)
+    own = node.nodes()
+    scattered = len(own) > NODES
+    for child in own:
+        one = fold(child, level + 1)
         if scattered and child.key in by_key:
-            _join(by_key[child.key], own)
+            _join(by_key[child.key], one)
         elif not scattered and slots and slots[-1][0] == child.key:
-            _join(slots[-1], own)
+            _join(slots[-1], one)
         else:
-            slots.append(own)
-            by_key[child.key] = own
-    return [node.key, slots, [xxhash.xxh32_intdigest(t) for _, x in node.texts if (t := _plain(x))]]
+            slots.append(one)
+            by_key[child.key] = one
+    return [node.key, slots, [node]]
 
 
 def _join(a: list, b: list) -> None:
@@ -217,7 +245,7 @@ def counted(tree: list) -> list:
 
 
 def merged(a: list, b: list) -> list:
-    """The template of the pages of two templates whose roots have one key."""
+    """The template of the pages of two templates whose roots have one key. The rarest of over NODES children lose their own slot; see places()."""
     nodes = [x if y is None else y if x is None else merged(x, y) for x, y in aligned(a, b)]
     if len(nodes) > NODES:
         least = sorted((x[2] for x in nodes), reverse=True)[NODES - 1]
@@ -225,34 +253,30 @@ def merged(a: list, b: list) -> list:
     return [a[0], nodes, a[2] + b[2]]
 
 
-def places(template: list, tree: list, path: str = "") -> list:
-    """The path of the template's slot for each node of a folded page, parents first; None where it has none. Texts don't matter."""
+def places(template: list | None, tree: list, path: str = "") -> list[str]:
+    """The path of the template's slot for each slot of a folded page, parents first. Nodes without a partner share one slot, *, with all that is in them."""
+    out = [path]
+    if template is None:
+        return out + [x for c in tree[1] for x in places(None, c, path)]
     number = {id(x): k for k, x in enumerate(template[1])}
     partner = {id(y): x for x, y in aligned(template, tree) if x is not None and y is not None}
-    out: list = [path]
     for c in tree[1]:
         x = partner.get(id(c))
-        out += [None] * len(texts(c)) if x is None else places(x, c, f"{path}/{number[id(x)]}")
+        out += places(x, c, f"{path}/*" if x is None else f"{path}/{number[id(x)]}")
     return out
 
 
-def texts(tree: list) -> list[list]:
-    """The text hashes of each node of a folded page, parents first."""
-    return [tree[2], *(t for c in tree[1] for t in texts(c))]
+def slots(tree: list) -> list[list[Node]]:
+    """The nodes of each slot of a folded page, parents first."""
+    return [tree[2], *(t for c in tree[1] for t in slots(c))]
 
 
 def shape(tree: list) -> str:
     return tree[0] + "(" + ",".join(map(shape, tree[1])) + ")"
 
 
-def constants(template: list, fixed: dict, path: str = "") -> list:
-    """A wrapper: [key, children, hashes of the texts that most pages have in this slot (`fixed` by path)], without slots that have none."""
-    nodes = [x for k, c in enumerate(template[1]) if (x := constants(c, fixed, f"{path}/{k}"))[1] or x[2]]
-    return [template[0], nodes, fixed.get(path, [])]
-
-
 def _is_furniture(node: Node, inside: bool) -> bool:
-    """inside: within the article, whose own header is content."""
+    """By names and kinds of elements alone. inside: within the article, whose own header is content."""
     if node.off or node.tag in SKIPPED:
         return True
     if node.frame:
@@ -265,66 +289,53 @@ def _is_furniture(node: Node, inside: bool) -> bool:
 def regions(root: Node) -> list[Node]:
     """The outermost articles of a page, else its main element, else the outermost of a class, id or role of content, else the page."""
 
-    def outermost(node: Node, is_one) -> list[Node]:
-        found = []
-        for c in node.nodes:
-            if _is_furniture(c, False):
-                continue
-            found += [c] if is_one(c) else outermost(c, is_one)
+    def outermost(is_one) -> list[Node]:
+        found, left = [], [root]
+        while left:
+            x = left.pop()
+            if x is not root and is_one(x):
+                found.append(x)
+            else:
+                left += [c for c in reversed(x.nodes()) if not _is_furniture(c, False)]
         return found
 
     for is_one in (lambda c: c.tag == "article" or "article" in c.words, lambda c: c.tag == "main" or "main" in c.words, lambda c: bool(c.words & CONTENT)):
-        if found := outermost(root, is_one):
+        if found := outermost(is_one):
             return found
     return [root]
 
 
-def blocks(root: Node, wrapper: list | None = None) -> list[str]:
-    """The texts of a page's content blocks in order, without those that the wrapper has as constant.
+def blocks(root: Node, wrapper: dict | None = None, slot_paths: list[str] | None = None, tree: list | None = None, names: bool = True) -> list[str]:
+    """The texts of a page's content blocks in order.
 
-    Where constants make up half of the content or more, the pages are copies rather than furnished alike, and all stays.
+    With a wrapper these are all blocks but those in its template slots and its constant texts; without one, those of the
+    page's regions(). With `names`, elements that are furniture by name or kind are left out as well: only by these can a
+    reader's comment, which varies as an article does, be told.
     """
-    slot_of: dict[int, list] = {}
-
-    def walk(node: Node, slot: list | None) -> None:
-        """Notes the wrapper's slot of every node, by simple tree matching of the two trees' levels."""
-        if slot is None or not (slot[1] or slot[2]):
-            return
-        slot_of[id(node)] = slot
-        own = [c for c in node.nodes if not _is_furniture(c, False)]
-        runs: list = []
-        for c in own:
-            if runs and runs[-1][0] == c.key:
-                runs[-1][3].append(c)
-            else:
-                runs.append([c.key, [], [], [c]])
-        for c in runs:
-            c[1] = [[x.key, [], []] for x in c[3][0].nodes]
-        for x, y in aligned([slot[0], slot[1], []], [node.key, runs, []]):
-            if x is not None and y is not None:
-                for c in y[3]:
-                    walk(c, x)
-
+    template: set[int] = set()
+    fixed: dict[int, list] = {}
     if wrapper:
-        walk(root, wrapper)
-    every: list[tuple[str, bool]] = []
-
-    def gather(node: Node) -> None:
-        slot = slot_of.get(id(node))
-        fixed = slot[2] if slot else ()
-        k = 0
-        for before, text in [*node.texts, [len(node.nodes), ""]]:
-            while k < before:
-                if not _is_furniture(node.nodes[k], True):
-                    gather(node.nodes[k])
-                k += 1
-            if plain := _plain(text):
-                every.append((plain, bool(fixed) and xxhash.xxh32_intdigest(plain) in fixed))
-
-    for region in regions(root):
-        gather(region)
-    own = [t for t, fixed in every if not fixed]
-    return own if 2 * sum(map(len, own)) > sum(len(t) for t, _ in every) else [t for t, _ in every]
+        for path, own in zip(slot_paths, slots(tree)):
+            if path in wrapper["slots"]:
+                template.update(map(id, own))
+            elif path in wrapper["texts"]:
+                fixed |= dict.fromkeys(map(id, own), wrapper["texts"][path])
+    out: list[str] = []
+    left: list[tuple] = [(r, None, not wrapper) for r in ([root] if wrapper else regions(root)[::-1])]
+    while left:
+        node, text, inside = left.pop()
+        if text is not None:
+            if (plain := _plain("".join(text))) and not (id(node) in fixed and _hash(plain) in fixed[id(node)]):
+                out.append(plain)
+            continue
+        inside |= node.tag in ("article", "main")
+        for item in reversed(node.items):
+            if not isinstance(item, Node):
+                if id(node) not in template:
+                    left.append((node, item, inside))
+            elif not names or not _is_furniture(item, inside):
+                left.append((item, None, inside))
+    return out
 
 
 def host(url):
@@ -332,11 +343,11 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """Wrappers (host, wrapper) of `pages` (url, html), from all pages of each host.
+def templates(pages: DataFrame) -> DataFrame:
+    """Templates (host, pages, template) of `pages` (url, html), from all pages of each host, furniture and all.
 
     A task merges the pages of one shape that it reads; what the tasks have is merged about FAN templates of a host at
-    once, until one is left for each host. Then the pages that have a text in a slot of it are counted, all of them. So a host with most of the pages is spread over all tasks, and no group grows
+    once, until one is left for each host. So a host with most of the pages is spread over all tasks, and no group grows
     with it.
     """
 
@@ -377,81 +388,104 @@ def induce(pages: DataFrame) -> DataFrame:
         salted = found.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("shape", "template"), F.col("groups"))).drop("groups")
         found = settled(salted.groupBy("host", "salt").applyInPandas(lambda b: merge(b), kinds))
         if most <= 1:
-            break
+            return found.select("host", "pages", "template")
 
-    templates = found.select("host", "pages", "template")
+
+def induce(pages: DataFrame) -> DataFrame:
+    """Wrappers (host, template, slots, texts) of the hosts of PAGES pages or more; see REPEATED and CONSTANT.
+
+    All pages of a host are laid over its template, and the values of each slot, and each text in it, are counted. A value
+    is repeated where pages of different content have it, content being told by a page's longest text, so that copies of a
+    page don't make its article template. `slots` are the paths of template slots, `texts` paths with a text's hash.
+    """
+    made = templates(pages).where(F.col("pages") >= PAGES)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
         seen: dict = {}
 
         def out() -> pd.DataFrame:
-            rows = [(*k, n) for k, n in seen.items()]
+            rows = [(*k, *v) for k, v in seen.items()]
             seen.clear()
-            return pd.DataFrame(rows, columns=["host", "path", "text", "n"])
+            return pd.DataFrame(rows, columns=["host", "path", "whole", "text", "n", "low", "high"])
 
         for b in batches:
             for h, page, template in zip(b["host"], b["html"], b["template"]):
                 tree = fold(parse(page or ""))
-                key = h, shape(tree)
-                if key not in known:
-                    if len(known) > HELD:
-                        known.clear()
-                    known[key] = places(json.loads(template), tree)
-                for one in {(h, path, t) for path, own in zip(known[key], texts(tree)) if path is not None for t in own}:
-                    seen[one] = seen.get(one, 0) + 1
+                by_path: dict[str, list] = {}
+                for path, own in zip(_placed(known, h, template, tree), slots(tree)):
+                    if texts := [t for x in own for t in x.texts()]:
+                        by_path.setdefault(path, []).extend(texts)
+                longest = _hash(max((t for x in by_path.values() for t in x), key=len, default=""))
+                values = {(h, path, True, _hash("\0".join(own))) for path, own in by_path.items()}
+                for one in values | {(h, path, False, _hash(t)) for path, own in by_path.items() for t in own}:
+                    n, low, high = seen.get(one, (0, longest, longest))
+                    seen[one] = n + 1, min(low, longest), max(high, longest)
                 if len(seen) > COUNTS:
                     yield out()
         if seen:
             yield out()
 
-    enough = templates.where(F.col("pages") >= PAGES)
-    rows = pages.select(host(F.col("url")).alias("host"), "html").join(_small(enough.select("host", "template"), "template"), "host")
-    counts = rows.mapInPandas(count, "host string, path string, text long, n long").groupBy("host", "path", "text").agg(F.sum("n").alias("n"))
-    counts = counts.join(_small(enough.select("host", "pages"), "host"), "host").where(F.col("n") >= CONSTANT * F.col("pages"))
-    fixed = counts.groupBy("host").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "text"))).alias("fixed"))
+    rows = pages.select(host(F.col("url")).alias("host"), "html").join(_small(made.select("host", "template"), "template"), "host")
+    counts = rows.mapInPandas(count, "host string, path string, whole boolean, text long, n long, low long, high long")
+    counts = counts.groupBy("host", "path", "whole", "text").agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("again"))
+    counts = settled(counts.where("again or whole"))
+    of_slots = counts.where("whole").groupBy("host", "path").agg(F.sum("n").alias("on"), F.sum(F.when(F.col("again"), F.col("n")).otherwise(0)).alias("again"))
+    of_slots = of_slots.where((F.col("on") >= PAGES) & (F.col("again") >= REPEATED * F.col("on"))).groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("slots"))
+    texts = counts.where("again and not whole").join(_small(made.select("host", "pages"), "host"), "host").where(F.col("n") >= CONSTANT * F.col("pages"))
+    texts = texts.groupBy("host").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "text"))).alias("texts"))
+    none = F.array().cast("array<string>")
+    return made.join(of_slots, "host", "left").join(texts, "host", "left").select("host", "template", F.coalesce("slots", none).alias("slots"), F.coalesce("texts", none).alias("texts"))
 
-    def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = []
-            for t, own in zip(b["template"], b["fixed"]):
-                by_path: dict = {}
-                for x in own:
-                    path, text = x.rsplit(" ", 1)
-                    by_path.setdefault(path, []).append(int(text))
-                made.append(json.dumps(constants(json.loads(t), by_path)))
-            yield pd.DataFrame({"host": b["host"], "wrapper": made})
 
-    return enough.join(fixed, "host").select("host", "template", "fixed").mapInPandas(wrap, "host string, wrapper string")
+def _placed(known: dict, h: str, template: str, tree: list) -> list[str]:
+    """places(), kept for HELD shapes of pages."""
+    key = h, shape(tree)
+    if key not in known:
+        if len(known) > HELD:
+            known.clear()
+        known[key] = places(json.loads(template), tree)
+    return known[key]
 
 
 def _small(of: DataFrame, column: str) -> DataFrame:
     """`of` (host, `column`; written before), to be broadcast where it is small."""
-    size = of.agg(F.coalesce(F.sum(F.length(column) + F.length("host")), F.lit(0))).first()[0]
+    size = of.agg(F.coalesce(F.sum(F.length(F.col(column).cast("string")) + F.length("host")), F.lit(0))).first()[0]
     return F.broadcast(of) if size <= BROADCAST else of
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, names: bool = True) -> DataFrame:
     """One row for each row of `pages` (page_id, url, html): page_id, url, text.
 
     The text of the content blocks in page order, joined by one space: see blocks() and regions(). Character references
     are decoded, white space within a block is one space. Null and empty pages have an empty text. Pages without a host
-    share one wrapper. Repeated rows have their text again.
+    share one wrapper. Repeated rows have their text again. Hosts of fewer than PAGES pages have no wrapper.
     """
-    wrappers = _small(settled(induce(pages)), "wrapper")
+    made = settled(induce(pages).withColumn("wrapper", F.to_json(F.struct("template", "slots", "texts"))).select("host", "wrapper"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
+        paths: dict = {}
         for b in batches:
             texts = []
-            for page, w in zip(b["html"], b["wrapper"]):
-                if w and w not in known:
+            for h, page, w in zip(b["host"], b["html"], b["wrapper"]):
+                root = parse(page or "")
+                if not w:
+                    texts.append(" ".join(blocks(root, names=names)))
+                    continue
+                if w not in known:
                     if len(known) > HELD:
                         known.clear()
-                    known[w] = json.loads(w)
-                texts.append(" ".join(blocks(parse(page or ""), known.get(w) if w else None)))
+                    of = json.loads(w)
+                    fixed: dict = {}
+                    for x in of["texts"]:
+                        path, text = x.rsplit(" ", 1)
+                        fixed.setdefault(path, set()).add(int(text))
+                    known[w] = {"template": of["template"], "slots": set(of["slots"]), "texts": fixed}
+                of, tree = known[w], fold(root)
+                texts.append(" ".join(blocks(root, of, _placed(paths, h, of["template"], tree), tree, names)))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host(F.col("url")).alias("host")).join(wrappers, "host", "left").drop("host")
-    out = rows.mapInPandas(run, "page_id string, url string, text string")
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host(F.col("url")).alias("host")).join(_small(made, "wrapper"), "host", "left")
+    out = rows.select("page_id", "url", "html", "host", "wrapper").mapInPandas(run, "page_id string, url string, text string")
     return out.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))
