@@ -400,46 +400,66 @@ def test_substrings(spark, messy, none):
     passage = " ".join(words(77, 12)) + ". " + " ".join(words(78, 15)) + ". " + " ".join(words(79, 14)) + "."
     rows = [(500, f"Start here it is. {passage} Then the end.", "s", 0, "c", 1), (501, f"Another begin\n{passage.upper()}\nand another end.", "s", 0, "c", 1), (502, "Start here it is. A short one.", "s", 0, "c", 1)]
     docs = messy.unionByName(spark.createDataFrame(rows, DOCS))
-    got = [r for r in substrings.repeated_spans(docs).collect() if r.doc_id and r.doc_id >= 500]
+    got = [r for r in substrings.repeated_spans(docs, 20).collect() if r.doc_id and r.doc_id >= 500]
     assert [(r.doc_id, r.kept_in, r.n_words) for r in got] == [(501, 500, 41)]
     text = rows[1][1]
     assert text[got[0].start : got[0].end].lower() == passage
-    clean = {r.doc_id: r for r in substrings.without_spans(docs, substrings.repeated_spans(docs)).where("doc_id >= 500").collect()}
+    clean = {r.doc_id: r for r in substrings.without_spans(docs, substrings.repeated_spans(docs, 20)).where("doc_id >= 500").collect()}
     assert clean[501].text == text.replace(passage.upper(), "") and clean[501].removed == [(got[0].start, got[0].end)]
     assert clean[500].text == rows[0][1] and clean[500].removed is None
     assert substrings.repeated_spans(none).count() == 0
 
 
+def test_repeated_lines_of_any_length_go(spark):
+    """Without a minimum every line but the first of its kind goes, a short one too, and only where it stands."""
+    rows = [(k, f"Own words of {k} {' '.join(words(k, 9))}\nAll rights reserved\nMore of {k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.end, r.kept_in) for r in substrings.repeated_spans(docs).collect()}
+    assert {k: rows[k][1][a:b] for k, (a, b, _) in got.items()} == dict.fromkeys(range(1, 50), "All rights reserved") and {x[2] for x in got.values()} == {0}
+
+
+def test_spans_of_rows_with_one_id(spark):
+    """A span found in one text of an id cuts nothing from another text of that id, or of none."""
+    passage, other = " ".join(words(5, 40)) + ".", " ".join(words(6, 90)) + "."
+    rows = [(1, passage), (2, f"Here. {passage}"), (2, other), (None, f"There. {passage}"), (None, other[::-1]), (3, other), (3, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in substrings.without_spans(docs, substrings.repeated_spans(docs, 20)).collect())
+    assert got == sorted([("1", passage), ("2", "Here. "), ("2", other), ("None", "There. "), ("None", other[::-1]), ("3", ""), ("3", "")])
+
+
 def test_substrings_against_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
-    first, want = {}, set()
-    for i, t in rows:
-        for a, _, w, x in substrings.units(t):
+    first, units = {}, {i: list(substrings.units(t)) for i, t in rows}
+    for i, _ in rows:
+        for a, _, w, x in units[i]:
             first.setdefault((x, w), (i, a))
-    for i, t in rows:
-        run = []
-        for a, b, w, x in [*substrings.units(t), (0, 0, 0, "")]:
-            if x and first[x, w] < (i, a):
-                run.append((a, b, w, first[x, w][0]))
-            else:
-                n = {k: sum(r[2] for r in run if r[3] == k) for k in {r[3] for r in run}}
-                if n and max(n.values()) >= 20:
-                    want.add((i, run[0][0], run[-1][1], sum(r[2] for r in run), min(n, key=lambda k: (-n[k], k))))
-                run = []
-    assert {(r.doc_id, r.start, r.end, r.n_words, r.kept_in) for r in substrings.repeated_spans(docs).collect()} == want
-
-
-def test_passages_within_lines_are_found(spark):
-    """Passages of over 50 words in the middle of other lines."""
+    for least in (1, 20):
+        want = set()
+        for i, _ in rows:
+            run = []
+            for a, b, w, x in [*units[i], (0, 0, 0, "")]:
+                if x and first[x, w] < (i, a):
+                    run.append((a, b, w, first[x, w][0]))
+                else:
+                    n = {k: sum(r[2] for r in run if r[3] == k) for k in {r[3] for r in run}}
+                    if n and max(n.values()) >= least:
+                        want.add((i, run[0][0], run[-1][1], sum(r[2] for r in run), min(n, key=lambda k: (-n[k], k))))
+                    run = []
+        assert {(r.doc_id, r.start, r.end, r.n_words, r.kept_in) for r in substrings.repeated_spans(docs, least).collect()} == want
+
+
+@pytest.mark.parametrize(("marks", "size", "least"), [(True, 55, 38), (False, 55, 36), (False, 70, 39)])
+def test_passages_within_lines_are_found(spark, marks, size, least):
+    """Passages of over 50 words in the middle of other lines, with and without marks of sentences."""
     rows = []
     for k in range(40):
-        passage = " ".join(w + "." * (n % 11 == 7) for n, w in enumerate(words(900 + k, 55 + k)))
+        passage = " ".join(w + "." * (marks and n % 11 == 7) for n, w in enumerate(words(900 + k, size)))
         for copy in range(2):
             rows.append((2 * k + copy, " ".join([*words(5000 + 2 * k + copy, 80), passage, *words(7000 + 2 * k + copy, 80)])))
     rows += [(500 + k, " ".join(words(9000 + k, 200))) for k in range(100)]
-    got = {(r.doc_id, r.kept_in) for r in substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got <= {(2 * k + 1, 2 * k) for k in range(40)} and len(got) >= 36
+    got = {(r.doc_id, r.kept_in) for r in substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()}
+    assert got <= {(2 * k + 1, 2 * k) for k in range(40)} and len(got) >= least
 
 
 def test_html_pages_against_the_markup(spark, small):

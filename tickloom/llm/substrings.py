@@ -18,7 +18,7 @@ _TOKEN = re.compile(r"\n|\S+")
 #: A sentence ends with a word that ends with its mark and what else is no letter.
 _END = re.compile(r"(?:[.?]|(?<!!)!(?!!))[^\w\s]*$")
 #: One word in CUT, by its hash, ends a unit as well, and a unit has LONGEST words at most.
-CUT, LONGEST = 16, 48
+CUT, LONGEST = 8, 48
 
 
 def _ends() -> Callable[[str], bool]:
@@ -61,8 +61,13 @@ def units(text: str, ends: Callable[[str], bool] | None = None) -> Iterator[tupl
         yield start, end, len(own), " ".join(own)
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart: a hash of the text; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def with_units(docs: DataFrame) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text): doc_id and arrays digest, start, end, words, times of its units.
+    """One row for each row of `docs` (doc_id, text): doc_id, text_key and arrays digest, start, end, words, times of its units.
 
     times is how often a unit occurs in the text at its first occurrence there, 0 at later ones.
     """
@@ -71,55 +76,59 @@ def with_units(docs: DataFrame) -> DataFrame:
         ends = _ends()
         for batch in batches:
             rows: list = [[], [], [], [], []]
-            for text in batch.column(1):
+            for text in batch.column(2):
                 own = [(xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63), a, b, w) for a, b, w, x in units(text.as_py() or "", ends)]
                 left = Counter(x[0] for x in own)
                 own = [(*x, left.pop(x[0], 0)) for x in own]
                 for to, x in zip(rows, zip(*own) if own else ((),) * 5):
                     to.append(list(x))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.record_batch([batch.column(0), *(pa.array(r, pa.list_(k)) for r, k in zip(rows, kinds))], names=["doc_id", "digest", "start", "end", "words", "times"])
+            yield pa.record_batch([*batch.columns[:2], *(pa.array(r, pa.list_(k)) for r, k in zip(rows, kinds))], names=["doc_id", "text_key", "digest", "start", "end", "words", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest array<long>, start array<int>, end array<int>, words array<int>, times array<int>")
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, digest array<long>, start array<int>, end array<int>, words array<int>, times array<int>")
+
 
+def repeated_spans(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """Spans of `docs` (doc_id, text) to remove: doc_id, text_key, start, end (characters of the original text), n_words, kept_in.
 
-def repeated_spans(docs: DataFrame, min_words: int = 20) -> DataFrame:
-    """Spans of `docs` (doc_id, text) to remove: doc_id, start, end (characters of the original text), n_words, kept_in.
+    The occurrence of a unit that is first in order of doc_id (null last), text_key and position stays; every other one is
+    repeated. Repeated units that follow on one another form a span, so a repeated line is one. With `min_words` a span
+    stays unless so many words of it have their first occurrence in one document: texts share short lines by chance or
+    habit. kept_in is the document of the most words (of equals the smallest id).
 
-    The occurrence of a unit that is first in order of doc_id (null last) and position stays; every other one is repeated.
-    Repeated units that follow on one another form a span. A span stays unless `min_words` words of it have their first
-    occurrence in one document, kept_in (the largest such; of equals the smallest id), as short units also meet by chance.
-    Rows that share a doc_id count as one document. Null, empty and blank texts have no units.
+    Rows of one doc_id are told apart by their text; rows that share both are one. Null, empty and blank texts have no units.
 
     A unit goes to the count once for each document, with its number there; the digests that occur twice or more are
     written before all units meet them, so that adaptive execution can split the join where one digest has most of them.
     """
     rows = settled(with_units(docs))
-    each = rows.select("doc_id", F.posexplode(F.arrays_zip("digest", "start", "end", "words", "times")).alias("pos", "u"))
-    each = each.select("doc_id", "pos", "u.digest", "u.start", "u.end", "u.words", "u.times")
-    first = each.where("times > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.sum("times").alias("times"))
+    each = rows.select("doc_id", "text_key", F.posexplode(F.arrays_zip("digest", "start", "end", "words", "times")).alias("pos", "u"))
+    each = each.select("doc_id", "text_key", "pos", "u.digest", "u.start", "u.end", "u.words", "u.times")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    first = each.where("times > 0").groupBy("digest").agg(F.min(place).alias("first"), F.sum("times").alias("times"))
     first = settled(first.where("times > 1").select("digest", "first"))
-    later = F.coalesce(F.col("doc_id") > F.col("first"), F.col("doc_id").isNull() & F.col("first").isNotNull())
-    again = each.join(first, "digest").where((F.col("times") == 0) | later)
-    again = again.select("doc_id", "pos", "start", "end", "words", F.col("first").alias("kept_in")).repartition("doc_id")
-    again = again.dropDuplicates(["doc_id", "pos", "start"])
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    parts = again.withColumn("run", island).groupBy("doc_id", "run", "kept_in")
+    again = each.join(first, "digest").where((F.col("times") == 0) | (place != F.col("first")))
+    again = again.select("doc_id", "text_key", "pos", "start", "end", "words", F.col("first.id").alias("kept_in")).repartition("doc_id", "text_key")
+    again = again.dropDuplicates(["doc_id", "text_key", "pos"])
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("pos"))
+    parts = again.withColumn("run", island).groupBy("doc_id", "text_key", "run", "kept_in")
     parts = parts.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n"))
     most = F.min_by("kept_in", F.struct(-F.col("n"), F.col("kept_in"))).alias("kept_in")
-    runs = parts.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.max("n").alias("most"), most)
+    runs = parts.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.max("n").alias("most"), most)
     return runs.where(F.col("most") >= min_words).drop("run", "most")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """`docs` with the spans cut out of `text`, and `removed` (array of start and end in the original text; null if none)."""
-    cuts = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """`docs` with the spans cut out of `text`, and `removed` (array of start and end in the original text; null if none). Spans cut only the text they were found in."""
+    cuts = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        return F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring("text", s["at"] + 1, x["start"] - s["at"])).alias("out"))
+        return F.struct(x["end"].alias("at"), F.array_append(s["out"], F.substring("text", s["at"] + 1, x["start"] - s["at"])).alias("out"))
 
-    rest = lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text") - s["at"]))
-    out = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring("text", s["at"] + 1, F.length("text") - s["at"]))
+    # ids without a cut, null ones too, match nothing and lie spread by their text
+    out = docs.withColumn("__own", text_key(F.col("text"))).join(cuts, (F.col("__own") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.aggregate("removed", start, step, rest))).select(*docs.columns, "removed")
