@@ -7,44 +7,58 @@ from functools import reduce
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled
 
-#: A candidate: 16 or more characters of keys and tokens with a digit among them, not part of a longer run.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,}"
-#: Words that candidates of no secret are often made of.
-DICTIONARY = "example|sample|dummy|test|your|here|changeme|placeholder|redacted|secret|token|password|passwd|key|none|null|http|https|www|com|org|net|mail|html|page|index|file|path|name|user|data|license|version|abcdef|0123456789|123456|xxxx|0000"  # noqa: S105
 #: Names that stand before secrets, and words that stand by digests which are none.
-NAMES = "token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential"
-HARMLESS = "sha1|sha256|md5|commit|checksum|digest|revision|uuid|guid|etag|isbn|order|invoice|example|sample|placeholder|dummy"
+NAMES = "token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
+HARMLESS = "sha1|sha256|sha512|md5|commit|checksum|digest|revision|uuid|guid|etag|isbn|order|invoice|example|sample|placeholder|dummy|request|trace|image|public"
 TEST_PATHS = "test|example|sample|doc|fixture|mock"
-#: Documents whose findings a forest is trained on, at most: those of the smallest hashes of their ids.
-FIT_DOCUMENTS = 20_000
-CONTEXT = 48
+#: Words that candidates of no secret are often made of.
+DICTIONARY = "example|sample|dummy|test|your|here|changeme|placeholder|redacted|required|optional|secret|token|password|passwd|bearer|key|none|null|true|false|http|https|www|com|org|net|mail|html|page|index|file|path|name|user|data|license|version|local|share|config|value|type|abcdef|0123456789|123456|xxxx|0000|get|set|env|api"  # noqa: S105
+_PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY-----|\z)"
+_NAMED = rf"""(?<![A-Za-z0-9_-])[A-Za-z0-9_-]*?(?i:{NAMES})[A-Za-z0-9_-]*["']?\s{{0,4}}(?:=>?|:)\s{{0,4}}(?:Bearer\s+)?"""
+_VALUE = r"""(?:"[^"\n]{4,}|'[^'\n]{4,}|[^\s"'<>,;&]{4,})"""
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z0-9+/_-]*[a-z+/_-]+[A-Z])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9=]))?"
+#: A candidate: a private key's block; what is assigned to a secret's name, of 4 characters or more; or 16 or more characters of keys and tokens with a digit or mixed case.
+CANDIDATE = f"{_PEM}|{_NAMED}{_VALUE}|{_RUN}"
+#: Documents whose text stands around the findings that are made for training, at most: those of the smallest hashes of their ids.
+FIT_DOCUMENTS = 2_000
+#: Characters of neighbouring words that the forest sees on each side.
+CONTEXT = 64
+_OPEN, _CLOSE = "\x01", "\x02"
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart: a hash of the text; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """One row for each candidate of a text: doc_id, path, start, end (characters from 0), candidate, before, after."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.col(path) if path else F.lit(None)).cast("string").alias("path"), text.alias("text")).where(F.col("text").rlike(CANDIDATE))
-    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split("text", CANDIDATE, -1)
-    rows = rows.select("doc_id", "path", "text", F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap"))).alias("z"))
-    # running sums of lengths: a fold that carries the position, one struct for each candidate
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<hit:string,start:int>>").alias("out"))
-
-    def step(s: Column, z: Column) -> Column:
-        begin = s["at"] + z["gap"]
-        return F.struct((begin + F.length(z["hit"])).alias("at"), F.concat(s["out"], F.array(F.struct(z["hit"].alias("hit"), begin.alias("start")))).alias("out"))
-
-    rows = rows.select("doc_id", "path", "text", F.explode(F.aggregate("z", start, step, lambda s: s["out"])).alias("c"))
-    begin, hit = F.col("c.start"), F.col("c.hit")
-    low = F.greatest(begin - CONTEXT, F.lit(0))
-    return rows.select(
-        "doc_id", "path", begin.alias("start"), (begin + F.length(hit)).alias("end"), hit.alias("candidate"),
-        F.substring("text", low + 1, begin - low).alias("before"), F.substring("text", begin + F.length(hit) + 1, F.lit(CONTEXT)).alias("after"),
+    """One row for each candidate of a text: doc_id, text_key, path, start, end (characters from 0), candidate, before, after; other columns whose names begin with `__` stay.
+
+    One pass of the pattern marks the candidates; the marked text is split, and lengths before a candidate are summed over
+    the pieces of its row.
+    """
+    text = F.translate(F.coalesce("text", F.lit("")), _OPEN + _CLOSE, "  ")
+    more = [c for c in docs.columns if c.startswith("__")]
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), (F.col(path) if path else F.lit(None)).cast("string").alias("path"), *more, F.regexp_replace(text, CANDIDATE, f"{_OPEN}$0{_CLOSE}").alias("marked"))
+    rows = rows.where(F.contains("marked", F.lit(_CLOSE))).withColumn("row", F.monotonically_increasing_id())
+    pieces = F.transform(F.split("marked", _CLOSE, -1), lambda x: F.split(x, _OPEN, -1))
+    rows = rows.select("doc_id", "text_key", "path", *more, "row", pieces.alias("p"))
+    last, own = (lambda i: F.concat(F.coalesce(F.get("p", i - 1)[1], F.lit("")), F.get("p", i)[0])), (lambda i: F.get("p", i)[1])
+    after = lambda i: F.concat(F.get("p", i + 1)[0], F.coalesce(F.get(F.get("p", i + 1), F.lit(1)), F.lit("")))
+    each = F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.struct(F.length(F.get("p", i)[0]).alias("gap"), own(i).alias("hit"), F.right(last(i), F.lit(CONTEXT)).alias("before"), F.left(after(i), F.lit(CONTEXT)).alias("after")))
+    rows = rows.select("doc_id", "text_key", "path", *more, "row", F.posexplode(each).alias("at", "x")).select("doc_id", "text_key", "path", *more, "row", "at", "x.*")
+    upto = F.sum(F.col("gap") + F.length("hit")).over(Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("end", upto.cast("int"))
+    name = F.regexp_extract("hit", rf"^{_NAMED}[\"']?", 0)
+    name = F.when(F.length("hit") - F.length(name) >= 4, name).otherwise(F.lit(""))
+    return rows.withColumn("name", name).select(
+        "doc_id", "text_key", "path", *more, (F.col("end") - F.length("hit") + F.length("name")).alias("start"), "end", F.expr("substring(hit, length(name) + 1)").alias("candidate"),
+        F.right(F.concat("before", "name"), F.lit(CONTEXT)).alias("before"), "after",
     )
 
 
@@ -65,11 +79,12 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_marks": count("[+/_=-]") / n,
         "f_letter_digit": count("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])") / n,
         "f_lower_upper": count("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n,
+        "f_spaces": count(r"\s") / n,
         "f_repeats": count(r"(.)(?=\1)") / n,
         "f_vowels": count("[aeiou]", low) / n,
         "f_hex": F.when(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 1.0).otherwise(0.0),
         "f_dictionary": 1 - F.length(F.regexp_replace(low, DICTIONARY, "")) / n,
-        "f_name_before": F.when(before.rlike(rf"(?:{NAMES})\W{{0,8}}$"), 1.0).otherwise(0.0),
+        "f_name_before": F.when(before.rlike(rf"(?:{NAMES})[a-z0-9_-]{{0,24}}\W{{0,8}}(?:bearer )?$"), 1.0).otherwise(0.0),
         "f_name_near": F.when(before.rlike(NAMES), 1.0).otherwise(0.0),
         "f_assigned": F.when(before.rlike("[=:]\\s*[\"']?$"), 1.0).otherwise(0.0),
         "f_quoted": F.when(before.rlike("[\"']$") & after.rlike("^[\"']"), 1.0).otherwise(0.0),
@@ -80,84 +95,109 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
     return found.withColumns(made), list(made)
 
 
-def ruled(found: DataFrame) -> DataFrame:
-    """`found` with `label`: 1 for a value made of no dictionary word right after a secret's name and an assignment."""
-    named = F.lower("before").rlike(rf"(?:{NAMES})\W{{0,8}}[=:]\s*[\"']?$")
-    plain = F.lower("candidate").rlike(DICTIONARY)
-    return found.withColumn("label", F.when(named & ~plain, 1.0).otherwise(0.0))
-
-
-def labelled_findings(found: DataFrame) -> DataFrame:
-    """Labelled findings made from candidates of the corpus: `found` with `label` 1 or 0.
-
-    The corpus has none by people, so rules stand in: see ruled(). Of each secret also three that are none are made, with the context kept: a placeholder, a run of
-    one character, and the same value under a harmless name; and two further secrets: of other alphabets, without
-    quotation marks. Where labels by people exist, they take the place of this table.
+def _made(seed: Column) -> list[Column]:
+    """Structs (made, secret) for a row's hash: findings of known truth, of many kinds. `secret` is what is secret in the text, or null."""
+    h = lambda k: F.sha2(F.concat_ws("/", F.lit(k), seed.cast("string")), 256)
+    b64 = lambda k: F.base64(F.unhex(h(k)))
+    plain = lambda k, n: F.left(F.concat(*(F.translate(b64(f"{k}{i}"), "+/=\r\n", "") for i in range(2))), F.lit(n))
+    letters = lambda k, n: F.left(F.translate(b64(k), "0123456789+/=\r\n", "qwertyuiop"), F.lit(n))
+    pick = lambda k, *of: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in of)), F.pmod(F.xxhash64(seed, F.lit(k)), F.lit(len(of))).cast("int") + 1)
+    word = lambda k: pick(k, "river", "stone", "maple", "cloud", "amber", "falcon", "copper", "meadow", "harbor", "violet", "winter", "rocket")
+    name = lambda k: pick(k, "token", "api_key", "secret", "password", "client_secret", "ACCESS_TOKEN", "auth_token", "AWS_SECRET_ACCESS_KEY", "db_password", "apiKey", "private_key", "PASSWD")
+
+    def assigned(k: str, v: Column) -> Column:
+        n = name(k + "n")
+        forms = [F.concat(n, F.lit(a), v, F.lit(b)) for a, b in ((' = "', '"'), (": '", "'"), ("=", ""), ('": "', '",'), (": ", ""), (" => '", "'"), ("=", "&page=2"), (' = "', '";'))]
+        return pick(k + "f", *forms)
+
+    key = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64("k1"), F.lit("\n"), b64("k2"), F.lit("\n-----END RSA PRIVATE KEY-----"))
+    secret = {
+        "hex": F.left(h("a"), pick("an", 32, 40, 64)), "base64": b64("b"), "plain": plain("c", pick("cn", 20, 24, 32, 40)), "access": F.concat(F.lit("AKIA"), F.upper(plain("d", 16))), "git": F.concat(F.lit("ghp_"), plain("e", 36)),
+        "live": F.concat(pick("gp", "sk_live_", "xoxb-", "glpat-"), plain("g", 24)), "short": F.concat(plain("i", pick("in", 8, 10, 12)), pick("im", "!", "#", "", "$")), "letters": letters("j", pick("jn", 12, 18, 24)), "phrase": F.concat(word("l"), word("m"), word("n"), word("o")),
+    }
+    yes = [(assigned(k, v), v) for k, v in secret.items()] + [(assigned(k + "2", v), v) for k, v in secret.items()]
+    yes += [(key, key), (F.concat(F.lit("Authorization: Bearer "), plain("q", 40)), plain("q", 40)), (F.concat(F.lit("https://api.host.io/v1?token="), plain("r", 32)), plain("r", 32))]
+    yes += [(F.concat(pick("sf", "we use ", "key ", "", "log in by "), secret[k]), secret[k]) for k in ("access", "git", "live")]
+    digest = lambda k: F.left(h(k), pick(k + "n", 32, 40, 64))
+    uuid = F.regexp_replace(F.left(h("u"), F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    holder = pick("v", "your_token_here", "YOUR_API_KEY", "xxxxxxxxxxxxxxxx", "changeme", "example_password", "${SECRET_TOKEN}", "********", "0123456789abcdef", "aaaaaaaaaaaaaaaaaaaa", "required", "none", "null", "os.environ", "test_token_1234", "redacted", "bearer", "get_token(user)", "optional", "string")
+    digits = F.translate(F.left(h("w"), pick("wn", 16, 18, 20)), "abcdef", "123456")
+    no = [F.concat(pick("x1", "commit ", "sha256: ", "revision ", "checksum = \"", "md5 ", "ETag: \"", "image@sha256:", "digest: ", "trace id "), digest("x")), F.concat(pick("x2", "uuid ", "request id: ", "guid = ", ""), uuid)]
+    no += [assigned("y", holder), assigned("y2", pick("v2", "your_secret_here", "placeholder", "<password>", "changeme123", "xxxx-xxxx-xxxx", "example", "true", "dummy_token_000")), F.concat(pick("x3", "order ", "invoice ", "phone ", "card ", "isbn "), digits)]
+    no += [F.concat(word("z1"), F.lit("_"), word("z2"), F.lit("_"), word("z3"), F.lit("_2")), F.concat(word("z4"), F.initcap(word("z5")), F.initcap(word("z6")), F.initcap(word("z7"))), F.concat(F.lit("/usr/local/share/"), word("z8"), F.lit("/v2/"), word("z9"))]
+    no += [F.concat(F.lit("data:image/png;base64,"), b64("za"), b64("zb")), F.concat(F.lit("ssh-rsa AAAAB3NzaC1yc2E"), b64("zc"), F.lit(" public key")), F.concat(F.lit("the auth: "), word("zd"), F.lit(" and token: "), word("ze")), F.concat(F.lit("see https://www.host.org/page/"), word("zf"), F.lit("-2024-index.html"))]
+    none = F.lit(None).cast("string")
+    return [F.struct(t.alias("made"), v.alias("secret")) for t, v in [*yes, *((t, none) for t in no)]]
+
+
+def labelled_findings(docs: DataFrame, documents: int = FIT_DOCUMENTS, salt: int = 0, path: str | None = "source") -> DataFrame:
+    """Candidates with `label` 1 or 0, where people have labelled none: secrets and values that are none, made by _made(), each in a text of the corpus.
+
+    The truth is what was put in, not a rule over what the forest sees: the same names stand before secrets and
+    placeholders, and the same alphabets are secrets and digests. Words around come from `documents` documents.
     """
-    told = ruled(found)
-    secret = told.where("label = 1")
-    digest = F.sha2(F.concat_ws("/", "candidate", F.col("doc_id").cast("string")), 256)
-    bare = F.regexp_replace("before", "[\"']$", "")
-    made = [
-        secret.withColumn("candidate", F.concat(F.lit("your_token_here_"), F.substring(digest, 1, 4))).withColumn("label", F.lit(0.0)),
-        secret.withColumn("candidate", F.concat(F.repeat(F.substring("candidate", 1, 1), 24), F.lit("0"))).withColumn("label", F.lit(0.0)),
-        secret.withColumn("before", F.concat(F.element_at(F.array(*map(F.lit, ("commit ", "sha256: ", "checksum = ", "uuid "))), F.pmod(F.hash("candidate"), F.lit(4)) + 1))).withColumn("after", F.lit(" ")).withColumn("label", F.lit(0.0)),
-        secret.withColumn("candidate", F.substring(F.translate(F.base64(F.unhex(digest)), "=", ""), 1, 40)),
-        secret.withColumn("candidate", F.upper(F.substring(F.translate(F.base64(F.unhex(digest)), "=+/", ""), 1, 24))).withColumn("before", bare).withColumn("after", F.lit("\n")),
-    ]
-    return reduce(DataFrame.unionByName, made, told)
-
-
-def train(labelled: DataFrame, trees: int = 40, depth: int = 8) -> RandomForestClassificationModel | None:
-    """A forest of labelled findings; None where they aren't of both kinds."""
+    some = docs.select("doc_id", (F.col(path) if path else F.lit(None)).cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    some = some.withColumn("seed", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(salt))).orderBy("seed", "path").limit(documents)
+    at = F.pmod("seed", F.greatest(F.length("text"), F.lit(1))).cast("int")
+    around = F.regexp_replace(F.substring(F.col("text"), at + 1, F.lit(160)), CANDIDATE, " ")
+    some = settled(some.select("doc_id", "path", "seed", around.alias("around")))
+    half = F.floor(F.length("around") / 2).cast("int")
+    kinds = _made(F.col("seed"))
+    some_kinds = [F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), m.alias("m")) for k, m in list(enumerate(kinds))[at : at + 6]))) for at in range(0, len(kinds), 6)]  # so that the code of each is small
+    rows = reduce(DataFrame.unionByName, [some.select("doc_id", "path", "around", x.alias("x")) for x in some_kinds]).select("doc_id", "path", "around", "x.*")
+    mark = F.when(F.pmod(F.hash("kind", "around"), F.lit(2)) == 0, " ").otherwise("\n")
+    text = F.concat(F.left(F.col("around"), half), mark, F.col("m.made"), mark, F.expr("substring(around, cast(floor(length(around) / 2) as int) + 1)"))
+    planted = rows.select("doc_id", "path", text.alias("text"), F.col("m.secret").alias("__secret"), "kind")
+    found = candidates(planted, "path")
+    held = F.contains("__secret", F.col("candidate")) | F.contains("candidate", F.col("__secret"))
+    return found.withColumn("label", F.when(F.coalesce(held, F.lit(False)), 1.0).otherwise(0.0)).drop("__secret")
+
+
+def train(labelled: DataFrame, trees: int = 40, depth: int = 10) -> RandomForestClassificationModel | None:
+    """A forest of labelled findings; None where there are none."""
     rows, names = features(labelled)
     rows = settled(VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label"))
-    if rows.select("label").distinct().count() < 2:
+    if rows.isEmpty():
         return None
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt").fit(rows)
 
 
+def scored(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
+    """`found` with `score`, the forest's share of votes for a secret, and `is_secret` (0.5 or more). Without a model nothing is removed: all score 1."""
+    if model is None:
+        return found.withColumn("score", F.lit(1.0)).withColumn("is_secret", F.lit(True))
+    rows, names = features(found)
+    votes = vector_to_array("probability")
+    share = F.coalesce(F.get(votes, F.lit(1)), F.lit(0.0))  # a forest that knows only label 0 has one class
+    out = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
+    return out.select(*found.columns, share.alias("score")).withColumn("is_secret", F.col("score") >= 0.5)
+
+
 def scan(docs: DataFrame, path: str | None = "source", labelled: DataFrame | None = None, documents: int = FIT_DOCUMENTS) -> DataFrame:
     """Candidates of `docs` (doc_id, text and the column `path`) with `score` and `is_secret` (score >= 0.5).
 
-    The forest is trained on `labelled` (columns of candidates() and label), else on labelled_findings() of `documents`
-    documents. Where all of these have one label, the score is the label of ruled().
-    Null and empty texts have no candidates. Repeated rows have theirs again. Extra columns are ignored.
+    The forest is trained on `labelled` (columns of candidates() and label), else on labelled_findings() made in texts of
+    `documents` documents. Null and empty texts have no candidates. Repeated rows have theirs again. Extra columns are ignored.
     """
+    docs = docs.select("doc_id", "text", *([path] if path else []))
     found = settled(candidates(docs, path))
-    if labelled is None:
-        ids = found.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-        labelled = labelled_findings(found.join(F.broadcast(ids), "doc_id", "left_semi"))  # at most `documents` ids
-    model = train(labelled)
-    if model is None:
-        return ruled(found).withColumnRenamed("label", "score").withColumn("is_secret", F.col("score") >= 0.5)
-    rows, names = features(found)
-    scored = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
-    score = vector_to_array("probability")[1]
-    return scored.select("doc_id", "path", "start", "end", "candidate", "before", "after", score.alias("score")).withColumn("is_secret", F.col("score") >= 0.5)
+    return scored(found, train(labelled_findings(docs, documents, path=path) if labelled is None else labelled))
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every secret of `findings` in `text` replaced by `mark`; n_chars, if there, counts anew.
 
-    Spans of a document are gathered by its id; documents that share an id share their text's findings only where the
-    span's text agrees.
+    Findings belong to a doc_id (null too) and a text, so rows that share an id have their own. Null texts stay null.
     """
-    spans = findings.where("is_secret").groupBy(F.col("doc_id").alias("__id"))
-    spans = spans.agg(F.array_sort(F.collect_set(F.struct("start", "end", "candidate"))).alias("__spans"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    spans = findings.where("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    spans = spans.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
     text = F.col("text")
-
-    def step(s: Column, x: Column) -> Column:
-        length = x["end"] - x["start"]
-        fits = (F.substring(text, x["start"] + 1, length) == x["candidate"]) & (x["start"] >= s["at"])
-        moved = F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("out"))
-        return F.when(fits, moved).otherwise(s)
-
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"]))
-    clean = F.when(F.col("__spans").isNull() | text.isNull(), text).otherwise(F.aggregate("__spans", start, step, rest))
-    out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("text", clean)
+    upto = lambda i: F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))
+    pieces = F.transform("__spans", lambda x, i: F.concat(F.substring(text, upto(i) + 1, x["start"] - upto(i)), F.lit(mark)))
+    clean = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at("__spans", -1)["end"] + 1, F.length(text)))
+    found = F.col("__spans").isNotNull() & text.isNotNull()
+    out = docs.withColumn("__own", text_key(text)).join(spans, (F.col("__own") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    out = out.withColumn("__found", found).withColumn("text", F.when(found, clean).otherwise(text))
     if "n_chars" in docs.columns:
-        changed = F.col("__spans").isNotNull() & text.isNotNull()
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__found"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -123,12 +123,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 1) -> DataFrame:
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """`docs` with the spans cut out of `text`, and `removed` (array of start and end in the original text; null if none). Spans cut only the text they were found in."""
     cuts = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        return F.struct(x["end"].alias("at"), F.array_append(s["out"], F.substring("text", s["at"] + 1, x["start"] - s["at"])).alias("out"))
-
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring("text", s["at"] + 1, F.length("text") - s["at"]))
+    upto = lambda i: F.coalesce(F.get("removed", i - 1)["end"], F.lit(0))
+    pieces = F.transform("removed", lambda x, i: F.substring("text", upto(i) + 1, x["start"] - upto(i)))
+    clean = F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.element_at("removed", -1)["end"] + 1, F.length("text")))
     # ids without a cut, null ones too, match nothing and lie spread by their text
     out = docs.withColumn("__own", text_key(F.col("text"))).join(cuts, (F.col("__own") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.aggregate("removed", start, step, rest))).select(*docs.columns, "removed")
+    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns, "removed")
