@@ -424,13 +424,23 @@ def test_chat(spark):
         loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    for r in chat.expand(chats).collect():
+    expanded = chat.expand(chats).where("example is not null")
+    for r in expanded.collect():
         assert r.text.endswith("<|end|>") and r.loss_end == len(r.text) - len("<|end|>")
         assert not re.search(r"<\||</?s>|\[/?INST\]|SYS>>", re.sub(r"<\|(turn|text|end)\|>", "", r.text)) or "\\" in r.text
-    assert chat.expand(chats).count() == sum(r[2] == "assistant" for r in rows)
+    assert expanded.count() == sum(r[2] == "assistant" for r in rows)
     assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_long_chats(spark):
+    """A conversation of many turns and one of a very long text."""
+    rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k} \\ <|end|>") for k in range(400)] + [(2, 0, "user", "q"), (2, 1, "assistant", "[INST]\\x " * 100_000)]
+    got = {r.conv_id: r for r in chat.digests(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in (1, 2):
+        loss = "".join(r[3] for r in rows if r[0] == c and r[2] == "assistant")
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (sum(r[0] == c for r in rows), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_substrings(spark, messy, none):
     passage = " ".join(words(77, 12)) + ". " + " ".join(words(78, 15)) + ". " + " ".join(words(79, 14)) + "."
     rows = [(500, f"Start here it is. {passage} Then the end.", "s", 0, "c", 1), (501, f"Another begin\n{passage.upper()}\nand another end.", "s", 0, "c", 1), (502, "Start here it is. A short one.", "s", 0, "c", 1)]
@@ -513,7 +523,7 @@ def test_pipeline(spark, small, messy):
     ids = {r.doc_id for r in kept.collect()}
     assert sum((i in ids) == bool(q) for i, q in labels.items()) >= 0.97 * len(labels)
     one = corpus_pipeline.one_of_each(spark, docs, small)
-    groups = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    groups = {r.component_id for r in jaccard.near_duplicates(docs).collect()}
     assert {r.doc_id for r in one.collect()} == groups and one.count() == len(groups)
     assert corpus_pipeline.without_secrets(spark, docs, small).where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
     taken = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).collect()}
@@ -525,10 +535,58 @@ def test_pipeline(spark, small, messy):
     out = corpus_pipeline.run(spark, small)
     assert out.groupBy("bin_id").agg(F.sum("n_words").alias("n")).where("n > 2048").count() == 0 and out.count() > 0
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, messy, small).count() >= 0, name
         assert stage(spark, messy.limit(0), small).count() == 0, name
 
 
+def test_stages_on_messy_rows(spark, small, messy):
+    """What each stage keeps of nulls, empty and long texts and repeated rows."""
+    rows = {(r.doc_id, r.text) for r in messy.collect()}
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.good_documents(spark, messy, small).collect()}
+    assert kept <= rows
+    one = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, messy, small).collect()]
+    ids = sorted(i for i, _ in one if i is not None)
+    assert set(one) <= rows and len(one) == len(ids) + 1 and ids == sorted({1, 4, 7, 8, 9, 10, *range(20, 60)})  # 2 and 3 are like 1; 4 to 6 have no words
+    clean = {(r.doc_id, r.text) for r in corpus_pipeline.without_secrets(spark, messy, small).collect()}
+    assert rows - clean == {(10, 'x token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" y')} and (10, 'x token = "[SECRET]" y') in clean
+    taken = {}
+    for r in mixing.mix(messy).collect():
+        taken[r.doc_id, r.source, r.size] = taken.get((r.doc_id, r.source, r.size), 0) + r.copies
+    got = {}
+    for r in corpus_pipeline.mixed(spark, messy, small).collect():
+        key = r.doc_id, r.source, len((r.text or "").split())
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: v for k, v in taken.items() if v}
+    packed = corpus_pipeline.packed(spark, messy, small).collect()
+    assert sum(r.n_words for r in packed) == sum(len((t or "").split()) for _, t in [(r.doc_id, r.text) for r in messy.collect()])
+
+
+def test_one_of_each_by_row(spark):
+    """Rows that share an id are told apart by their texts: no text is lost, no copy kept."""
+    a, b = " ".join(words(1, 60)), " ".join(words(2, 60))
+    docs = spark.createDataFrame([(3, a, "s"), (9, a, "s"), (9, b, "t"), (None, b, "t"), (9, b, "u"), (None, a[::-1], "v")], "doc_id long, text string, source string")
+    got = {tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    assert got == {(3, a, "s"), (9, b, "t"), (None, a[::-1], "v")}
+
+
+def test_pipeline_goes_on_where_it_failed(spark, small, tmp_path, monkeypatch):
+    folder, calls = str(tmp_path / "run"), []
+    ready = spark.read.parquet(f"{small}/documents.parquet").limit(50)
+
+    def stage(name, fails):
+        def f(s, docs, d):
+            calls.append(name)
+            if fails and calls.count(name) == 1:
+                raise RuntimeError(name)
+            return ready
+
+        return f
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage("one", False)), ("two", stage("two", True))])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, small, folder)
+    assert corpus_pipeline.run(spark, small, folder).count() == 50 and calls == ["one", "two", "two"]
+
+
 @pytest.mark.parametrize("part", [256, 3])
 def test_pipeline_drops_near_copies(spark, monkeypatch, part):
     """Texts that share 0.8 of their five-word shingles, far beyond 4 bits of a fingerprint, are one group; in the components of all pairs."""

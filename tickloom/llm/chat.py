@@ -46,19 +46,20 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["fragment"]), "").alias("formatted"), F.array_sort(F.collect_list(example)).alias("examples"))
 
 
-def expand(chats: DataFrame) -> DataFrame:
-    """One row for each example of format_chats(): conv_id, example, text (context and reply), loss_start, loss_end.
+def expand(chats: DataFrame, *more: str) -> DataFrame:
+    """One row for each example of format_chats(): conv_id, columns `more`, example, text (context and reply), loss_start, loss_end.
 
-    Contexts are written out here, so a conversation takes space as the square of its turns; readers that can follow
-    offsets use `examples` itself.
+    Every assistant turn is an example with all turns before it as context. Contexts are written out, so a conversation
+    takes space as the square of its turns; readers that can follow offsets may use `examples` itself. A conversation
+    without an assistant turn has one row of nulls, as the columns `more` belong to it too.
     """
-    rows = chats.select("conv_id", "formatted", F.explode("examples").alias("e"))
-    return rows.select("conv_id", "e.example", F.substring("formatted", F.lit(1), F.col("e.prefix_end").cast("int")).alias("text"), "e.loss_start", "e.loss_end")
+    rows = chats.select("conv_id", *more, "formatted", F.explode_outer("examples").alias("e"))
+    return rows.select("conv_id", *more, "e.example", F.substring("formatted", F.lit(1), F.col("e.prefix_end").cast("int")).alias("text"), "e.loss_start", "e.loss_end")
 
 
-def read_back(chats: DataFrame) -> DataFrame:
-    """What format_chats() holds, parsed from `formatted` and `examples`: conv_id, turns (array of role, text), replies."""
-    pieces = F.split("formatted", F.lit(r"\Q" + TURN + r"\E"))
+def turns_of(formatted: Column) -> Column:
+    """The turns (array of role, text) that `formatted` holds, parsed and unescaped."""
+    pieces = F.split(formatted, F.lit(r"\Q" + TURN + r"\E"))
 
     def turn(piece: Column) -> Column:
         halves = F.split(piece, F.lit(r"\Q" + TEXT + r"\E"))
@@ -66,20 +67,20 @@ def read_back(chats: DataFrame) -> DataFrame:
         text = F.substring(body, F.lit(1), F.length(body) - len(END))
         return F.struct(unescaped(halves[0]).alias("role"), unescaped(text).alias("text"))
 
-    def reply(e: Column) -> Column:
-        return unescaped(F.substring(F.col("formatted"), (e["loss_start"] + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int")))
-
-    return chats.select(
-        "conv_id", F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), turn).alias("turns"),
-        F.transform("examples", reply).alias("replies"), F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), turn)
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted text."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: turns read back from the formatted text, the loss from the examples of expand()."""
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("replies", "")
-    return read_back(chats).select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    read = chats.withColumn("turns", turns_of(F.col("formatted"))).select(
+        "conv_id", "formatted", "examples", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told.cast("binary"), 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+    whole = ["n_turns", "turns_sha256", "formatted_chars"]
+    reply = F.substring("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    rows = expand(read, *whole).select("conv_id", *whole, "example", unescaped(reply).alias("reply"))
+    # the examples of a conversation lie in one partition already
+    rows = rows.groupBy("conv_id", *whole).agg(F.array_sort(F.collect_list(F.struct("example", "reply"))).alias("r"))
+    loss = F.array_join(F.transform("r", lambda x: x["reply"]), "")
+    return rows.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import checkpoint_folder, settled
 
-__all__ = ["WORD", "checkpoint_folder", "connected_components", "n_words", "settled", "table"]
+__all__ = ["WORD", "checkpoint_folder", "connected_components", "n_words", "settled", "table", "text_key"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart: a hash of the text; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of `edges` (a long, b long); component is the smallest node reachable.
 

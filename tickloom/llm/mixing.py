@@ -70,10 +70,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     size classes of a source, the very last remainder is drawn by itself.
 
     Null texts have no words and take none. Null sources are a source, the last in order. Repeated rows (same id, source
-    and size) are rounded as one, with equal copies. An empty table gives none.
+    and size; without an id, same text) are rounded as one, with equal copies. An empty table gives none.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    items = settled(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("nameless"))
+    items = settled(sized.groupBy("doc_id", "source", "size", "nameless").agg(F.count("*").alias("m")).drop("nameless"))
     sources = settled(targets(items.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), weights, share, limit))
     s = sources.withColumnRenamed("source", "s")
     items = items.join(s, F.col("source").eqNullSafe(F.col("s"))).drop("s")

@@ -74,11 +74,14 @@ def pack(docs: DataFrame, capacity: int = 2048, cluster: str | None = None, shar
     and of a cluster. A hot source or cluster therefore opens more bins, spread evenly over the shards; nothing is dropped.
 
     Null texts and texts without words have one piece of 0 words in a bin with position and conflicts like any other. Null
-    sources and clusters conflict with nothing. Repeated rows are copies 0, 1, ... and never share a bin unless without words.
+    sources and clusters conflict with nothing. Rows of one doc_id are copies 0, 1, ... and rows without one are so numbered
+    within their cluster; copies never share a bin unless without words.
     """
     key = F.col(cluster) if cluster else exact_cluster(F.col("text"))
     rows = docs.select("doc_id", "source", key.alias("cluster"), n_words(F.col("text")).alias("size"))
-    copies = Window.partitionBy("doc_id").orderBy("source", "cluster", "size")
+    # rows without an id are numbered by cluster, or else by what size they have, as there may be very many
+    rows = rows.withColumn("nameless", F.when(F.col("doc_id").isNull(), F.coalesce(F.col("cluster").cast("string"), F.concat(F.lit("size"), F.col("size").cast("string")))))
+    copies = Window.partitionBy("doc_id", "nameless").orderBy("source", "cluster", "size")
     rows = settled(rows.withColumn("copy", F.row_number().over(copies) - 1))
     full = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / capacity)
     rows = rows.withColumn("full", full.cast("int"))
@@ -87,14 +90,14 @@ def pack(docs: DataFrame, capacity: int = 2048, cluster: str | None = None, shar
     whole = rows.where("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
     whole = whole.select(
         "doc_id", "copy", "source", "cluster", "piece", (F.col("piece").cast("long") * capacity).alias("start_word"), F.lit(capacity).cast("long").alias("n_words"),
-        F.concat_ws("-", F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"), F.col("piece").cast("string")).alias("bin_id"),
+        F.concat_ws("-", F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.col("nameless"))), F.col("copy").cast("string"), F.col("piece").cast("string")).alias("bin_id"),
         F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("bin_offset"),
     )
 
     tail = rows.withColumn("start_word", F.col("full").cast("long") * capacity)
     kinds = {c: tail.schema[c].dataType for c in ("doc_id", "source", "cluster")}
     tail = tail.select(*(F.col(c).cast("string").alias(c) if c in kinds else c for c in ("doc_id", "copy", "source", "cluster")), F.col("full").alias("piece"), "start_word", (F.col("size") - F.col("start_word")).alias("n_words"))
-    tail = tail.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards)))  # text keys: pandas has no null integers
+    tail = tail.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(shards)))  # text keys: pandas has no null integers
     out = "bin_id string, position long, bin_offset long"
 
     def run(b: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, text_key
 
 #: Names that stand before secrets, and words that stand by digests which are none.
 NAMES = "token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
@@ -31,11 +31,6 @@ CONTEXT = 64
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
-def text_key(text: Column) -> Column:
-    """Tells rows of one doc_id apart: a hash of the text; a null text is empty."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """One row for each candidate of a text: doc_id, text_key, path, start, end (characters from 0), candidate, before, after; other columns whose names begin with `__` stay.
 

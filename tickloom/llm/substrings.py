@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, text_key
 
 _TOKEN = re.compile(r"\n|\S+")
 #: A sentence ends with a word that ends with its mark and what else is no letter.
@@ -61,11 +61,6 @@ def units(text: str, ends: Callable[[str], bool] | None = None) -> Iterator[tupl
         yield start, end, len(own), " ".join(own)
 
 
-def text_key(text: Column) -> Column:
-    """Tells rows of one doc_id apart: a hash of the text; a null text is empty."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def with_units(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, text_key and arrays digest, start, end, words, times of its units.
 
