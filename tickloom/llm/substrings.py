@@ -88,31 +88,33 @@ def with_units(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """Spans of `docs` (doc_id, text) to remove: doc_id, text_key, start, end (characters of the original text), n_words, kept_in.
 
-    The occurrence of a unit that is first in order of doc_id (null last), text_key and position stays; every other one is
+    The occurrence of a unit that is first in order of doc_id (null last) and position stays; every other one is
     repeated. Repeated units that follow on one another form a span, so a repeated line is one. With `min_words` a span
     stays unless so many words of it have their first occurrence in one document: texts share short lines by chance or
     habit. kept_in is the document of the most words (of equals the smallest id).
 
-    Rows of one doc_id are told apart by their text; rows that share both are one. Null, empty and blank texts have no units.
+    Rows of one doc_id are told apart by their text; what is first in one of them stays in all of that id, and what only
+    rows without an id have stays there. Null, empty and blank texts have no units.
 
     A unit goes to the count once for each document, with its number there; the digests that occur twice or more are
     written before all units meet them, so that adaptive execution can split the join where one digest has most of them.
     """
-    rows = settled(with_units(docs))
-    each = rows.select("doc_id", "text_key", F.posexplode(F.arrays_zip("digest", "start", "end", "words", "times")).alias("pos", "u"))
-    each = each.select("doc_id", "text_key", "pos", "u.digest", "u.start", "u.end", "u.words", "u.times")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    first = each.where("times > 0").groupBy("digest").agg(F.min(place).alias("first"), F.sum("times").alias("times"))
+    rows = settled(with_units(docs).withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", "doc_id", F.posexplode(F.arrays_zip("digest", "start", "end", "words", "times")).alias("pos", "u"))
+    first = each.where("u.times > 0").groupBy("u.digest").agg(F.min("doc_id").alias("first"), F.sum("u.times").alias("times"))
     first = settled(first.where("times > 1").select("digest", "first"))
-    again = each.join(first, "digest").where((F.col("times") == 0) | (place != F.col("first")))
-    again = again.select("doc_id", "text_key", "pos", "start", "end", "words", F.col("first.id").alias("kept_in")).repartition("doc_id", "text_key")
-    again = again.dropDuplicates(["doc_id", "text_key", "pos"])
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("pos"))
-    parts = again.withColumn("run", island).groupBy("doc_id", "text_key", "run", "kept_in")
+    later = F.coalesce(F.col("doc_id") > F.col("first"), F.col("doc_id").isNull() & F.col("first").isNotNull())
+    words = F.when(F.col("u.times") == 0, -F.col("u.words")).otherwise(F.col("u.words"))  # below 0: not the first in its text
+    each = each.select("row", "doc_id", "pos", "u.digest", "u.start", "u.end", words.alias("words"))
+    again = each.join(first, "digest").where((F.col("words") < 0) | later)
+    again = again.select("row", "pos", "start", "end", F.abs("words").alias("words"), F.col("first").alias("kept_in"))
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("row").orderBy("pos"))
+    parts = again.withColumn("run", island).groupBy("row", "run", "kept_in")
     parts = parts.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n"))
     most = F.min_by("kept_in", F.struct(-F.col("n"), F.col("kept_in"))).alias("kept_in")
-    runs = parts.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.max("n").alias("most"), most)
-    return runs.where(F.col("most") >= min_words).drop("run", "most")
+    runs = parts.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.max("n").alias("most"), most)
+    spans = runs.where(F.col("most") >= min_words).join(rows.select("row", "doc_id", "text_key"), "row")
+    return spans.select("doc_id", "text_key", "start", "end", "n_words", "kept_in").distinct()  # repeated rows have the same spans
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
