@@ -59,14 +59,19 @@ def product_symbols(scraped: DataFrame, bridge: DataFrame) -> DataFrame:
 
 
 def new_products(scraped: DataFrame, bridge: DataFrame, symbol: str = "UNK") -> DataFrame:
-    """store_id, product_name, symbol, product_id of scraped products that the bridge lacks; ids go on from the largest there.
-
-    Numbering needs one order over all new products, which are few beside the rows scraped.
-    """
+    """store_id, product_name, symbol, product_id of scraped products that the bridge lacks; ids go on from the largest there, by store_id and product_name."""
     new = scraped.select("store_id", "product_name").distinct().join(bridge, ["store_id", "product_name"], "left_anti")
     top = bridge.agg(F.coalesce(F.max("product_id"), F.lit(0)).alias("top"))
-    n = F.row_number().over(Window.orderBy("store_id", "product_name"))
-    return new.withColumn("n", n).join(F.broadcast(top)).select("store_id", "product_name", F.lit(symbol).alias("symbol"), (F.col("top") + F.col("n")).alias("product_id"))
+    return numbered(new, "store_id", "product_name").join(F.broadcast(top)).select("store_id", "product_name", F.lit(symbol).alias("symbol"), (F.col("top") + F.col("n")).alias("product_id"))
+
+
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """`rows` with `n`, their number from 1 in the order of `by`: the number in a range partition and the rows before it, not a sort of all rows in one task."""
+    parted = rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
+    parted = settled(parted.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*by))))
+    sizes = parted.groupBy("__part").agg(F.count("*").alias("__size"))  # a row for each partition
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parted.join(sizes.withColumn("__before", before), "__part").withColumn("n", F.col("__before") + F.col("__n")).drop("__part", "__n", "__size", "__before")
 
 
 def store_meta(stores: DataFrame, meta: DataFrame) -> DataFrame:

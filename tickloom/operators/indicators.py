@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profile import heatmap
+
 Keys = Sequence[str]
 
 
@@ -81,10 +83,15 @@ def recurrences(candles: DataFrame, columns: dict[str, Callable[[np.ndarray], np
         return out.dropna(subset=list(columns), how="all")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # the last series of what has been read, which may go on
+        held: list[pd.DataFrame] = []  # the last series of what has been read, which may go on; its parts are joined once
         for b in batches:
             if not len(b):
                 continue
+            ends = [*held[-1:], b.iloc[[0]], b.iloc[[-1]]]
+            series = pd.concat([x.iloc[[-1]] for x in ends], ignore_index=True).groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+            if held and series[0] == series[1] == series[2]:
+                held.append(b)
+                continue
             rows = pd.concat([*held, b], ignore_index=True)
             series = rows.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
             whole = int(np.searchsorted(series, series[-1]))
@@ -92,7 +99,7 @@ def recurrences(candles: DataFrame, columns: dict[str, Callable[[np.ndarray], np
             if whole:
                 yield made(rows.iloc[:whole])
         if held:
-            yield made(held[0])
+            yield made(pd.concat(held, ignore_index=True))
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*keys, "t")), *(f"{c} double" for c in columns)])
     return candles.select(*keys, "t", "c").repartition(*keys).sortWithinPartitions(*keys, "t").mapInPandas(run, schema)
@@ -181,6 +188,7 @@ def normalised(rows: DataFrame, value: str, keys: Keys, order: str) -> DataFrame
 REGISTRY: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "MA": (sma, {"period": 20}), "EMA": (ema_sma, {"period": 20}), "BOLL": (bollinger, {"period": 20, "k": 2.0}),
     "RSI": (rsi, {"period": 14, "high": 70, "low": 30}), "MACD": (macd, {"fast": 12, "slow": 26, "signal": 9}),
+    "HEATMAP": (heatmap, {"levels": 10, "hours": 24, "overlap": 0}),
 }
 
 

@@ -16,8 +16,9 @@ def _levels(candles: DataFrame, levels: int, keys: Keys) -> DataFrame:
     """`candles` with the series' low and bin width and the bar's first and last level; flat series are left out."""
     if levels < 1:
         raise ValueError("levels must be 1 or more")
-    whole = Window.partitionBy(*keys)
-    rows = candles.withColumns({"low": F.min("l").over(whole), "high": F.max("h").over(whole)}).where("high > low")
+    # partial minima and an equi-join, which can be split, so that no task holds a hot series' bars
+    edges = candles.groupBy(*keys).agg(F.min("l").alias("low"), F.max("h").alias("high")).where("high > low")
+    rows = candles.join(edges, list(keys))
     rows = rows.withColumn("bin", (F.col("high") - F.col("low")) / levels)
     at = lambda c: F.least(F.floor((F.col(c) - F.col("low")) / F.col("bin")), F.lit(levels - 1))
     return rows.withColumns({"a": at("l"), "b": at("h")})

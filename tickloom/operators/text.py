@@ -13,15 +13,27 @@ from pyspark.sql import functions as F
 def substring_search(names: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, rank, id: for each query (query_id, query) the first `limit` names (id, name) by id that contain it, case aside.
 
-    Names are cut into three-letter pieces, and a query meets only names with its rarest-looking piece, its first three
-    letters; shorter queries meet all names' pieces that they start. Empty queries find nothing. At most 100 are given.
+    Different names and different queries are matched, so repeated ones cost nothing. A query of three letters or more
+    meets the names that have its first three, by a join on three-letter pieces that carries numbers of names, not names;
+    the few candidates get their names back and are tested. There are few different shorter queries: each is tested on the
+    names. Empty queries find nothing. At most 100 are given.
     """
     limit = min(limit, 100)
-    n = names.select("id", F.lower("name").alias("name")).distinct()
-    starts = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
-    grams = n.select("id", "name", F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*(F.substring(F.col("name"), i, F.lit(k)) for k in (1, 2, 3))))))).alias("gram"))
-    q = queries.select("query_id", F.lower("query").alias("query")).where("query <> ''").withColumn("gram", F.substring("query", 1, 3))
-    hits = q.join(grams, "gram").where(F.contains("name", "query")).select("query_id", "id").distinct()
+    ids = names.select("id", F.lower("name").alias("name")).distinct()
+    n = ids.select("name").distinct().withColumn("__key", F.xxhash64("name"))
+    asked = queries.select("query_id", F.lower("query").alias("query")).where("query <> ''")
+    q = asked.select("query").distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1)))
+    grams = n.select("__key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("name"), i, F.lit(3))))).alias("gram"))
+    long = q.where(F.length("query") >= 3).withColumn("gram", F.substring("query", 1, 3)).join(grams, "gram").select("query", "__key")
+    found = long.join(n, "__key").where(F.contains("name", "query")).select("query", "name")
+    # one and two letters: the queries among a name's own pieces
+    short = n.select("name", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.array(*(F.substring(F.col("name"), i, F.lit(k)) for k in (1, 2))))))).alias("query"))
+    found = found.unionByName(short.join(q.where(F.length("query") < 3), "query", "left_semi").select("query", "name")).distinct()
+    first = ids.join(found, "name").select("query", "id").distinct()
+    of_query = F.row_number().over(Window.partitionBy("query").orderBy("id"))
+    first = first.withColumn("n", of_query).where(F.col("n") <= limit)
+    hits = asked.join(first, "query").select("query_id", "id").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
     return hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit).select("query_id", "rank", "id")
 

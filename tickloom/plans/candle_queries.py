@@ -80,39 +80,47 @@ def level_ranges(spark, d):
     return profile.level_ranges(profile.smoothed(profile.level_totals(heat(spark, d)), 1))
 
 
-@query()
+#: Levels by volume join the range that they touch, of two the one of the lower center, or start one: a step for each level.
+RANGES = f"""WITH RECURSIVE {USERS.removeprefix("WITH ")}, {TOTALS}, o AS (SELECT symbol, level, row_number() OVER (PARTITION BY symbol ORDER BY total DESC, level) AS n FROM totals),
+    g AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(b BIGINT, c BIGINT, e BIGINT)[]) AS r FROM o
+        UNION ALL SELECT symbol, n, CASE WHEN c IS NULL THEN list_append(r, {{'b': level, 'c': level, 'e': level}})
+            ELSE list_transform(r, lambda x: CASE WHEN x.c = c THEN {{'b': least(x.b, level), 'c': x.c, 'e': greatest(x.e, level)}} ELSE x END) END
+        FROM (SELECT g.symbol, o.n, g.r, o.level, list_min(list_transform(list_filter(g.r, lambda x: o.level = x.b - 1 OR o.level = x.e + 1), lambda x: x.c)) AS c FROM g JOIN o ON o.symbol = g.symbol AND o.n = g.n + 1)),
+    last AS (SELECT symbol, r FROM g WHERE n = 10),
+    ranges AS (SELECT symbol, i - 1 AS range, r[i].b AS "begin", r[i].c AS center, r[i].e AS "end" FROM (SELECT symbol, r, unnest(generate_series(1, len(r))) AS i FROM last))"""
+
+
+@query(f'{RANGES} SELECT symbol, CAST(range AS BIGINT) AS range, "begin", center, "end" FROM ranges')
 def win_level_ranges(spark, d):
     return level_ranges(spark, d)
 
 
-@query()
+@query(f"""{RANGES} SELECT symbol, CAST(range AS BIGINT) AS range, "begin", center, "end", round(CASE WHEN count(*) OVER s = 1 THEN 1.0 ELSE 1 - (row_number() OVER (PARTITION BY symbol ORDER BY range) - 1) / (count(*) OVER s - 1) END, 6) AS intensity
+    FROM ranges WINDOW s AS (PARTITION BY symbol)""")
 def win_range_intensity(spark, d):
     return profile.intensity(level_ranges(spark, d))
 
 
-FIXED = [(0, 3), (4, 6), (7, 9)]
-
+SPANS = f"""{RANGES}, inside AS (SELECT h.symbol, r.range, h."window", sum(h.volume) AS v FROM heat h JOIN ranges r ON h.symbol = r.symbol AND h.level BETWEEN r."begin" AND r."end" GROUP BY ALL),
+    live AS (SELECT * FROM (SELECT *, v > greatest(max(v) OVER (PARTITION BY symbol, range) * 0.01, 2.220446049250313e-16) AS live FROM inside) WHERE live),
+    i AS (SELECT *, "window" - row_number() OVER (PARTITION BY symbol, range ORDER BY "window") AS island FROM live),
+    spans AS (SELECT symbol, CAST(range AS BIGINT) AS range, min("window") AS start, max("window") + 1 AS "end" FROM i GROUP BY symbol, range, island HAVING count(*) >= 2)"""
 
-def fixed_ranges(spark, d):
-    """Three ranges of levels for every series, in place of those that the volumes make."""
-    r = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("range"), F.lit(a).cast("long").alias("begin"), F.lit(b).cast("long").alias("end")) for i, (a, b) in enumerate(FIXED)))).alias("r")
-    return users(spark, d).select("symbol").distinct().select("symbol", r).select("symbol", "r.range", "r.begin", "r.end")
 
-
-@query(f"""{USERS}, {HEAT}, s AS (SELECT symbol, CASE WHEN level <= 3 THEN 0 WHEN level <= 6 THEN 1 ELSE 2 END AS range, "window", sum(volume) AS v FROM heat GROUP BY ALL),
-    live AS (SELECT * FROM (SELECT *, v > greatest(max(v) OVER (PARTITION BY symbol, range) * 0.01, 2.220446049250313e-16) AS live FROM s) WHERE live),
-    i AS (SELECT *, "window" - row_number() OVER (PARTITION BY symbol, range ORDER BY "window") AS island FROM live)
-    SELECT symbol, CAST(range AS BIGINT) AS range, min("window") AS start, max("window") + 1 AS "end" FROM i GROUP BY symbol, range, island HAVING count(*) >= 2""")
+@query(f"{SPANS} SELECT * FROM spans")
 def win_timeline_islands(spark, d):
-    return profile.timelines(heat(spark, d), fixed_ranges(spark, d))
+    return profile.timelines(heat(spark, d), level_ranges(spark, d))
 
 
-@query()
+@query(f"""{SPANS} SELECT 'heat' AS kind, symbol, level AS a, "window" AS b, CAST(NULL AS BIGINT) AS c, volume AS v FROM heat
+    UNION ALL SELECT 'range', symbol, range, "begin", "end", CAST(center AS DOUBLE) FROM ranges UNION ALL SELECT 'span', symbol, range, start, "end", NULL FROM spans""")
 def udtf_volume_profile(spark, d):
-    heat_rows, ranges, times = profile.profile_tables(users(spark, d), 10, 24, 3)
-    sums = heat_rows.groupBy("symbol").agg(F.count("*").alias("cells"), F.round(F.sum("volume"), 4).alias("volume"))
-    n = ranges.groupBy("symbol").agg(F.count("*").alias("ranges"))
-    return sums.join(n, "symbol", "left").join(times.groupBy("symbol").agg(F.count("*").alias("spans")), "symbol", "left")
+    """The three tables, one below the other."""
+    cells, ranges, times = profile.profile_tables(users(spark, d), 10, 24, 3)
+    none = F.lit(None)
+    cells = cells.select(F.lit("heat").alias("kind"), "symbol", F.col("level").alias("a"), F.col("window").alias("b"), none.cast("long").alias("c"), F.col("volume").alias("v"))
+    ranges = ranges.select(F.lit("range"), "symbol", "range", "begin", "end", F.col("center").cast("double"))
+    return cells.union(ranges).union(times.select(F.lit("span"), "symbol", "range", "start", "end", none.cast("double")))
 
 
 @query(f"""{USERS}, x AS (SELECT *, lag(c) OVER {W} AS p, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS n FROM candles),
@@ -233,6 +241,14 @@ def win_pivot_rank(spark, d):
     return patterns.pivot_ranks(users(spark, d), [2, 5, 10])
 
 
+@query(f"""{USERS}, y AS (SELECT symbol, t, c, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER {W} AS i, list(c) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS l FROM candles),
+    z AS (SELECT *, unnest(generate_series(0, n // 3)) AS size FROM y)
+    SELECT symbol, t, CAST(size AS INTEGER) AS size, CAST(len(list_filter(list_slice(l, greatest(i - size + 1, 1), i), lambda x: x > c)) AS BIGINT) AS rank FROM z""")
+def win_pivot_rank_all(spark, d):
+    """All sizes from 0 to a third of the series."""
+    return patterns.pivot_ranks_all(users(spark, d)).select("symbol", "t", F.posexplode("ranks").alias("size", "rank"))
+
+
 @query(f"""{USERS}, y AS (SELECT *, list(c) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS a, list(c) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS b FROM candles),
     z AS (SELECT symbol, t, (c - o) / CASE WHEN h <> l THEN h - l END AS s, coalesce(len(list_filter(a, lambda x: x > c)), 0) AS p, coalesce(len(list_filter(b, lambda x: x > c)), 0) AS q FROM y)
     SELECT symbol, t, round(s, 6) AS spread, round(1 - p * q / 16.0, 6) AS peak FROM z""")
@@ -332,3 +348,8 @@ def prj_lookback(spark, d):
 @query(f"{USERS} SELECT symbol, t, round(sma, 6) AS sma FROM (SELECT symbol, t, avg(c) OVER {frame(7)} AS sma, row_number() OVER {W} AS n FROM candles) WHERE n >= 7")
 def udf_indicator_registry(spark, d):
     return rounded(users(spark, d).transform(indicators.indicator("MA", period=7)), "sma")
+
+
+@query(f"{USERS}, {HEAT} SELECT * FROM heat")
+def udf_indicator_heatmap(spark, d):
+    return users(spark, d).transform(indicators.indicator("HEATMAP", levels=10, hours=24, overlap=3))

@@ -11,15 +11,15 @@ from ..streaming import ticks as live
 from ..views import HISTORY_ORDER, TICKS, candles_sql
 from .registry import query
 
-FILES = 4
+RANGES = 8
 
 
 def in_order(rows: DataFrame, by: str, write) -> None:
-    """Writes `rows` in FILES files by ranges of `by`, one after the other: a stream reads files by the time they were written."""
+    """Writes `rows` by RANGES ranges of `by`, one after the other: a stream reads files by the time they were written. A range has as many files as the table has partitions."""
     low, high = rows.agg(F.min(by), F.max(by)).first()
-    part = F.least(F.floor((F.col(by) - low) * FILES / max(high - low, 1)), F.lit(FILES - 1))
-    for k in range(FILES):
-        write(rows.where(part == k).coalesce(1).sortWithinPartitions(by).write.mode("append"))
+    part = F.least(F.floor((F.col(by) - low) * RANGES / max(high - low, 1)), F.lit(RANGES - 1))
+    for k in range(RANGES):
+        write(rows.where(part == k).write.mode("append"))
 
 
 def landed(spark, d) -> str:
@@ -63,16 +63,17 @@ def st_json_map(spark, d):
     return streamed(live.json_map(messages, FIELDS, {"broker": "sim"}), "out")
 
 
-@query(f"WITH {TICKS}, {candles_sql()} SELECT 'sim' AS broker, symbol, t, h, l, v FROM candles WHERE t < (SELECT max(timestamp) // 1000 - 60 FROM ticks) // 14400 * 14400")
+@query(f"WITH {TICKS}, {candles_sql()} SELECT 'sim' AS broker, symbol, t, o, h, l, c, v FROM candles")
 def st_ohlc(spark, d):
-    """Bars that are final: those before the watermark's."""
-    rows = live.read_ticks(spark, landed(spark, d), maxFilesPerTrigger="1").drop("_corrupt_record")
-    out = streamed(live.live_bars(rows, 14400, "7 days"), "bars").select("broker", "symbol", "t", "h", "l", "v")
-    batch = live.live_bars(spark.read.schema(live.TICK).json(landed(spark, d)), 14400).select("broker", "symbol", "t", "h", "l", "v")
-    last = views.ticks(spark, d).agg((F.floor((F.floor(F.max("timestamp") / 1000) - 60) / 14400) * 14400).alias("end"))
-    # the last days stay open on the stream; the batch form closes them
-    closed = batch.join(out, ["broker", "symbol", "t"], "left_anti").unionByName(out)
-    return closed.join(F.broadcast(last)).where("t < end").drop("end")
+    """All bars as the stream closes them: two ticks of another symbol, far beyond the last, land at the end and move the watermark on."""
+    rows = views.ticks(spark, d).select("broker", "symbol", "price", "quantity", "timestamp", "event_id")
+    path = scratch(spark, "ticks")
+    in_order(rows, "timestamp", lambda w: w.json(path))
+    for days in (30, 60):
+        end = rows.agg((F.max("timestamp") + days * 86_400_000).alias("timestamp")).where("timestamp is not null")
+        end.select(F.lit("sim").alias("broker"), F.lit("~end").alias("symbol"), F.lit(0.0).alias("price"), F.lit(0.0).alias("quantity"), "timestamp", F.lit(-1).alias("event_id")).write.mode("append").json(path)
+    ticks = live.read_ticks(spark, path, f"{live.TICK}, event_id long", maxFilesPerTrigger="1").drop("_corrupt_record")
+    return streamed(live.live_bars(ticks, 14400, "7 days"), "bars").where("symbol <> '~end'").select("broker", "symbol", "t", "o", "h", "l", "c", "v")
 
 
 @query(f"WITH {TICKS} SELECT broker, symbol, last(price ORDER BY ts_us, event_id) AS price, max(timestamp) AS timestamp FROM ticks GROUP BY ALL")
@@ -109,10 +110,15 @@ def win_version_gate(spark, d):
 @query(CHANGED)
 def st_version_gate(spark, d):
     path = scratch(spark, "boards")
-    messages(spark, d).repartitionByRange(1, "seq").write.parquet(path)
-    rows = spark.readStream.schema("board string, seq long, version long, payload string").parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return streamed(live.gate_stream(rows), "gate")
+    in_order(messages(spark, d), "seq", lambda w: w.parquet(path))
+    rows = spark.readStream.schema("board string, seq long, version long, payload string").option("maxFilesPerTrigger", "4").parquet(path)
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)  # what state processors need; a query takes it when it starts
+    try:
+        return streamed(live.gate_stream(rows), "gate")
+    finally:
+        spark.conf.set(key, before)
 
 
 SUBSCRIBED = f"""WITH {TICKS}, a AS (SELECT 'c' || user_id % 7 AS client, 'sim' AS broker, event_type AS symbol, CASE WHEN event_id % 3 = 0 THEN 'unsubscribe' ELSE 'subscribe' END AS action, event_id AS seq FROM events),

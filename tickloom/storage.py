@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`, which all executors share; a temporary folder only where none is set."""
+    """The session's `spark.checkpoint.dir`, which all executors share. Where none is set a local session takes a temporary folder, and a cluster is an error: its executors share none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context.getCheckpointDir()
 

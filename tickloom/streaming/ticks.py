@@ -18,9 +18,9 @@ from ..sources.json_path import parse
 TICK = "broker string, symbol string, price double, quantity double, timestamp long"
 
 
-def read_ticks(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_ticks(spark: SparkSession, path: str, fields: str = TICK, **options: str) -> DataFrame:
     """Ticks of JSON lines that land in `path`, with _corrupt_record for lines that are no tick; empty lines don't count."""
-    schema = f"{TICK}, _corrupt_record string"
+    schema = f"{fields}, _corrupt_record string"
     return spark.readStream.format("json").schema(schema).option("mode", "PERMISSIVE").options(**options).load(path)
 
 
