@@ -189,11 +189,31 @@ TABLE = "<table class='x'><tr><th>Tên</th></tr></table><table class='gia'><tr><
 
 def test_shop_pages(spark):
     landed = spark.createDataFrame([("a", 1, TABLE), ("b", 2, "<div class='r'><span data-v='7.000'></span></div>"), ("c", 3, None)], "store string, page_id long, html string")
-    rules = [("a", "table", "gia", "tr", "td", "", 1, 2, 3, "", "always", "either"), ("b", "", "", "div", "span", "data-v", 1, 1, 1, "", "as is", "either"), ("c", "", "", "tr", "td", "", 1, 2, 3, "", "as is", "either")]
+    rules = [("a", "table", "gia", "tr", "td", "", 1, 2, 3, "", "always", "either", None, ""), ("b", "", "", "div", "span", "data-v", 1, 1, 1, "", "as is", "either", None, ""), ("c", "", "", "tr", "td", "", 1, 2, 3, "", "as is", "either", None, "")]
     got = pages.html_prices(landed, spark.createDataFrame(rules, pages.RULE)).orderBy("store").collect()
     assert [(r.store, r.name, r.buy, r.sell) for r in got] == [("a", "Nhẫn trơn", 8150000, 8350000), ("b", "7.000", 7000, 7000)]
 
 
+SHOPS = {
+    "spanned": ("<table><tr><th>a</th></tr><tr><td rowspan=2>Group</td><td>One</td><td>1.000</td><td>2.000</td></tr><tr><td>Two</td><td>3.000</td><td>4.000</td></tr></table>", ("table", "", "tr", "td", "", -3, -2, -1, "", "as is", "both", None, ""), [("One", 1000, 2000), ("Two", 3000, 4000)]),
+    "paragraphs": ("<table><tr><td><p>One</p><p>Two</p></td><td>1.000<br>3.000</td><td><p>2.000</p><p>4.000</p></td></tr></table>", ("table", "", "tr", "td", "", 1, 2, 3, "", "as is", "both", None, "zip"), [("One", 1000, 2000), ("Two", 3000, 4000)]),
+    "two names": ("<table><tr><td>Gold</td><td>24K</td><td>1.000</td><td>2.000</td></tr></table>", ("table", "", "tr", "td", "", 1, 3, 4, "", "as is", "both", 2, ""), [("Gold 24K", 1000, 2000)]),
+    "lists": ("<ul><li>One</li><li>Two</li></ul><ul><li>1.000</li><li>3.000</li></ul><ul><li>2.000</li><li>4.000</li></ul>", ("", "", "ul", "li", "", 1, 2, 3, "", "as is", "both", None, "join"), [("One", 1000, 2000), ("Two", 3000, 4000)]),
+    "prefix": ("<div id='gold_1'><p><b>One</b><b>1.000</b><b>2.000</b></p></div><div id='silver'><p><b>Two</b><b>3</b><b>4</b></p></div>", ("div", "id^=gold", "p", "b", "", 1, 2, 3, "", "as is", "both", None, ""), [("One", 1000, 2000)]),
+    "style": ("<table><tr><td>No</td><td>1</td><td>2</td></tr></table><table style='color:red'><tr><td>One</td><td>1.000</td><td>2.000</td></tr></table>", ("table", "style*=red", "tr", "td", "", 1, 2, 3, "", "as is", "both", None, ""), [("One", 1000, 2000)]),
+    "no sell": ("<table><tr><td>One</td><td>1.000</td></tr><tr><td>Note</td><td>0</td></tr></table>", ("table", "", "tr", "td", "", 1, 2, 3, "", "as is", "positive", None, ""), [("One", 1000, None)]),
+}
+
+
+def test_shop_page_variants(spark):
+    landed = spark.createDataFrame([(s, 1, x[0]) for s, x in SHOPS.items()], "store string, page_id long, html string")
+    rules = spark.createDataFrame([(s, *x[1]) for s, x in SHOPS.items()], pages.RULE)
+    got = {}
+    for r in pages.html_prices(landed, rules).orderBy("store", "row_no").collect():
+        got.setdefault(r.store, []).append((r.name, r.buy, r.sell))
+    assert got == {s: x[2] for s, x in SHOPS.items()}
+
+
 def test_bank_rates(spark):
     body = '{"results":[{"result":{"data":{"dsr":{"DS":[{"PH":[{"DM1":[{"C":["A","1","2","3","4","5"]},{"C":["B","1","2","3"],"R":2},{"C":["C",null,"2","3","4","5"]},{"C":[]}]}]}]}}}}]}'
     got = [tuple(r)[:6] for r in pages.bank_rates(spark.createDataFrame([(body,)], "payload string")).collect()]

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_name, price_digits, price_scale, valid_price_row
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-
 class _Rows(HTMLParser):
-    """Cells of a page's rows: elements `cell` inside elements `row`, inside elements `table` of a class if they are named; an attribute's value or the text."""
+    """Cells of a page's rows: elements `cell` inside elements `row`, inside elements `table` of a class if they are named; an attribute's value or the text, a line for each paragraph.
+
+    In place of a class, id^=x stands for an attribute that begins with x and style*=x for one that contains it.
+    """
 
     def __init__(self, table: str, klass: str, row: str, cell: str, attribute: str):
         super().__init__(convert_charrefs=True)
@@ -26,7 +26,7 @@ class _Rows(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == self.want:
-            if self.depth or not self.klass or self.klass in (a.get("class") or "").split():
+            if self.depth or self._named(a):
                 self.depth += 1
                 self.inside = True
         if not self.inside:
@@ -34,10 +34,19 @@ class _Rows(HTMLParser):
         if tag == self.row:
             self.rows.append([])
             self.into = None
+        if tag in ("p", "br", "div") and self.into is not None and not self.attribute:
+            self.into[0] += "\n"
         if tag in self.cell.split("|") and self.rows:
             self.into = [a.get(self.attribute) or ""] if self.attribute else [""]
             self.rows[-1].append(self.into)
 
+    def _named(self, a: dict) -> bool:
+        for sign, holds in (("^=", str.startswith), ("*=", str.__contains__)):
+            if sign in self.klass:
+                name, value = self.klass.split(sign, 1)
+                return holds(a.get(name) or "", value)
+        return not self.klass or self.klass in (a.get("class") or "").split()
+
     def handle_endtag(self, tag):
         if tag == self.want and self.depth:
             self.depth -= 1
@@ -50,15 +59,25 @@ class _Rows(HTMLParser):
             self.into[0] += data
 
 
-def rows_of(page: str | None, table: str, klass: str, row: str, cell: str, attribute: str) -> list[list[str]]:
+def rows_of(page: str | None, table: str, klass: str, row: str, cell: str, attribute: str, lines: str = "") -> list[list[str]]:
+    """Rows of cells. lines: `zip` makes a row of each line of a row's cells, where a cell of one line goes to all; `join` takes all rows of one cell as lists, one below the other, and pairs them."""
     found = _Rows(table, klass, row, cell, attribute)
     found.feed(page or "")
     found.close()
-    return [[" ".join(c[0].split()) for c in r] for r in found.rows if r]
+    if not lines:
+        return [[" ".join(c[0].split()) for c in r] for r in found.rows if r]
+    rows = [[[" ".join(x.split()) for x in c[0].split("\n") if x.strip()] or [""] for c in r] for r in found.rows if r]
+    if lines == "join":
+        rows = [[[x[0] for x in r] for r in rows]]
+    out = []
+    for r in rows:
+        most = max(map(len, r))
+        out += [[c[k] if k < len(c) else c[0] if len(c) == 1 else "" for c in r] for k in range(most)]
+    return out
 
 
-#: Columns of a rule: where a shop's rows and cells are, which cells (from 1) are name, buy and sell, and how prices read.
-RULE = "store string, table string, class string, row string, cell string, attribute string, name_at int, buy_at int, sell_at int, digits string, scale string, valid string"
+#: Columns of a rule: where a shop's rows and cells are, which cells are name, buy and sell, and how prices read. Cells count from 1, below 0 from the end, which also finds prices where a name spans rows or a column is missing; also_at is a second cell of the name, lines is that of rows_of().
+RULE = "store string, table string, class string, row string, cell string, attribute string, name_at int, buy_at int, sell_at int, digits string, scale string, valid string, also_at int, lines string"
 
 
 def html_rows(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -70,7 +89,7 @@ def html_rows(pages: DataFrame, rules: DataFrame) -> DataFrame:
             made = [(s, p, n, r) for s, p, h, *rule in b.itertuples(index=False) for n, r in enumerate(rows_of(h, *rule))]
             yield pd.DataFrame(made, columns=["store", "page_id", "row_no", "cells"])
 
-    both = pages.join(rules, "store").select("store", "page_id", "html", *(F.coalesce(c, F.lit("")).alias(c) for c in ("table", "class", "row", "cell", "attribute")))
+    both = pages.join(rules, "store").select("store", "page_id", "html", *(F.coalesce(c, F.lit("")).alias(c) for c in ("table", "class", "row", "cell", "attribute", "lines")))
     return both.mapInPandas(run, f"store string, page_id {kind}, row_no int, cells array<string>")
 
 
@@ -79,7 +98,7 @@ def html_prices(pages: DataFrame, rules: DataFrame) -> DataFrame:
     r = html_rows(pages, rules).join(rules, "store")
     at = lambda c: F.try_element_at("cells", F.col(c))
     price = lambda c: price_scale(price_digits(at(c)), F.col("scale"))
-    r = r.select("store", "page_id", "row_no", "valid", clean_name(at("name_at")).alias("name"), price("buy_at").alias("buy"), price("sell_at").alias("sell"))
+    r = r.select("store", "page_id", "row_no", "valid", clean_name(F.concat_ws(" ", at("name_at"), at("also_at"))).alias("name"), price("buy_at").alias("buy"), price("sell_at").alias("sell"))
     return r.where(valid_price_row(F.col("name"), F.col("buy"), F.col("sell"), F.col("valid"))).drop("valid")
 
 
