@@ -26,6 +26,8 @@ _RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z0-9+/_-]*[a-z+/_-]+[A-Z]
 CANDIDATE = f"{_PEM}|{_NAMED}{_VALUE}|{_RUN}"
 #: Documents whose text stands around the findings that are made for training, at most: those of the smallest hashes of their ids.
 FIT_DOCUMENTS = 2_000
+#: Tasks that make findings for training.
+PARTS = 12
 #: Characters of neighbouring words that the forest sees on each side.
 CONTEXT = 64
 _OPEN, _CLOSE = "\x01", "\x02"
@@ -132,10 +134,11 @@ def labelled_findings(docs: DataFrame, documents: int = FIT_DOCUMENTS, salt: int
     placeholders, and the same alphabets are secrets and digests. Words around come from `documents` documents.
     """
     some = docs.select("doc_id", (F.col(path) if path else F.lit(None)).cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    some = some.withColumn("seed", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(salt))).orderBy("seed", "path").limit(documents)
+    some = some.withColumn("seed", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(salt)))
     at = F.pmod("seed", F.greatest(F.length("text"), F.lit(1))).cast("int")
-    around = F.regexp_replace(F.substring(F.col("text"), at + 1, F.lit(160)), CANDIDATE, " ")
-    some = settled(some.select("doc_id", "path", "seed", around.alias("around")))
+    # only a few words of each text go to the choice of documents
+    some = some.select("doc_id", "path", "seed", F.substring(F.col("text"), at + 1, F.lit(160)).alias("around")).orderBy("seed", "path").limit(documents)
+    some = settled(some.withColumn("around", F.regexp_replace("around", CANDIDATE, " ")).repartition(PARTS, "seed"))
     half = F.floor(F.length("around") / 2).cast("int")
     kinds = _made(F.col("seed"))
     some_kinds = [F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), m.alias("m")) for k, m in list(enumerate(kinds))[at : at + 6]))) for at in range(0, len(kinds), 6)]  # so that the code of each is small
