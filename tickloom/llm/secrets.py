@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,9 +23,9 @@ _RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z0-9+/_-]*[a-z+/_-]+[A-Z]
 #: A candidate: a private key's block; what is assigned to a secret's name, of 4 characters or more; or 16 or more characters of keys and tokens with a digit or mixed case.
 CANDIDATE = f"{_PEM}|{_NAMED}{_VALUE}|{_RUN}"
 #: Documents whose text stands around the findings that are made for training, at most: those of the smallest hashes of their ids.
-FIT_DOCUMENTS = 2_000
-#: Tasks that make findings for training.
-PARTS = 12
+FIT_DOCUMENTS = 1_000
+#: Kinds of findings that are made for training, and tasks that make them.
+KINDS, PARTS = 38, 12
 #: Characters of neighbouring words that the forest sees on each side.
 CONTEXT = 64
 _OPEN, _CLOSE = "\x01", "\x02"
@@ -92,39 +90,49 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
     return found.withColumns(made), list(made)
 
 
-def _made(seed: Column) -> list[Column]:
-    """Structs (made, secret) for a row's hash: findings of known truth, of many kinds. `secret` is what is secret in the text, or null."""
-    h = lambda k: F.sha2(F.concat_ws("/", F.lit(k), seed.cast("string")), 256)
-    b64 = lambda k: F.base64(F.unhex(h(k)))
-    plain = lambda k, n: F.left(F.concat(*(F.translate(b64(f"{k}{i}"), "+/=\r\n", "") for i in range(2))), F.lit(n))
-    letters = lambda k, n: F.left(F.translate(b64(k), "0123456789+/=\r\n", "qwertyuiop"), F.lit(n))
-    pick = lambda k, *of: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in of)), F.pmod(F.xxhash64(seed, F.lit(k)), F.lit(len(of))).cast("int") + 1)
-    word = lambda k: pick(k, "river", "stone", "maple", "cloud", "amber", "falcon", "copper", "meadow", "harbor", "violet", "winter", "rocket")
-    name = lambda k: pick(k, "token", "api_key", "secret", "password", "client_secret", "ACCESS_TOKEN", "auth_token", "AWS_SECRET_ACCESS_KEY", "db_password", "apiKey", "private_key", "PASSWD")
-
-    def assigned(k: str, v: Column) -> Column:
-        n = name(k + "n")
-        forms = [F.concat(n, F.lit(a), v, F.lit(b)) for a, b in ((' = "', '"'), (": '", "'"), ("=", ""), ('": "', '",'), (": ", ""), (" => '", "'"), ("=", "&page=2"), (' = "', '";'))]
-        return pick(k + "f", *forms)
-
-    key = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64("k1"), F.lit("\n"), b64("k2"), F.lit("\n-----END RSA PRIVATE KEY-----"))
-    secret = {
-        "hex": F.left(h("a"), pick("an", 32, 40, 64)), "base64": b64("b"), "plain": plain("c", pick("cn", 20, 24, 32, 40)), "access": F.concat(F.lit("AKIA"), F.upper(plain("d", 16))), "git": F.concat(F.lit("ghp_"), plain("e", 36)),
-        "live": F.concat(pick("gp", "sk_live_", "xoxb-", "glpat-"), plain("g", 24)), "short": F.concat(plain("i", pick("in", 8, 10, 12)), pick("im", "!", "#", "", "$")), "letters": letters("j", pick("jn", 12, 18, 24)), "phrase": F.concat(word("l"), word("m"), word("n"), word("o")),
-    }
-    yes = [(assigned(k, v), v) for k, v in secret.items()] + [(assigned(k + "2", v), v) for k, v in secret.items()]
-    yes += [(key, key), (F.concat(F.lit("Authorization: Bearer "), plain("q", 40)), plain("q", 40)), (F.concat(F.lit("https://api.host.io/v1?token="), plain("r", 32)), plain("r", 32))]
-    yes += [(F.concat(pick("sf", "we use ", "key ", "", "log in by "), secret[k]), secret[k]) for k in ("access", "git", "live")]
-    digest = lambda k: F.left(h(k), pick(k + "n", 32, 40, 64))
-    uuid = F.regexp_replace(F.left(h("u"), F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    holder = pick("v", "your_token_here", "YOUR_API_KEY", "xxxxxxxxxxxxxxxx", "changeme", "example_password", "${SECRET_TOKEN}", "********", "0123456789abcdef", "aaaaaaaaaaaaaaaaaaaa", "required", "none", "null", "os.environ", "test_token_1234", "redacted", "bearer", "get_token(user)", "optional", "string")
-    digits = F.translate(F.left(h("w"), pick("wn", 16, 18, 20)), "abcdef", "123456")
-    no = [F.concat(pick("x1", "commit ", "sha256: ", "revision ", "checksum = \"", "md5 ", "ETag: \"", "image@sha256:", "digest: ", "trace id "), digest("x")), F.concat(pick("x2", "uuid ", "request id: ", "guid = ", ""), uuid)]
-    no += [assigned("y", holder), assigned("y2", pick("v2", "your_secret_here", "placeholder", "<password>", "changeme123", "xxxx-xxxx-xxxx", "example", "true", "dummy_token_000")), F.concat(pick("x3", "order ", "invoice ", "phone ", "card ", "isbn "), digits)]
-    no += [F.concat(word("z1"), F.lit("_"), word("z2"), F.lit("_"), word("z3"), F.lit("_2")), F.concat(word("z4"), F.initcap(word("z5")), F.initcap(word("z6")), F.initcap(word("z7"))), F.concat(F.lit("/usr/local/share/"), word("z8"), F.lit("/v2/"), word("z9"))]
-    no += [F.concat(F.lit("data:image/png;base64,"), b64("za"), b64("zb")), F.concat(F.lit("ssh-rsa AAAAB3NzaC1yc2E"), b64("zc"), F.lit(" public key")), F.concat(F.lit("the auth: "), word("zd"), F.lit(" and token: "), word("ze")), F.concat(F.lit("see https://www.host.org/page/"), word("zf"), F.lit("-2024-index.html"))]
-    none = F.lit(None).cast("string")
-    return [F.struct(t.alias("made"), v.alias("secret")) for t, v in [*yes, *((t, none) for t in no)]]
+def _made(some: DataFrame) -> DataFrame:
+    """Rows of `some` (doc_id, path, seed, around) once for each kind of finding, with `made`, a text of known truth, and `secret`, what is secret in it, or null."""
+    key = F.concat_ws("/", F.col("seed").cast("string"), F.col("kind").cast("string"))
+    rows = some.withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(KINDS - 1))))
+    rows = rows.select("doc_id", "path", "around", "kind", F.xxhash64("seed", "kind").alias("r"), F.sha2(key, 256).alias("h"), F.sha2(F.concat(key, F.lit("/")), 256).alias("g"))
+    b, two = F.base64(F.unhex("h")), F.concat(F.base64(F.unhex("h")), F.base64(F.unhex("g")))
+
+    def pick(at: int, *of) -> Column:
+        return F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in of)), F.pmod(F.shiftright("r", at), F.lit(len(of))).cast("int") + 1)
+
+    words = ("river", "stone", "maple", "cloud", "amber", "falcon", "copper", "meadow", "harbor", "violet", "winter", "rocket")
+    names = ("token", "api_key", "secret", "password", "client_secret", "ACCESS_TOKEN", "auth_token", "AWS_SECRET_ACCESS_KEY", "db_password", "apiKey", "private_key", "PASSWD")
+    w = [F.col(f"w{i}") for i in range(4)]
+    # written here, so that the plans of what follows stay small
+    rows = settled(rows.select("*", b.alias("b"), F.translate(two, "+/=\r\n", "").alias("n"), *(pick(4 * i, *words).alias(f"w{i}") for i in range(4)), pick(17, *names).alias("name")))
+    kind, n, cat = F.col("kind"), F.col("n"), F.concat
+    formats = [cat(F.lit("AKIA"), F.upper(F.left(n, F.lit(16)))), cat(F.lit("ghp_"), F.left(n, F.lit(36))), cat(pick(23, "sk_live_", "xoxb-", "glpat-"), F.left(n, F.lit(24)))]
+    named = [
+        F.left("h", pick(21, 32, 40, 64)), F.col("b"), F.left(n, pick(22, 20, 24, 32, 40)), *formats, cat(F.left(n, pick(24, 8, 10, 12)), pick(25, "!", "#", "", "$")),
+        F.left(F.translate(n, "0123456789", "qwertyuiop"), pick(26, 12, 18, 24)), cat(*w),
+    ]
+    pem = cat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.col("b"), F.lit("\n"), F.base64(F.unhex("g")), F.lit("\n-----END RSA PRIVATE KEY-----"))
+    yes = [*named, *named, pem, F.left(n, F.lit(40)), F.left(n, F.lit(32)), *formats]
+    digest = F.left("h", pick(21, 32, 40, 64))
+    uuid = F.regexp_replace(F.left("h", F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    no_named = [  # under a secret's name
+        pick(27, "your_token_here", "YOUR_API_KEY", "xxxxxxxxxxxxxxxx", "changeme", "example_password", "${SECRET_TOKEN}", "********", "0123456789abcdef", "aaaaaaaaaaaaaaaaaaaa", "required"),
+        pick(28, "none", "null", "os.environ", "test_token_1234", "redacted", "bearer", "get_token(user)", "optional", "string", "your_secret_here"),
+        pick(29, "placeholder", "<password>", "changeme123", "xxxx-xxxx-xxxx", "example", "true", "dummy_token_000"),
+    ]
+    no = [
+        cat(pick(30, "commit ", "sha256: ", "revision ", "checksum = \"", "md5 ", "ETag: \"", "image@sha256:", "digest: ", "trace id "), digest), cat(pick(31, "commit ", "sha256: ", "build ", "image@sha256:"), digest), cat(pick(32, "uuid ", "request id: ", "guid = ", ""), uuid),
+        cat(pick(33, "order ", "invoice ", "phone ", "card ", "isbn "), F.left(F.translate("h", "abcdef", "123456"), pick(34, 16, 18, 20))), cat(w[0], F.lit("_"), w[1], F.lit("_"), w[2], F.lit("_2")), cat(w[0], F.initcap(w[1]), F.initcap(w[2]), F.initcap(w[3])),
+        cat(F.lit("/usr/local/share/"), w[0], F.lit("/v2/"), w[1]), cat(F.lit("data:image/png;base64,"), F.col("b"), F.col("b")), cat(F.lit("ssh-rsa AAAAB3NzaC1yc2E"), F.col("b"), F.lit(" public key")),
+        cat(F.lit("the auth: "), w[0], F.lit(" and token: "), w[1]), cat(F.lit("see https://www.host.org/page/"), w[0], F.lit("-2024-index.html")),
+    ]
+    value = F.element_at(F.array(*yes, *no_named, *no), kind + 1)
+    rows = rows.select("doc_id", "path", "around", "kind", "r", "name", value.alias("value"))
+    forms = [cat("name", F.lit(a), "value", F.lit(z)) for a, z in ((' = "', '"'), (": '", "'"), ("=", ""), ('": "', '",'), (": ", ""), (" => '", "'"), ("=", "&page=2"), (' = "', '";'))]
+    secret = len(yes)
+    made = F.when((kind < 2 * len(named)) | kind.between(secret, secret + len(no_named) - 1), pick(36, *forms)).when(kind == 2 * len(named) + 1, cat(F.lit("Authorization: Bearer "), "value"))
+    made = made.when(kind == 2 * len(named) + 2, cat(F.lit("https://api.host.io/v1?token="), "value")).when(kind.between(2 * len(named) + 3, secret - 1), cat(pick(37, "we use ", "key ", "", "log in by "), "value")).otherwise(F.col("value"))
+    return rows.select("doc_id", "path", "around", "kind", made.alias("made"), F.when(kind < secret, F.col("value")).alias("secret"))
 
 
 def labelled_findings(docs: DataFrame, documents: int = FIT_DOCUMENTS, salt: int = 0, path: str | None = "source") -> DataFrame:
@@ -140,12 +148,10 @@ def labelled_findings(docs: DataFrame, documents: int = FIT_DOCUMENTS, salt: int
     some = some.select("doc_id", "path", "seed", F.substring(F.col("text"), at + 1, F.lit(160)).alias("around")).orderBy("seed", "path").limit(documents)
     some = settled(some.withColumn("around", F.regexp_replace("around", CANDIDATE, " ")).repartition(PARTS, "seed"))
     half = F.floor(F.length("around") / 2).cast("int")
-    kinds = _made(F.col("seed"))
-    some_kinds = [F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), m.alias("m")) for k, m in list(enumerate(kinds))[at : at + 6]))) for at in range(0, len(kinds), 6)]  # so that the code of each is small
-    rows = reduce(DataFrame.unionByName, [some.select("doc_id", "path", "around", x.alias("x")) for x in some_kinds]).select("doc_id", "path", "around", "x.*")
+    rows = _made(some)
     mark = F.when(F.pmod(F.hash("kind", "around"), F.lit(2)) == 0, " ").otherwise("\n")
-    text = F.concat(F.left(F.col("around"), half), mark, F.col("m.made"), mark, F.expr("substring(around, cast(floor(length(around) / 2) as int) + 1)"))
-    planted = rows.select("doc_id", "path", text.alias("text"), F.col("m.secret").alias("__secret"), "kind")
+    text = F.concat(F.left(F.col("around"), half), mark, F.col("made"), mark, F.expr("substring(around, cast(floor(length(around) / 2) as int) + 1)"))
+    planted = settled(rows.select("doc_id", "path", text.alias("text"), F.col("secret").alias("__secret")))
     found = candidates(planted, "path")
     held = F.contains("__secret", F.col("candidate")) | F.contains("candidate", F.col("__secret"))
     return found.withColumn("label", F.when(F.coalesce(held, F.lit(False)), 1.0).otherwise(0.0)).drop("__secret")
