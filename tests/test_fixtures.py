@@ -11,7 +11,7 @@ from tickloom.functions import scalars as fn
 from tickloom.operators import candles as bars
 from tickloom.operators import dimensions as dims
 from tickloom.operators import indicators, patterns, prices, profile, text
-from tickloom.sources import candle_json, framed_log, pages, tables
+from tickloom.sources import candle_json, components, framed_log, pages, tables
 from tickloom.sources.json_path import execute, parse
 from tickloom.streaming import ticks as live
 
@@ -229,9 +229,16 @@ def test_framed_log(spark, tmp_path):
     (tmp_path / "log" / "a.log").write_bytes(data)
     got = framed_log.read_log(spark, str(tmp_path / "log"), 13).collect()
     assert [(r.offset, r.next_offset, bytes(r.payload)) for r in got] == [(13, 33, records[1]), (33, 42, records[2])]
+    split = framed_log.read_log(spark, str(tmp_path / "log"), 0, split=10).collect()
+    assert sorted((r.offset, bytes(r.payload)) for r in split) == [(0, records[0]), (13, records[1]), (33, records[2])]
     out = f"file://{tmp_path}/out"
-    assert framed_log.write_log(spark.createDataFrame([(r,) for r in records], "payload binary"), out).agg(F.sum("records")).first()[0] == 3
+    components.write_log(spark.createDataFrame([*((r,) for r in records), (None,)], "payload binary"), out)
     assert sorted(bytes(r.payload) for r in framed_log.read_log(spark, out).collect()) == sorted(records)
+    assert framed_log.rotate(out, 100)
+    components.write_log(spark.createDataFrame([(b"",)], "payload binary"), out)
+    assert framed_log.remove_expired(spark, out, 100) == []
+    assert framed_log.remove_expired(spark, out, 101)
+    assert [bytes(r.payload) for r in framed_log.read_log(spark, out).collect()] == [b""]
     parts = spark.createDataFrame([("x.100",), ("x.200",), ("x",)], "path string")
     assert [r.path for r in framed_log.expired(parts, 150).collect()] == ["x.100"]
 
@@ -323,3 +330,10 @@ def test_series_across_batches(spark):
     finally:
         spark.conf.unset(size)
     assert whole == cut and len(whole[1]) == len(rows)
+
+
+def test_console_and_discard(spark):
+    rows = spark.range(5)
+    assert tables.discard(rows) == 5
+    assert tables.discard(rows.where("id < 0")) == 0
+    tables.console(rows, "row: ", 3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import views
@@ -13,30 +14,38 @@ def events(spark, d):
     return views.table(spark, d, "events")
 
 
-def pick(*values: str):
-    """One of the values by event_id."""
-    return F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
+def pick(*values) -> Column:
+    """One of the values (columns or texts) by event_id."""
+    return F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), (F.col("event_id") % len(values) + 1).cast("int"))
 
 
-def sql_list(*values: str) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][1 + event_id % {len(values)}]"
+#: The number in an event's props, in SQL.
+K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
-NUMBERS = ("12.5", " 7 ", "x", "", "-3e2", "1,000")
+def number() -> Column:
+    """K in Spark."""
+    return F.get_json_object("props", "$.k").cast("long")
 
 
-@query(f"SELECT event_id, coalesce(TRY_CAST(trim({sql_list(*NUMBERS)} || CASE WHEN event_id % 6 < 2 THEN '' ELSE '' END) AS DOUBLE), 0) + value AS number FROM events")
+def said(form: str, *values) -> Column:
+    return F.format_string(form, *values)
+
+
+@query(f"SELECT event_id, CASE event_id % 6 WHEN 0 THEN value WHEN 1 THEN {K} WHEN 4 THEN -100 * ({K} + 1) ELSE 0 END AS number FROM events")
 def fn_lossy_num(spark, d):
-    return events(spark, d).select("event_id", (fn.lossy_number(pick(*NUMBERS)) + F.col("value")).alias("number"))
+    text = pick(F.col("value").cast("string"), said(" %d ", number()), F.col("event_type"), "", said("-%de2", number() + 1), said("%d,000", number()))
+    return events(spark, d).select("event_id", fn.lossy_number(text).alias("number"))
 
 
-JSON = ("3.5", "-1", '" 12 "', "true", '"on"', "2", "null", "2147483648", '"off"', '"abc"', "[1]", "0")
-I32 = {1: -1, 2: 12, 3: 1, 5: 2, 11: 0}
-I64 = I32 | {7: 2147483648}
-U64 = {k: v for k, v in I64.items() if v >= 0}
-F64 = {0: 3.5, 1: -1.0, 2: 12.0, 3: 1.0, 5: 2.0, 7: 2147483648.0, 11: 0.0}
-BOOL = {0: "true", 1: "true", 3: "true", 4: "true", 5: "true", 6: "false", 7: "true", 8: "false", 11: "false"}
-TEXT = {0: "'3.5'", 1: "'-1'", 2: "' 12 '", 3: "'true'", 4: "'on'", 5: "'2'", 6: "'null'", 7: "'2147483648'", 8: "'off'", 9: "'abc'", 10: "'[1]'", 11: "'0'"}
+#: What each of twelve kinds of JSON, by event_id, is as each type, in SQL.
+BIG, PART = "2147483648 + event_id", "printf('%.2f5', value)"
+I32 = {1: f"-1 - {K}", 2: K, 3: 1, 5: f"{K} + 1", 11: 0}
+I64 = I32 | {7: BIG}
+U64 = {k: v for k, v in I64.items() if k != 1}
+F64 = {0: f"CAST({PART} AS DOUBLE)", 11: 0.0} | {k: f"CAST({v} AS DOUBLE)" for k, v in I64.items() if k != 11}
+BOOL = {0: "true", 1: "true", 2: f"CASE {K} WHEN 1 THEN true WHEN 0 THEN false END", 3: "true", 4: "true", 5: "true", 6: "false", 7: "true", 8: "false", 11: "false"}
+TEXT = {0: PART, 1: f"CAST(-1 - {K} AS VARCHAR)", 2: f"' ' || {K} || ' '", 3: "'true'", 4: "'on'", 5: f"CAST({K} + 1 AS VARCHAR)", 6: "'null'", 7: f"CAST({BIG} AS VARCHAR)", 8: "'off'", 9: "event_type", 10: f"'[' || {K} || ']'", 11: "'0'"}
 
 
 def case(values: dict) -> str:
@@ -46,7 +55,10 @@ def case(values: dict) -> str:
 @query(f"""SELECT event_id, CAST({case(I32)} AS INTEGER) AS i32, CAST({case(I64)} AS BIGINT) AS i64, CAST({case(U64)} AS BIGINT) AS u64, CAST({case(F64)} AS DOUBLE) AS f64,
     {case(BOOL)} AS bool, {case(TEXT)} AS string FROM events""")
 def fn_strict_cast(spark, d):
-    v = F.parse_json(pick(*JSON))
+    json = pick(
+        said("%.2f5", F.col("value")), said("-%d", number() + 1), said('" %d "', number()), "true", '"on"', said("%d", number() + 1), "null", said("%d", F.col("event_id") + 2147483648), '"off"', said('"%s"', F.col("event_type")), said("[%d]", number()), "0",
+    )
+    v = F.parse_json(json)
     casts = {k: fn.strict_cast(v, k) for k in ("i32", "i64", "f64", "bool", "string")}
     return events(spark, d).select("event_id", *(c.alias(k) for k, c in casts.items()), fn.strict_cast(v, "u64").cast("long").alias("u64"))
 
@@ -57,13 +69,10 @@ def fn_epoch_unit(spark, d):
     return events(spark, d).select("event_id", fn.epoch_seconds(t, F.when(F.col("event_id") % 3 == 0, "binance").otherwise("ssi")).alias("t"))
 
 
-SHOWN = ("8.150", "13.750 đ", "liên hệ", "0", "", "82,500.50")
-
-
-@query(f"""SELECT event_id, TRY_CAST(regexp_replace(s, '[^0-9]', '', 'g') AS BIGINT) AS digits, coalesce(TRY_CAST(regexp_replace(s, '[^0-9]', '', 'g') AS BIGINT), 0) AS zero, nullif(TRY_CAST(regexp_replace(s, '[^0-9]', '', 'g') AS BIGINT), 0) AS some
-    FROM (SELECT event_id, {sql_list(*SHOWN)} || CASE WHEN event_id % 6 = 1 THEN CAST(event_id AS VARCHAR) ELSE '' END AS s FROM events)""")
+@query(f"""SELECT event_id, d AS digits, coalesce(d, 0) AS zero, nullif(d, 0) AS some
+    FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN {K} * 1000 + 150 WHEN 1 THEN event_id * 1000 + 750 WHEN 3 THEN 0 WHEN 5 THEN user_id * 100000 + 50050 END AS d FROM events)""")
 def fn_price_digits(spark, d):
-    s = F.concat(pick(*SHOWN), F.when(F.col("event_id") % 6 == 1, F.col("event_id").cast("string")).otherwise(""))
+    s = pick(said("%d.150", number()), said("%d.750 đ", F.col("event_id")), "liên hệ", "0", "", said("%d,500.50", F.col("user_id")))
     return events(spark, d).select("event_id", fn.price_digits(s).alias("digits"), fn.price_digits(s, 0).alias("zero"), fn.price_digits(s, None, True).alias("some"))
 
 
@@ -128,20 +137,17 @@ def fn_money_format(spark, d):
     return o.select("o_orderkey", fn.money(there).alias("money"), fn.short_volume(F.floor(there / 1000) * 1000).alias("volume"))
 
 
-RES = ("1m", "15m", "4H", "1d", "1D", "W", "2W")
-
-
-@query("SELECT event_id, [1::DOUBLE / 60, 0.25, 4, 24, 1, 1, 1][1 + event_id % 7] AS hours FROM events")
+@query(f"SELECT event_id, CASE event_id % 7 WHEN 0 THEN ({K} + 1)::DOUBLE / 60 WHEN 1 THEN {K} + 1 WHEN 2 THEN ({K} + 1) * 24 ELSE 1 END AS hours FROM events")
 def fn_res_hours(spark, d):
-    return events(spark, d).select("event_id", fn.resolution_hours(pick(*RES)).alias("hours"))
-
-
-LISTS = ("b, a", "2,1, 3", "x", "1,z")
+    unit = pick("m", "H", "d", "D", "W", "", "M")
+    return events(spark, d).select("event_id", fn.resolution_hours(F.concat((number() + 1).cast("string"), unit)).alias("hours"))
 
 
-@query(f"SELECT event_id, list_sort(list_transform(string_split(l, ','), lambda x: trim(x))) AS sorted, CASE WHEN event_id % 4 = 1 THEN [2, 1, 3] END AS scopes FROM (SELECT event_id, {sql_list(*LISTS)} AS l FROM events)")
+@query(f"""SELECT event_id, list_sort(list_transform(string_split(l, ','), lambda x: trim(x))) AS sorted, CASE WHEN event_id % 4 = 1 THEN [CAST({K} AS INTEGER), CAST(user_id AS INTEGER)] END AS scopes
+    FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN event_type || ', a' WHEN 1 THEN {K} || ', ' || user_id WHEN 2 THEN event_type ELSE user_id || ',z' END AS l FROM events)""")
 def fn_split_list(spark, d):
-    return events(spark, d).select("event_id", fn.split_list(pick(*LISTS)).alias("sorted"), fn.split_scopes(pick(*LISTS)).alias("scopes"))
+    lists = pick(said("%s, a", F.col("event_type")), said("%d, %d", number(), F.col("user_id")), F.col("event_type"), said("%d,z", F.col("user_id")))
+    return events(spark, d).select("event_id", fn.split_list(lists).alias("sorted"), fn.split_scopes(lists).alias("scopes"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN substr(c, 1, 9) WHEN length(c) < 8 THEN substr(c, 1, 3) ELSE substr(c, 1, 8) END AS symbol, CASE WHEN event_id % 3 = 0 THEN substr(c, 10) WHEN length(c) < 8 THEN substr(c, 4) ELSE substr(c, 9) END AS index,

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import io
 import json
+import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .framed_log import frames
+from .framed_log import framed, opened
 
 
 class FramedLogSource(DataSource):
-    """format("framed_log"): the records of log files below a path, a partition for each file."""
+    """format("framed_log"): reads the records of log files below a path, a partition for each file, and appends a file for each task.
+
+    read_log() also splits large files. A write commits as a whole: what a retried or failed task wrote isn't seen.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -26,6 +33,9 @@ class FramedLogSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _LogReader(self.options["path"], int(self.options.get("start", "0")))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _LogWriter(self.options["path"])
+
 
 class _LogReader(DataSourceReader):
     def __init__(self, path: str, start: int):
@@ -40,10 +50,9 @@ class _LogReader(DataSourceReader):
         if partition.value is None:
             return
         system, _ = fs.FileSystem.from_uri(self.path)
-        with system.open_input_stream(partition.value) as f:
-            data = f.read()
-        for at, to, payload in frames(data, self.start):
-            yield partition.value, at, to, payload
+        with system.open_input_file(partition.value) as raw:
+            for at, to, payload in framed(io.BufferedReader(raw, 1 << 20), raw.size(), self.start):
+                yield partition.value, at, to, payload
 
 
 class JsonLinesSink(DataSource):
@@ -62,19 +71,24 @@ class _Part(WriterCommitMessage):
         self.name = name
 
 
-class _LinesWriter(DataSourceWriter):
+class _PartWriter(DataSourceWriter):
+    """Files under hidden names, one a task, which the commit gives their own."""
+
+    ending = ""
+
     def __init__(self, path: str):
         self.path = path
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        from pyspark import TaskContext
+    def encoded(self, row) -> bytes:
+        raise NotImplementedError
 
+    def write(self, rows: Iterator) -> WriterCommitMessage:
         system, at = fs.FileSystem.from_uri(self.path)
         system.create_dir(at, recursive=True)
-        name = f"_part-{TaskContext.get().taskAttemptId():08d}.json"
+        name = f"_part-{uuid.uuid4().hex}{self.ending}"
         with system.open_output_stream(f"{at}/{name}") as f:
             for r in rows:
-                f.write((json.dumps(r.asDict(recursive=True), default=str) + "\n").encode())
+                f.write(self.encoded(r))
         return _Part(name)
 
     def commit(self, messages: list) -> None:
@@ -90,6 +104,27 @@ class _LinesWriter(DataSourceWriter):
                 system.delete_file(f"{at}/{m.name}")
 
 
+class _LinesWriter(_PartWriter):
+    ending = ".json"
+
+    def encoded(self, row) -> bytes:
+        return (json.dumps(row.asDict(recursive=True), default=str) + "\n").encode()
+
+
+class _LogWriter(_PartWriter):
+    ending = ".log"
+
+    def encoded(self, row) -> bytes:
+        payload = bytes(row[0])
+        return struct.pack("<I", len(payload)) + payload
+
+
+def write_log(rows: DataFrame, path: str, column: str = "payload") -> None:
+    """Appends a log file for each partition of `rows` below `path`; null payloads are left out."""
+    register(rows.sparkSession)
+    rows.select(F.col(column).cast("binary").alias("payload")).where("payload is not null").write.format("framed_log").mode("append").option("path", path).save()
+
+
 #: Transforms by name, for pipelines put together from configuration.
 TRANSFORMS: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {}
 
@@ -109,4 +144,4 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(JsonLinesSink)
 
 
-__all__ = ["FramedLogSource", "JsonLinesSink", "TRANSFORMS", "register", "transform"]
+__all__ = ["FramedLogSource", "JsonLinesSink", "TRANSFORMS", "register", "transform", "write_log"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import INTEGERS, json_kind
@@ -60,5 +60,14 @@ def append_json_lines(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
-def discard(rows: DataFrame) -> None:
-    rows.write.format("noop").mode("overwrite").save()
+def discard(rows: DataFrame) -> int:
+    """Sends all rows to nothing; the number sent."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    return seen.get["n"]
+
+
+def console(rows: DataFrame, prefix: str = "", limit: int = 20) -> None:
+    """Prints the first `limit` rows as JSON behind a prefix, on the driver's standard output."""
+    lines = rows.select(F.concat(F.lit(prefix), F.to_json(F.struct("*"))).alias("line"))
+    lines.write.format("console").mode("append").option("numRows", limit).option("truncate", False).save()
