@@ -146,7 +146,7 @@ def labelled_findings(docs: DataFrame, documents: int = FIT_DOCUMENTS, salt: int
     at = F.pmod("seed", F.greatest(F.length("text"), F.lit(1))).cast("int")
     # only a few words of each text go to the choice of documents
     some = some.select("doc_id", "path", "seed", F.substring(F.col("text"), at + 1, F.lit(160)).alias("around")).orderBy("seed", "path").limit(documents)
-    some = settled(some.withColumn("around", F.regexp_replace("around", CANDIDATE, " ")).repartition(PARTS, "seed"))
+    some = settled(some.withColumn("around", F.regexp_replace("around", CANDIDATE, " ")).repartition(PARTS))
     half = F.floor(F.length("around") / 2).cast("int")
     rows = _made(some)
     mark = F.when(F.pmod(F.hash("kind", "around"), F.lit(2)) == 0, " ").otherwise("\n")
