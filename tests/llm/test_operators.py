@@ -5,6 +5,7 @@ import html as entities
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -198,6 +199,47 @@ def test_mixing_comes_near_targets(spark):
         assert all(abs(x.n / x.t - 1) < 0.01 for x in got)
 
 
+def test_mixing_of_repeated_rows(spark):
+    """A row that repeats 2,000 times, and 1,000 texts of one size without an id: words come near the targets, and the stage writes what the mix took."""
+    r = random.Random(9)
+    rows = [(1, "w " * 100, "a", 0)] * 2000 + [(k, " ".join(["w"] * r.randrange(5, 400)), "b", k) for k in range(2, 1500)] + [(None, f"x{k} y z", "c", k) for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __id int")
+    got = mixing.mix(docs)
+    by = {x.source: x for x in got.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t"), F.sum("copies").alias("copies"), F.count("*").alias("rows")).collect()}
+    assert all(abs(x.n / x.t - 1) < 0.01 for x in by.values()) and {s: x["rows"] for s, x in by.items()} == {"a": 2000, "b": 1498, "c": 1000}
+    assert got.where("taken > 2 * size").count() == 0
+    out = corpus_pipeline.mixed(spark, docs, "")
+    assert {x.source: x["count"] for x in out.groupBy("source").count().collect()} == {s: x.copies for s, x in by.items()} and out.columns == docs.columns
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(out) == key(corpus_pipeline.mixed(spark, docs.repartition(5), ""))
+
+
+def test_many_copies_of_one_row(spark):
+    rows = spark.createDataFrame([("a", 25_001), ("b", 0), ("c", 3)], "k string, n int")
+    assert {r.k: r["count"] for r in mixing.repeated(rows, F.col("n")).groupBy("k").count().collect()} == {"a": 25_001, "c": 3}
+
+
+def test_pairing_against_plain_python(spark):
+    """One group, rounded step by step in plain Python from the same draws."""
+    items = [(s, i, i * 31, "s", 1, 0, 0, 1.0, 1.0, p) for i, (s, p) in enumerate([(5, 0.3), (9, 0.9), (2, 0.5), (9, 0.2), (7, 0.75), (1, 0.6)])]
+    df = spark.createDataFrame(items, "size long, doc_id long, key long, source string, m long, base int, whole long, source_size double, target double, p double")
+    got = mixing._rounded(df, ["source"], 11).first()
+    draw = {}
+    for a in items:
+        for b in items:
+            draw[a[1], b[1]] = (a[1], a[2], b[1], b[2])
+    drawn = spark.createDataFrame(list(draw.values()), "a long, ka long, b long, kb long").select("a", "b", mixing._uniform(F.col("a"), F.col("ka"), F.col("b"), F.col("kb"), seed=11).alias("u"))
+    draw = {(r.a, r.b): r.u for r in drawn.collect()}
+    order = sorted(items, key=lambda x: (x[0], x[1]), reverse=True)
+    (held, p), take = (order[0][1], order[0][9]), {}
+    for x in order[1:]:
+        total = p + x[9]
+        chance = x[9] / total if total < 1 else (1 - x[9]) / (2 - total)
+        lost, kept = (held, x[1]) if draw[held, x[1]] < chance else (x[1], held)
+        take[lost], held, p = int(total >= 1), kept, total if total < 1 else total - 1
+    assert {r.doc_id: r.take for r in got.done} == take and got.left.doc_id == held and math.isclose(got.left.p, p)
+
+
 def test_secrets(spark, messy, none):
     rows = [(1000 + k, f'some words token = "{hashlib.sha1(str(k).encode()).hexdigest()}" and more', "src", 0, "c", 1) for k in range(40)]
     rows += [(2000 + k, f"commit {hashlib.sha1(str(k).encode()).hexdigest()} fixed 0826257060216530{k}", "src", 0, "c", 1) for k in range(40)]
@@ -232,7 +274,7 @@ def test_secret_spans(spark):
 def test_secrets_of_all_forms_are_candidates(spark):
     value = {
         "token=24be64439e3e49cf46b2d7c90f3602a3d0b907ff": "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCYzz": "wJalrXUtnFEMIK7MDENGbPxRfiCYzz", 'password = "Xk9vQ2mLp7w"': "Xk9vQ2mLp7w",
-        'password = "correcthorsebatterystaple"': "correcthorsebatterystaple", 'token = "' + "a" * 220 + '9xyz1234"': "a" * 220 + "9xyz1234", "-----BEGIN RSA PRIVATE KEY-----\nabc\ndef\n-----END RSA PRIVATE KEY-----": None, "-----BEGIN PRIVATE KEY-----\nabc": None,
+        'password = "correcthorsebatterystaple"': "correcthorsebatterystaple", 'token = "' + "a" * 220 + '9xyz1234"': "a" * 220 + "9xyz1234", "-----BEGIN RSA PRIVATE KEY-----\nabc\ndef\n-----END RSA PRIVATE KEY-----": None, "-----BEGIN PRIVATE KEY-----\n" + "aB3/" * 16: None,
         "Authorization: Bearer abc.def-12": "abc.def-12", '{"api_key": "Zq81"}': "Zq81", "https://x.io/?token=k3y5&b=1": "k3y5", "use ghp_Abcdefghijklmnopqrstuvwx": "ghp_Abcdefghijklmnopqrstuvwx",
     }
     got = {(r.doc_id, r.candidate): r for r in secrets.candidates(spark.createDataFrame(list(enumerate(value)), "doc_id long, text string"), None).collect()}
@@ -241,6 +283,22 @@ def test_secrets_of_all_forms_are_candidates(spark):
         assert text[r.start : r.end] == (v or text)
 
 
+def test_candidates_of_keys_without_an_end_and_of_long_runs(spark):
+    """A mention of a key's header is none, a key without an end takes its lines alone; runs of a million characters take no time."""
+    body = "A1b2" * 16 + "\n" + "Zz9/" * 16 + "=="
+    texts = ["see -----BEGIN RSA PRIVATE KEY----- in prose that goes on", f"k -----BEGIN RSA PRIVATE KEY-----\n{body}\nthat was it"]
+    texts += [x * (1_000_000 // len(x)) for x in ("-", "_", "token", "-----BEGIN RSA PRIVATE KEY----- ", "A")] + ["-----BEGIN RSA PRIVATE KEY-----" + "a-" * 500_000]
+    began = time.time()
+    got = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), None).collect()
+    assert [(r.doc_id, r.candidate) for r in got] == [(1, f"-----BEGIN RSA PRIVATE KEY-----\n{body}")] and time.time() - began < 60
+
+
+def test_scores_do_not_depend_on_the_layout(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    a, b = (sorted((r.doc_id, r.start, r.score) for r in secrets.scan(d, documents=60).collect()) for d in (docs, docs.repartition(7).sortWithinPartitions(F.desc("doc_id"))))
+    assert a == b and a
+
+
 def test_forest_against_held_out_findings(spark, small):
     """Precision and recall on findings made in other documents, by other draws; the forest removes what is no secret."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
@@ -455,6 +513,15 @@ def test_substrings(spark, messy, none):
     assert substrings.repeated_spans(none).count() == 0
 
 
+def test_columns_named_like_the_operators_own(spark):
+    passage = " ".join(words(5, 40)) + "."
+    docs = spark.createDataFrame([(1, passage, 1, 2, 3, 4), (2, f"Here. {passage} token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\"", 5, 6, 7, 8)], "doc_id long, text string, removed int, __id int, __key int, __own int")
+    clean = substrings.without_spans(docs, substrings.repeated_spans(docs, 20))
+    assert sorted(clean.columns) == sorted(docs.columns) and {r.doc_id: bool(r.removed) for r in clean.collect()} == {1: False, 2: True}
+    assert jaccard.one_of_each(docs).columns == docs.columns and jaccard.one_of_each(docs).count() == 2
+    assert secrets.redact(docs, secrets.scan(docs, None)).columns == docs.columns
+
+
 def test_repeated_lines_of_any_length_go(spark):
     """Without a minimum every line but the first of its kind goes, a short one too, and only where it stands."""
     rows = [(k, f"Own words of {k} {' '.join(words(k, 9))}\nAll rights reserved\nMore of {k}") for k in range(50)]

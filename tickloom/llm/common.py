@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import checkpoint_folder, settled
 
-__all__ = ["WORD", "checkpoint_folder", "connected_components", "n_words", "settled", "table", "text_key"]
+__all__ = ["WORD", "checkpoint_folder", "connected_components", "n_words", "settled", "table", "text_key", "unused"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,19 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A name like each of `names` that `df` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of `edges` (a long, b long); component is the smallest node reachable.
 

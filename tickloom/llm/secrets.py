@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, text_key
+from .common import settled, text_key, unused
 
 #: Names that stand before secrets, and words that stand by digests which are none.
 NAMES = "token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
@@ -16,16 +16,17 @@ HARMLESS = "sha1|sha256|sha512|md5|commit|checksum|digest|revision|uuid|guid|eta
 TEST_PATHS = "test|example|sample|doc|fixture|mock"
 #: Words that candidates of no secret are often made of.
 DICTIONARY = "example|sample|dummy|test|your|here|changeme|placeholder|redacted|required|optional|secret|token|password|passwd|bearer|key|none|null|true|false|http|https|www|com|org|net|mail|html|page|index|file|path|name|user|data|license|version|local|share|config|value|type|abcdef|0123456789|123456|xxxx|0000|get|set|env|api"  # noqa: S105
-_PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY-----|\z)"
-_NAMED = rf"""(?<![A-Za-z0-9_-])[A-Za-z0-9_-]*?(?i:{NAMES})[A-Za-z0-9_-]*["']?\s{{0,4}}(?:=>?|:)\s{{0,4}}(?:Bearer\s+)?"""
+# every part is possessive or bounded, so that long runs of one kind cost time in proportion to their length
+_PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{32,}+={0,2})++)"
+_NAMED = rf"""(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?(?i:{NAMES}))[A-Za-z0-9_-]++["']?\s{{0,4}}(?:=>?|:)\s{{0,4}}(?:Bearer\s{{1,4}})?"""
 _VALUE = r"""(?:"[^"\n]{4,}|'[^'\n]{4,}|[^\s"'<>,;&]{4,})"""
-_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z0-9+/_-]*[a-z+/_-]+[A-Z])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9=]))?"
-#: A candidate: a private key's block; what is assigned to a secret's name, of 4 characters or more; or 16 or more characters of keys and tokens with a digit or mixed case.
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z]*+[a-z+/_-]++[A-Z])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9=]))?"
+#: A candidate: a private key's block, or where its end is missing its header with the lines of base64 behind it; what is assigned to a secret's name, of 4 characters or more; or 16 or more characters of keys and tokens with a digit or with a capital behind a small letter or a mark.
 CANDIDATE = f"{_PEM}|{_NAMED}{_VALUE}|{_RUN}"
 #: Documents whose text stands around the findings that are made for training, at most: those of the smallest hashes of their ids.
-FIT_DOCUMENTS = 1_000
-#: Kinds of findings that are made for training, and tasks that make them.
-KINDS, PARTS = 38, 12
+FIT_DOCUMENTS = 400
+#: Kinds of findings that are made for training.
+KINDS = 38
 #: Characters of neighbouring words that the forest sees on each side.
 CONTEXT = 64
 _OPEN, _CLOSE = "\x01", "\x02"
@@ -146,15 +147,17 @@ def labelled_findings(docs: DataFrame, documents: int = FIT_DOCUMENTS, salt: int
     at = F.pmod("seed", F.greatest(F.length("text"), F.lit(1))).cast("int")
     # only a few words of each text go to the choice of documents
     some = some.select("doc_id", "path", "seed", F.substring(F.col("text"), at + 1, F.lit(160)).alias("around")).orderBy("seed", "path").limit(documents)
-    some = settled(some.withColumn("around", F.regexp_replace("around", CANDIDATE, " ")).repartition(PARTS))
+    some = some.withColumn("around", F.regexp_replace("around", CANDIDATE, " "))
     half = F.floor(F.length("around") / 2).cast("int")
     rows = _made(some)
     mark = F.when(F.pmod(F.hash("kind", "around"), F.lit(2)) == 0, " ").otherwise("\n")
     text = F.concat(F.left(F.col("around"), half), mark, F.col("made"), mark, F.expr("substring(around, cast(floor(length(around) / 2) as int) + 1)"))
-    planted = settled(rows.select("doc_id", "path", text.alias("text"), F.col("secret").alias("__secret")))
+    planted = rows.select("doc_id", "path", text.alias("text"), F.col("secret").alias("__secret"))
     found = candidates(planted, "path")
     held = F.contains("__secret", F.col("candidate")) | F.contains("candidate", F.col("__secret"))
-    return found.withColumn("label", F.when(F.coalesce(held, F.lit(False)), 1.0).otherwise(0.0)).drop("__secret")
+    found = found.withColumn("label", F.when(F.coalesce(held, F.lit(False)), 1.0).otherwise(0.0)).drop("__secret")
+    # a forest samples rows by where they lie: one part, of a bounded number of rows, in one order, whatever the layout of `docs`
+    return found.repartition(1).sortWithinPartitions(*found.columns)
 
 
 def train(labelled: DataFrame, trees: int = 40, depth: int = 10) -> RandomForestClassificationModel | None:
@@ -193,15 +196,16 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Data
 
     Findings belong to a doc_id (null too) and a text, so rows that share an id have their own. Null texts stay null.
     """
-    spans = findings.where("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    spans = spans.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    at, key, cut, own, hit = unused(docs, "id", "key", "spans", "own", "found")
+    spans = findings.where("is_secret").groupBy(F.col("doc_id").alias(at), F.col("text_key").alias(key))
+    spans = spans.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cut))
     text = F.col("text")
-    upto = lambda i: F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))
-    pieces = F.transform("__spans", lambda x, i: F.concat(F.substring(text, upto(i) + 1, x["start"] - upto(i)), F.lit(mark)))
-    clean = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at("__spans", -1)["end"] + 1, F.length(text)))
-    found = F.col("__spans").isNotNull() & text.isNotNull()
-    out = docs.withColumn("__own", text_key(text)).join(spans, (F.col("__own") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    out = out.withColumn("__found", found).withColumn("text", F.when(found, clean).otherwise(text))
+    upto = lambda i: F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))
+    pieces = F.transform(cut, lambda x, i: F.concat(F.substring(text, upto(i) + 1, x["start"] - upto(i)), F.lit(mark)))
+    clean = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(cut, -1)["end"] + 1, F.length(text)))
+    found = F.col(cut).isNotNull() & text.isNotNull()
+    out = docs.withColumn(own, text_key(text)).join(spans, (F.col(own) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(at)), "left")
+    out = out.withColumn(hit, found).withColumn("text", F.when(found, clean).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__found"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(hit), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

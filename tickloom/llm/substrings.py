@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, text_key
+from .common import settled, text_key, unused
 
 _TOKEN = re.compile(r"\n|\S+")
 #: A sentence ends with a word that ends with its mark and what else is no letter.
@@ -118,11 +118,13 @@ def repeated_spans(docs: DataFrame, min_words: int = 1) -> DataFrame:
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """`docs` with the spans cut out of `text`, and `removed` (array of start and end in the original text; null if none). Spans cut only the text they were found in."""
-    cuts = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    upto = lambda i: F.coalesce(F.get("removed", i - 1)["end"], F.lit(0))
-    pieces = F.transform("removed", lambda x, i: F.substring("text", upto(i) + 1, x["start"] - upto(i)))
-    clean = F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.element_at("removed", -1)["end"] + 1, F.length("text")))
+    """`docs` with the spans cut out of `text`, and `removed` (array of start and end in the original text; null if none) in place of a column of that name. Spans cut only the text they were found in."""
+    at, key, cut, own = unused(docs, "id", "key", "removed", "own")
+    cuts = spans.groupBy(F.col("doc_id").alias(at), F.col("text_key").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cut))
+    upto = lambda i: F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))
+    pieces = F.transform(cut, lambda x, i: F.substring("text", upto(i) + 1, x["start"] - upto(i)))
+    clean = F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.element_at(cut, -1)["end"] + 1, F.length("text")))
     # ids without a cut, null ones too, match nothing and lie spread by their text
-    out = docs.withColumn("__own", text_key(F.col("text"))).join(cuts, (F.col("__own") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns, "removed")
+    out = docs.withColumn(own, text_key(F.col("text"))).join(cuts, (F.col(own) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(at)), "left")
+    rest = [c for c in docs.columns if c != "removed"]
+    return out.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(clean)).select(*rest, F.col(cut).alias("removed"))
