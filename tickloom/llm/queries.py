@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, mixing, packing, quality, secrets, simhash, substrings, vectors
+from . import chat, html, lines, mixing, packing, quality, secrets, simhash, substrings, trie, vectors
 from .common import table
 
 
@@ -57,8 +57,17 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 4)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.without_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), 10, 1)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.grafted(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_embedding_dedup, op2_secret_scan, op3_best_fit_packing, op4_quality, op5_html_extraction, op6_nearest_neighbours, op7_substring_dedup, op8_chat_format, op9_source_mix, op10_simhash_dedup]
+    own = [op1_embedding_dedup, op2_secret_scan, op3_best_fit_packing, op4_quality, op5_html_extraction, op6_nearest_neighbours, op7_substring_dedup, op8_chat_format, op9_source_mix, op10_simhash_dedup, op12_line_dedup, op13_conversation_trie]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -96,4 +105,28 @@ def oracle_sql() -> dict[str, str]:
                 CAST(sum(8 + length(role) + 8 + length(text) + 7
                     + len(regexp_extract_all(role || ' ' || text, '\\\\|<[|]|</?s>|<<SYS|<SYS|</SYS|</<?SYS|\\[/?INST\\]'))) AS BIGINT) AS formatted_chars
             FROM e GROUP BY conv_id""",
+        "op12_line_dedup": """
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+            l AS (SELECT r, doc_id, unnest(x) AS line, unnest(generate_series(1, len(x))) AS i FROM d),
+            k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+            hot AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+            m AS (SELECT r, doc_id, i, line, key IN (SELECT key FROM hot) AS gone FROM k)
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+            FROM m GROUP BY r, doc_id""",
+        "op13_conversation_trie": """
+            WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+            s AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS x FROM t GROUP BY conv_id),
+            h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda y, z: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h FROM s),
+            c AS (SELECT h.conv_id, list_concat(list_slice(coalesce(b.x, []), 1, h), list_slice(h.x, h + 1, len(h.x))) AS x FROM h LEFT JOIN s b ON b.conv_id = h.conv_id - h.conv_id % 100),
+            d AS (SELECT conv_id, x, unnest(generate_series(0, len(x))) AS depth FROM c),
+            p AS (SELECT conv_id, depth, len(x) = depth AS ends, CASE WHEN depth > 0 THEN length(x[depth].text) ELSE 0 END AS chars,
+                md5(CAST(to_json(list_slice(x, 1, depth)) AS VARCHAR)) AS k, CASE WHEN depth > 0 THEN md5(CAST(to_json(list_slice(x, 1, depth - 1)) AS VARCHAR)) END AS up FROM d),
+            n AS (SELECT k, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY k, depth),
+            m AS (SELECT n.*, coalesce(o.n_children, 0) AS n_children FROM n LEFT JOIN (SELECT up, count(*) AS n_children FROM n GROUP BY up) o ON o.up = n.k),
+            a AS (SELECT p.k, count(*) FILTER (m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.chars) AS BIGINT) AS saved_tokens
+                FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.k)
+            SELECT m.conv_id, m.depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, a.n_leaves, a.saved_tokens, m.ends_sha256
+            FROM m JOIN a ON a.k = m.k LEFT JOIN n o ON o.k = m.up""",
     }
