@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, lines, mixing, packing, quality, secrets, simhash, substrings, trie, vectors
+from . import chat, html, lines, mixing, packing, phrases, quality, secrets, simhash, substrings, trie, vectors
 from .common import table
 
 
@@ -38,7 +38,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # four in ten documents share a short line with another; a span of 20 words isn't chance
+    # four in ten documents share a short line with another; 20 words first seen in one document, or 40 in several, aren't chance
     return substrings.repeated_spans(table(spark, sf_dir, "documents"), 20)
 
 
@@ -57,6 +57,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 4)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), 30, 2000, 80)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.without_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), 10, 1)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -67,7 +71,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_embedding_dedup, op2_secret_scan, op3_best_fit_packing, op4_quality, op5_html_extraction, op6_nearest_neighbours, op7_substring_dedup, op8_chat_format, op9_source_mix, op10_simhash_dedup, op12_line_dedup, op13_conversation_trie]
+    own = [op1_embedding_dedup, op2_secret_scan, op3_best_fit_packing, op4_quality, op5_html_extraction, op6_nearest_neighbours, op7_substring_dedup, op8_chat_format, op9_source_mix, op10_simhash_dedup, op11_collocations, op12_line_dedup, op13_conversation_trie]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -105,6 +109,24 @@ def oracle_sql() -> dict[str, str]:
                 CAST(sum(8 + length(role) + 8 + length(text) + 7
                     + len(regexp_extract_all(role || ' ' || text, '\\\\|<[|]|</?s>|<<SYS|<SYS|</SYS|</<?SYS|\\[/?INST\\]'))) AS BIGINT) AS formatted_chars
             FROM e GROUP BY conv_id""",
+        "op11_collocations": """
+            WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+            p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+            w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+            i AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM w),
+            g AS (SELECT lang, unnest([w[i:i], w[i:i + 1], w[i:i + 2], w[i:i + 3]]) AS g, unnest([1, 2, 3, 4]) AS m, len(w) - i + 1 AS room FROM i),
+            f AS (SELECT lang, g, m, count(*) AS f FROM g WHERE m <= room GROUP BY ALL),
+            n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+            c AS (SELECT * FROM f WHERE m >= 2 AND f >= 30),
+            s AS (SELECT lang, f, g, m, unnest([2, 3]) AS k FROM c WHERE m > 2),
+            inside AS (SELECT lang, list_slice(g, b, b + k - 1) AS g, max(f) AS most FROM (SELECT *, unnest(generate_series(1, m - k + 1)) AS b FROM s WHERE k < m) GROUP BY ALL),
+            kept AS (SELECT c.* FROM c LEFT JOIN inside i ON i.lang = c.lang AND i.g = c.g WHERE NOT coalesce(100 * CAST(i.most AS HUGEINT) >= 80 * CAST(c.f AS HUGEINT), false)),
+            cuts AS (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM kept),
+            sc AS (SELECT c.lang, c.g, c.f AS a, c.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+                FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, c.k) JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, c.k + 1, c.m)),
+            best AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM sc) WHERE o = 1),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+            SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
         "op12_line_dedup": """
             WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
             l AS (SELECT r, doc_id, unnest(x) AS line, unnest(generate_series(1, len(x))) AS i FROM d),
