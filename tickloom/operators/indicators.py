@@ -1,29 +1,20 @@
-"""Indicators over candles: one window, one sort, for all that are frames; one pass per series for the recurrences."""
+"""Indicators over candles: frames over chunks of a series, recurrences as scans over its chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profile import heatmap
+from .series import SPAN, Average, Macd, Strength, chunk_window, followed, haloed, own
 
 Keys = Sequence[str]
 
 
-def _series(keys: Keys):
-    return Window.partitionBy(*keys).orderBy("t")
-
-
-def _last(p: int, keys: Keys):
-    return _series(keys).rowsBetween(-(p - 1), 0)
-
-
-def _full(p: int, keys: Keys) -> Column:
-    return F.row_number().over(_series(keys)) >= p
+def _last(p: int):
+    return chunk_window().rowsBetween(-(p - 1), 0)
 
 
 def _positive(*periods: int) -> None:
@@ -31,129 +22,64 @@ def _positive(*periods: int) -> None:
         raise ValueError("a period must be 1 or more")
 
 
-def sma(candles: DataFrame, period: int = 20, keys: Keys = ("symbol",)) -> DataFrame:
-    """keys, t, sma from the bar on that has `period` bars."""
+def sma(candles: DataFrame, period: int = 20, keys: Keys = ("symbol",), **chunks: int) -> DataFrame:
+    """keys, t, sma from the bar on that has `period` bars. `chunks` go to haloed()."""
     _positive(period)
-    return candles.select(*keys, "t", F.avg("c").over(_last(period, keys)).alias("sma"), _full(period, keys).alias("ok")).where("ok").drop("ok")
+    rows = haloed(candles.select(*keys, "t", "c"), period - 1, 0, keys, **chunks)
+    return own(rows.withColumn("sma", F.avg("c").over(_last(period))).where(F.col("i") >= period - 1), *keys, "t", "sma")
 
 
-def bollinger(candles: DataFrame, period: int = 20, k: float = 2.0, keys: Keys = ("symbol",)) -> DataFrame:
+def bollinger(candles: DataFrame, period: int = 20, k: float = 2.0, keys: Keys = ("symbol",), **chunks: int) -> DataFrame:
     """keys, t, mid, upper, lower: the mean and k population deviations about it."""
     _positive(period)
-    mid, sd = (f("c").over(_last(period, keys)) for f in (F.avg, F.stddev_pop))
-    return candles.select(*keys, "t", mid.alias("mid"), (mid + k * sd).alias("upper"), (mid - k * sd).alias("lower"), _full(period, keys).alias("ok")).where("ok").drop("ok")
+    rows = haloed(candles.select(*keys, "t", "c"), period - 1, 0, keys, **chunks)
+    mid, sd = (f("c").over(_last(period)) for f in (F.avg, F.stddev_pop))
+    rows = rows.withColumns({"mid": mid, "sd": sd}).where(F.col("i") >= period - 1)
+    return own(rows.withColumns({"upper": F.col("mid") + k * F.col("sd"), "lower": F.col("mid") - k * F.col("sd")}), *keys, "t", "mid", "upper", "lower")
 
 
-def weighted(value: str, period: int, keys: Keys) -> Column:
-    """Weighted mean of the last `period` rows, the newest counting `period` times."""
-    frame = F.collect_list(value).over(_last(period, keys))
-    total = F.aggregate(F.transform(frame, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return total / (period * (period + 1) / 2)
+def weighted(value: str, period: int) -> Column:
+    """Weighted mean of the last `period` rows of a chunk, the newest counting `period` times: the sum of number times value less the first number times the sum."""
+    r = F.col("__at")  # small numbers, as they cancel
+    sums = F.sum(r * F.col(value)).over(_last(period)) - (r - period) * F.sum(value).over(_last(period))
+    return sums / (period * (period + 1) / 2)
 
 
-def wma(rows: DataFrame, period: int = 20, value: str = "c", name: str = "wma", keys: Keys = ("symbol",)) -> DataFrame:
+def wma(rows: DataFrame, /, period: int = 20, value: str = "c", name: str = "wma", keys: Keys = ("symbol",), **chunks: int) -> DataFrame:
+    """`rows` with column `name`, from the row on that has `period` rows."""
     _positive(period)
-    return rows.select("*", weighted(value, period, keys).alias(name), _full(period, keys).alias("__ok")).where("__ok").drop("__ok")
-
-
-def _ewm(x: np.ndarray, alpha: float, seed: int) -> np.ndarray:
-    """y = alpha x + (1 - alpha) y before; the first y is the mean of the first `seed` values, at the last of them."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= seed:
-        start = np.concatenate(([x[:seed].mean()], x[seed:]))
-        out[seed - 1 :] = pd.Series(start).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-    return out
+    cut = haloed(rows, period - 1, 0, keys, **chunks).withColumn(name, weighted(value, period))
+    return own(cut.where(F.col("i") >= period - 1), *rows.columns, name)
 
 
-def recurrences(candles: DataFrame, columns: dict[str, Callable[[np.ndarray], np.ndarray]], keys: Keys = ("symbol",)) -> DataFrame:
-    """keys, t and a column for each function of a series' closes, in one pass; rows where all are missing are left out.
-
-    A recurrence follows a series from its start, so one task holds the closes of one series; keys spread over tasks.
-    Series come sorted, many to a batch, and are cut apart here: a call for each series would cost more than its work.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in candles.schema}
-
-    def made(rows: pd.DataFrame) -> pd.DataFrame:
-        series = rows.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(series)) + 1, [len(rows)]))
-        closes = rows["c"].to_numpy(np.float64)
-        out = rows[[*keys, "t"]].copy()
-        for name, f in columns.items():
-            out[name] = np.concatenate([f(closes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
-        return out.dropna(subset=list(columns), how="all")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # the last series of what has been read, which may go on; its parts are joined once
-        for b in batches:
-            if not len(b):
-                continue
-            ends = [*held[-1:], b.iloc[[0]], b.iloc[[-1]]]
-            series = pd.concat([x.iloc[[-1]] for x in ends], ignore_index=True).groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
-            if held and series[0] == series[1] == series[2]:
-                held.append(b)
-                continue
-            rows = pd.concat([*held, b], ignore_index=True)
-            series = rows.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
-            whole = int(np.searchsorted(series, series[-1]))
-            held = [rows.iloc[whole:]]
-            if whole:
-                yield made(rows.iloc[:whole])
-        if held:
-            yield made(pd.concat(held, ignore_index=True))
-
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*keys, "t")), *(f"{c} double" for c in columns)])
-    return candles.select(*keys, "t", "c").repartition(*keys).sortWithinPartitions(*keys, "t").mapInPandas(run, schema)
-
-
-def ema_first(candles: DataFrame, period: int = 20, keys: Keys = ("symbol",)) -> DataFrame:
+def ema_first(candles: DataFrame, period: int = 20, keys: Keys = ("symbol",), span: int = SPAN) -> DataFrame:
     """keys, t, ema: starts with the first close, one row for each bar."""
     _positive(period)
-    return recurrences(candles, {"ema": lambda x: _ewm(x, 2 / (period + 1), 1)}, keys)
+    return followed(candles, Average(2 / (period + 1), 1, "ema"), keys, span)
 
 
-def ema_sma(candles: DataFrame, period: int = 20, keys: Keys = ("symbol",)) -> DataFrame:
+def ema_sma(candles: DataFrame, period: int = 20, keys: Keys = ("symbol",), span: int = SPAN) -> DataFrame:
     """keys, t, ema: starts with the mean of the first `period` closes."""
     _positive(period)
-    return recurrences(candles, {"ema": lambda x: _ewm(x, 2 / (period + 1), period)}, keys)
+    return followed(candles, Average(2 / (period + 1), period, "ema"), keys, span)
 
 
-def macd(candles: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys: Keys = ("symbol",)) -> DataFrame:
+def macd(candles: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys: Keys = ("symbol",), span: int = SPAN) -> DataFrame:
     """keys, t, macd, signal, histogram; the signal is the average of the MACD itself and missing before it has `signal` values."""
     _positive(fast, slow, signal)
-
-    def line(x: np.ndarray) -> np.ndarray:
-        return _ewm(x, 2 / (fast + 1), fast) - _ewm(x, 2 / (slow + 1), slow)
-
-    def smooth(x: np.ndarray) -> np.ndarray:
-        m = line(x)
-        out, at = np.full(len(m), np.nan), max(fast, slow) - 1
-        out[at:] = _ewm(m[at:], 2 / (signal + 1), signal)
-        return out
-
-    rows = recurrences(candles, {"macd": line, "signal": smooth}, keys)
+    rows = followed(candles, Macd(fast, slow, signal), keys, span)
     rows = rows.withColumn("signal", F.when(~F.isnan("signal"), F.col("signal")))
     return rows.withColumn("histogram", F.col("macd") - F.col("signal"))
 
 
-def rsi(candles: DataFrame, period: int = 14, high: float = 70, low: float = 30, keys: Keys = ("symbol",)) -> DataFrame:
+def rsi(candles: DataFrame, period: int = 14, high: float = 70, low: float = 30, keys: Keys = ("symbol",), span: int = SPAN) -> DataFrame:
     """keys, t, rsi, overbought, oversold from bar `period` + 1 on, counted from 0; without losses the ratio counts as 100."""
     _positive(period)
-
-    def one(x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), np.nan)
-        d = np.diff(x)
-        if len(d) > period:
-            up, down = (_ewm(np.maximum(s * d, 0), 1 / period, period) for s in (1, -1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = np.where(down == 0, 100, up / down)
-            out[period + 1 :] = (100 - 100 / (1 + ratio))[period:]
-        return out
-
-    rows = recurrences(candles, {"rsi": one}, keys)
+    rows = followed(candles, Strength(period), keys, span)
     return rows.select("*", (F.col("rsi") > high).alias("overbought"), (F.col("rsi") < low).alias("oversold"))
 
 
-def relative_rotation(candles: DataFrame, benchmark: DataFrame, period: int = 10, keys: Keys = ("symbol",)) -> DataFrame:
+def relative_rotation(candles: DataFrame, benchmark: DataFrame, period: int = 10, keys: Keys = ("symbol",), **chunks: int) -> DataFrame:
     """keys, t, ratio, momentum of each series against `benchmark` (t, c), paired by time.
 
     RS = 100 c / benchmark c; ratio = WMA of WMA of RS; momentum = WMA of 100 ratio / ratio `period` bars before.
@@ -162,10 +88,12 @@ def relative_rotation(candles: DataFrame, benchmark: DataFrame, period: int = 10
     _positive(period)
     bench = benchmark.select("t", F.col("c").alias("bench"))
     rows = candles.select(*keys, "t", "c").join(bench, "t").select(*keys, "t", (100 * F.col("c") / F.col("bench")).alias("rs"))
-    rows = wma(wma(rows, period, "rs", "once", keys), period, "once", "ratio", keys)
-    rows = rows.withColumn("old", F.lag("ratio", period).over(_series(keys))).where("old is not null")
-    rows = rows.withColumn("roc", 100 + 100 * (F.col("ratio") / F.col("old") - 1))
-    return wma(rows, period, "roc", "momentum", keys).select(*keys, "t", "ratio", "momentum")
+    back = period - 1
+    rows = haloed(rows, 3 * back + period, 0, keys, **chunks)  # all frames, one behind the other, lie in one chunk
+    rows = rows.withColumn("once", weighted("rs", period)).withColumn("ratio", weighted("once", period))
+    roc = 100 + 100 * (F.col("ratio") / F.lag("ratio", period).over(chunk_window()) - 1)
+    rows = rows.withColumn("roc", roc).withColumn("momentum", weighted("roc", period))
+    return own(rows.where(F.col("i") >= 3 * back + period), *keys, "t", "ratio", "momentum")
 
 
 def unpaired(candles: DataFrame, benchmark: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settled
+from .series import whole_groups
+
 Keys = Sequence[str]
 
 
@@ -56,11 +58,11 @@ def heatmap(candles: DataFrame, levels: int = 10, hours: int = 24, overlap: int
     """
     if hours < 1 or overlap < 0:
         raise ValueError("hours must be 1 or more and overlap not negative")
-    rows = _levels(candles, levels, keys).withColumn("pin", F.floor(F.col("t") / (hours * 3600)))
-    pin = F.dense_rank().over(Window.partitionBy(*keys).orderBy("pin")) - 1
-    rows = rows.withColumn("p", pin if overlap else F.lit(0))
-    each = rows.select(*keys, "p", F.explode(F.sequence("a", "b")).alias("level"), (F.col("v") / (F.col("b") - F.col("a") + 1)).alias("v"))
-    sums = each.groupBy(*keys, "p", "level").agg(F.sum("v").alias("v"))
+    rows = _levels(candles, levels, keys).withColumn("pin", F.floor(F.col("t") / (hours * 3600)) if overlap else F.lit(0))
+    each = rows.select(*keys, "pin", F.explode(F.sequence("a", "b")).alias("level"), (F.col("v") / (F.col("b") - F.col("a") + 1)).alias("v"))
+    sums = each.groupBy(*keys, "pin", "level").agg(F.sum("v").alias("v"))
+    # pins are numbered after the sums: a series has a row for each pin and level here, not for each bar
+    sums = sums.withColumn("p", F.dense_rank().over(Window.partitionBy(*keys).orderBy("pin")) - 1)
     width = overlap or 1
     sums = sums.withColumn("pins", F.max("p").over(Window.partitionBy(*keys)) + 1).where(F.col("pins") >= width)
     first, last = F.greatest(F.col("p") - (width - 1), F.lit(0)), F.least(F.col("p"), F.col("pins") - width)
@@ -86,7 +88,7 @@ def smoothed(totals: DataFrame, window: int, keys: Keys = ("symbol",)) -> DataFr
     return totals.select(*keys, "level", F.round(F.avg("total").over(w), 6).alias("total"))
 
 
-def grouped_levels(total: np.ndarray) -> list[tuple[int, int, int]]:
+def grouped_levels(total: Sequence[float]) -> list[tuple[int, int, int]]:
     """(begin, center, end) of the ranges that grow around levels of much volume, in order of creation.
 
     Levels come by volume, largest first, the lower one of equals; each goes to the first range, by center, that it
@@ -107,21 +109,21 @@ def level_ranges(totals: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
     """keys, range, begin, center, end of each series' levels (keys, level, total); a series has as many rows as levels."""
     kinds = {f.name: f.dataType.simpleString() for f in totals.schema}
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        found = grouped_levels(b.sort_values("level")["total"].to_numpy())
-        out = pd.DataFrame(found, columns=["begin", "center", "end"])
-        out.insert(0, "range", np.arange(len(out)))
-        for k in reversed(keys):
-            out.insert(0, k, b[k].iloc[0])
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, cuts in whole_groups(batches, keys):  # many series a batch
+            total = b["total"].to_numpy()
+            found = [(x, k, *r) for x, y in zip(cuts[:-1], cuts[1:]) for k, r in enumerate(grouped_levels(total[x:y].tolist()))]
+            at, *columns = zip(*found)
+            yield b[list(keys)].iloc[list(at)].assign(**dict(zip(("range", "begin", "center", "end"), columns)))
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", range long, begin long, center long, end long"
-    return totals.groupBy(*keys).applyInPandas(run, schema)
+    return totals.repartition(*keys).sortWithinPartitions(*keys, "level").mapInPandas(run, schema)
 
 
 def timelines(heat: DataFrame, ranges: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
     """keys, range, start, end (exclusive): runs of two or more windows in which a range has over 1 % of its largest volume."""
-    inside = heat.join(ranges, list(keys)).where(F.col("level").between(F.col("begin"), F.col("end")))
+    levels = ranges.select(*keys, "range", F.explode(F.sequence("begin", "end")).alias("level"))  # a level is in one range
+    inside = heat.join(levels, [*keys, "level"])
     sums = inside.groupBy(*keys, "range", "window").agg(F.sum("volume").alias("v"))
     most = F.greatest(F.max("v").over(Window.partitionBy(*keys, "range")) * 0.01, F.lit(2.220446049250313e-16))
     live = sums.select(*keys, "range", "window", (F.col("v") > most).alias("live")).where("live")
@@ -138,7 +140,7 @@ def intensity(ranges: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
 
 
 def profile_tables(candles: DataFrame, levels: int = 10, hours: int = 24, overlap: int = 0, keys: Keys = ("symbol",)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Heatmap, ranges and timelines of each series."""
-    heat = heatmap(candles, levels, hours, overlap, keys)
+    """Heatmap (written once, as all three read it), ranges and timelines of each series."""
+    heat = settled(heatmap(candles, levels, hours, overlap, keys))
     ranges = level_ranges(smoothed(level_totals(heat, keys), levels // 10, keys), keys)
     return heat, ranges, timelines(heat, ranges, keys)

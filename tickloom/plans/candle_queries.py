@@ -109,7 +109,7 @@ SPANS = f"""{RANGES}, inside AS (SELECT h.symbol, r.range, h."window", sum(h.vol
 
 @query(f"{SPANS} SELECT * FROM spans")
 def win_timeline_islands(spark, d):
-    return profile.timelines(heat(spark, d), level_ranges(spark, d))
+    return profile.profile_tables(users(spark, d), 10, 24, 3)[2]
 
 
 @query(f"""{SPANS} SELECT 'heat' AS kind, symbol, level AS a, "window" AS b, CAST(NULL AS BIGINT) AS c, volume AS v FROM heat
@@ -246,7 +246,7 @@ def win_pivot_rank(spark, d):
     SELECT symbol, t, CAST(size AS INTEGER) AS size, CAST(len(list_filter(list_slice(l, greatest(i - size + 1, 1), i), lambda x: x > c)) AS BIGINT) AS rank FROM z""")
 def win_pivot_rank_all(spark, d):
     """All sizes from 0 to a third of the series."""
-    return patterns.pivot_ranks_all(users(spark, d)).select("symbol", "t", F.posexplode("ranks").alias("size", "rank"))
+    return patterns.pivot_ranks_all(users(spark, d))
 
 
 @query(f"""{USERS}, y AS (SELECT *, list(c) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS a, list(c) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS b FROM candles),
