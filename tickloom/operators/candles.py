@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.history import between
+
 #: Seconds of a coverage block.
 WEEK = 7 * 86400
 Keys = Sequence[str]
@@ -52,7 +54,8 @@ def backfill(shown: DataFrame, older: DataFrame, keys: Keys = ("symbol",)) -> Da
 
 
 def in_range(candles: DataFrame, start: int, end: int) -> DataFrame:
-    return candles.where(F.col("t").between(start, end))
+    """Bars from `start` to `end`, both inclusive; of bars that lie by month only those months are read."""
+    return between(candles, start, end, "t") if "month" in candles.columns else candles.where(F.col("t").between(start, end))
 
 
 def blocks(ranges: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.history import between
+
 LOCAL_SHIFT = 7 * 3600
 #: What ranks a product's history rows; rows that tie are equal.
 ORDER = ("ts", "id", "buy", "sell")
@@ -37,8 +39,9 @@ def store_prices(bridge: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def history_star(history: DataFrame, bridge: DataFrame, scopes: Sequence[int], start: int, end: int) -> DataFrame:
-    """History rows of the products in `scopes` from `start` to `end`, both inclusive."""
-    rows = history.where(F.col("ts").between(start, end)).select("product_id", "buy", "sell", "ts", "id")
+    """History rows of the products in `scopes` from `start` to `end`, both inclusive; of a history that lies by month only those months are read."""
+    rows = between(history, start, end) if "month" in history.columns else history.where(F.col("ts").between(start, end))
+    rows = rows.select("product_id", "buy", "sell", "ts", "id")
     return rows.join(bridge.where(F.col("scope").isin(*scopes)).select("product_id", "symbol_id"), "product_id")
 
 

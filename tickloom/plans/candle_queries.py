@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .. import views
 from ..operators import candles as bars
 from ..operators import indicators, patterns, profile
+from ..sources import history
+from ..storage import scratch
 from ..views import CANDLES, TICKS, candles_sql
 from .registry import query, rounded
 
@@ -277,7 +279,10 @@ def jn_backfill_anti(spark, d):
 
 @query(f"{USERS} SELECT * FROM candles WHERE t BETWEEN 1704672000 AND 1705276800")
 def flt_time_range(spark, d):
-    return bars.in_range(users(spark, d), 1704672000, 1705276800)
+    """Of bars that have landed by month."""
+    path = scratch(spark, "bars")
+    history.land(users(spark, d), path, "t")
+    return bars.in_range(history.read(spark, path), 1704672000, 1705276800)
 
 
 @query(f"{USERS} SELECT *, c >= o AS up FROM candles")

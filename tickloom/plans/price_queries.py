@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from .. import views
 from ..operators import dimensions as dims
 from ..operators import prices
+from ..sources import history
+from ..sources.snapshots import Snapshot
+from ..storage import scratch
 from ..views import BRIDGE, HISTORY_ORDER, PRICES, TICKS
 from .registry import query
 
@@ -118,9 +121,27 @@ def jn_store_price(spark, d):
     return prices.store_prices(views.bridge(spark, d), views.price_current(spark, d))
 
 
+def landed_history(spark, d):
+    """The price history as it lies by month."""
+    path = scratch(spark, "history")
+    history.land(views.price_history(spark, d), path)
+    return history.read(spark, path)
+
+
 @query(f"{PRICES} SELECT h.product_id, buy, sell, ts, h.id, b.symbol_id FROM history h JOIN bridge b USING (product_id) WHERE scope IN (0, 1) AND ts BETWEEN {START} AND {END}")
 def jn_history_star(spark, d):
-    return prices.history_star(views.price_history(spark, d), views.bridge(spark, d), (0, 1), START, END)
+    return prices.history_star(landed_history(spark, d), views.bridge(spark, d), (0, 1), START, END)
+
+
+@query(f"""{PRICES}, asked AS (SELECT product_id * 10 + k AS id, product_id, {START} + (product_id % 5 + k * 12) * 2592000 AS start, {START} + (product_id % 5 + k * 12 + 1) * 2592000 AS "end" FROM bridge, (SELECT unnest([0, 1]) AS k) WHERE scope = 2 AND symbol_id = 5)
+    SELECT a.id, h.product_id, buy, sell, ts, h.id AS row_id FROM history h JOIN asked a ON h.product_id = a.product_id AND ts BETWEEN start AND "end" """)
+def jn_history_requests(spark, d):
+    """Ranges of time from a table of requests: the months to read are known when the requests are."""
+    asked = views.bridge(spark, d).where("scope = 2 and symbol_id = 5").select("product_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    start = F.lit(START) + (F.col("product_id") % 5 + F.col("k") * 12) * 2592000
+    asked = asked.select((F.col("product_id") * 10 + F.col("k")).alias("id"), "product_id", start.alias("start"), (start + 2592000).alias("end"))
+    rows = landed_history(spark, d).withColumnRenamed("id", "row_id").select("product_id", "buy", "sell", "ts", "row_id", "month")
+    return history.asked(rows, asked, "product_id")
 
 
 @query(f"""{PRICES}, old AS (SELECT product_id, last(buy ORDER BY {HISTORY_ORDER}) AS b, last(sell ORDER BY {HISTORY_ORDER}) AS s FROM history WHERE ts <= {CUT} GROUP BY product_id)
@@ -355,7 +376,10 @@ def snk_upsert_by_key(spark, d):
     changed = target.where("id % 3 = 0").select("id", F.concat("name", F.lit("!")).alias("name"), F.lit("none").alias("brand"), F.lit(1).alias("seq"))
     old = changed.withColumns({"name": F.lit("stale"), "seq": F.lit(0)})
     new = target.where("id % 5 = 0").select((F.col("id") + 1000000).alias("id"), "name", "brand", F.lit(1).alias("seq"))
-    return dims.upsert(target, changed.unionByName(old).unionByName(new), ["id"], ["name"], "seq")
+    table = Snapshot(spark, scratch(spark, "parts"), "id long, name string, brand string", ["id"])
+    table.rewrite(target, lambda _, batch: batch, 1)
+    table.rewrite(changed.unionByName(old).unionByName(new), lambda held, batch: dims.upsert(held, batch, ["id"], ["name"], "seq"), 2)
+    return table.read()
 
 
 @query(f"{PRICES}, x AS (SELECT *, lag(buy) OVER w AS b, lag(sell) OVER w AS s FROM history WINDOW w AS (PARTITION BY product_id ORDER BY ts, id, buy, sell)) SELECT product_id, ts, id, buy, sell FROM x WHERE b IS NULL OR b <> buy OR s <> sell")

@@ -160,7 +160,5 @@ def st_price_ingest(spark, d):
     in_order(rows, "ts", lambda w: w.parquet(path))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(path)
     batches(stream, "ingest", live.price_ingest(f"{base}/current", f"{base}/history"))
-    versions = spark.read.parquet(f"{base}/current")
-    last = versions.agg(F.max("version").alias("version"))
     kept = spark.read.parquet(f"{base}/history").agg(F.count("*").alias("kept"))
-    return versions.join(F.broadcast(last), "version").join(F.broadcast(kept)).select("product_id", "buy", "sell", "kept")
+    return live.prices_of(spark, f"{base}/current").read().join(F.broadcast(kept)).select("product_id", "buy", "sell", "kept")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import INTEGERS, json_kind
+from .history import rebalanced
 
 KINDS = {"i32": "int", "i64": "bigint", "string": "string"}
 
@@ -47,8 +48,8 @@ def read_page(rows: DataFrame, schema: Sequence[tuple[str, str]], after: int, li
 
 
 def write_monthly(rows: DataFrame, path: str, at: str = "created_at", mode: str = "append") -> None:
-    """Rows below `path` in partitions month=YYYYMM of `at`."""
-    rows.withColumn("month", F.date_format(at, "yyyyMM")).repartition("month").write.mode(mode).partitionBy("month").parquet(path)
+    """Rows below `path` in partitions month=YYYYMM of `at`, in even files: a large month is cut, small ones share tasks."""
+    rebalanced(rows.withColumn("month", F.date_format(at, "yyyyMM")), "month").write.mode(mode).partitionBy("month").parquet(path)
 
 
 def retained(spark: SparkSession, path: str, first_month: str) -> DataFrame:

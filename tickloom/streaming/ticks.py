@@ -13,7 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..functions.scalars import strict_cast
 from ..operators.candles import order_of
 from ..operators.prices import ingest
+from ..sources.history import land
 from ..sources.json_path import parse
+from ..sources.snapshots import Snapshot
 
 TICK = "broker string, symbol string, price double, quantity double, timestamp long"
 
@@ -137,23 +139,27 @@ def fan_out(sinks: Mapping[str, Callable[[DataFrame, int], None]]) -> Callable[[
 
 
 def price_ingest(current: str, history: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: batches of events (product_id, buy, sell, ts, id) go to `history`, by month and epoch, and into a new
-    version of the snapshot below `current`. A batch that comes again replaces what it wrote."""
+    """For foreachBatch: batches of events (product_id, buy, sell, ts, id) go to `history`, by epoch and month, and into the
+    snapshot below `current`, of which only the buckets of their products are rewritten. A batch that comes again replaces
+    what it wrote in the history and changes nothing in the snapshot."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            rows = batch.withColumns({"month": F.date_format(F.timestamp_seconds("ts"), "yyyyMM"), "epoch": F.lit(epoch)})
-            rows.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "month").parquet(history)
-            old = spark.read.parquet(f"{current}/version={epoch - 1}") if epoch else spark.createDataFrame([], "product_id long, buy double, sell double, ts long")
-            ingest(old, batch).write.mode("overwrite").parquet(f"{current}/version={epoch}")
+            land(batch, history, mode="overwrite", epoch=F.lit(epoch))
+            prices_of(spark, current).rewrite(batch, ingest, epoch)
         finally:
             batch.unpersist()
 
     return run
 
 
+def prices_of(spark: SparkSession, current: str) -> Snapshot:
+    """The snapshot of current prices that price_ingest() keeps."""
+    return Snapshot(spark, current, "product_id long, buy double, sell double, ts long", ["product_id"])
+
+
 def finish(query: StreamingQuery) -> None:
     """Waits for a query that reads what is available."""
     query.awaitTermination()
