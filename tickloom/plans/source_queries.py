@@ -160,6 +160,21 @@ def udf_custom_component(spark, d):
     return told(spark.read.format("framed_log").option("path", written_log(spark, d)).load())
 
 
+@query(LOGGED)
+def src_framed_log_tail(spark, d):
+    """A log that grows and is rotated while it is followed: three runs of one stream, each going on from the last one's checkpoint."""
+    parts.register(spark)
+    path, out, rows = scratch(spark, "tail"), scratch(spark, "followed"), log_rows(spark, d)
+    part = F.get_json_object("payload", "$.event_id").cast("long") % 3
+    for i in range(3):
+        parts.write_log(rows.where(part == i), path)
+        if i == 1:
+            framed_log.rotate(path, 1700000000)
+        tail = spark.readStream.format("framed_log").option("path", path).load()
+        tail.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    return told(spark.read.parquet(out))
+
+
 @parts.transform("doubled")
 def doubled(column: str):
     return lambda df: df.withColumn(column, F.col(column) * 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..storage import scratch
+from ..streaming import ordered
 from ..streaming import ticks as live
 from ..views import HISTORY_ORDER, TICKS, candles_sql
 from .registry import query
@@ -65,11 +66,17 @@ def st_json_map(spark, d):
 
 @query(f"WITH {TICKS}, {candles_sql()} SELECT 'sim' AS broker, symbol, t, o, h, l, c, v FROM candles")
 def st_ohlc(spark, d):
-    """All bars as the stream closes them: two ticks of another symbol, far beyond the last, land at the end and move the watermark on."""
+    """All bars as the stream closes them: two ticks of another symbol, far beyond the last, land at the end and move the watermark on.
+
+    Every fiftieth tick lands two days late and still counts, as a week is allowed; one that lands after the watermark has passed it is dropped.
+    """
     rows = views.ticks(spark, d).select("broker", "symbol", "price", "quantity", "timestamp", "event_id")
     path = scratch(spark, "ticks")
-    in_order(rows, "timestamp", lambda w: w.json(path))
+    late = F.when(F.col("event_id") % 50 == 0, 2 * 86_400_000).otherwise(0)
+    in_order(rows.withColumn("arrival", F.col("timestamp") + late), "arrival", lambda w: w.json(path))
     for days in (30, 60):
+        if days == 60:
+            rows.orderBy("timestamp").limit(1).withColumn("price", F.lit(1e9)).write.mode("append").json(path)
         end = rows.agg((F.max("timestamp") + days * 86_400_000).alias("timestamp")).where("timestamp is not null")
         end.select(F.lit("sim").alias("broker"), F.lit("~end").alias("symbol"), F.lit(0.0).alias("price"), F.lit(0.0).alias("quantity"), "timestamp", F.lit(-1).alias("event_id")).write.mode("append").json(path)
     ticks = live.read_ticks(spark, path, f"{live.TICK}, event_id long", maxFilesPerTrigger="1").drop("_corrupt_record")
@@ -78,12 +85,10 @@ def st_ohlc(spark, d):
 
 @query(f"WITH {TICKS} SELECT broker, symbol, last(price ORDER BY ts_us, event_id) AS price, max(timestamp) AS timestamp FROM ticks GROUP BY ALL")
 def st_last_price(spark, d):
-    found: list[DataFrame] = []
     path = scratch(spark, "last")
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        found.append(batch)
 
     rows = live.read_ticks(spark, landed(spark, d), maxFilesPerTrigger="1").drop("_corrupt_record")
     batches(live.last_prices(rows), "last", keep, "update")
@@ -107,27 +112,71 @@ def win_version_gate(spark, d):
     return live.version_changes(messages(spark, d))
 
 
-@query(CHANGED)
-def st_version_gate(spark, d):
-    path = scratch(spark, "boards")
-    in_order(messages(spark, d), "seq", lambda w: w.parquet(path))
-    rows = spark.readStream.schema("board string, seq long, version long, payload string").option("maxFilesPerTrigger", "4").parquet(path)
+def stateful(df: DataFrame, name: str) -> DataFrame:
+    """streamed() with the state store that state processors need; a query takes it when it starts."""
+    spark = df.sparkSession
     key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(key)
-    spark.conf.set(key, provider)  # what state processors need; a query takes it when it starts
+    spark.conf.set(key, provider)
     try:
-        return streamed(live.gate_stream(rows), "gate")
+        return streamed(df, name)
     finally:
         spark.conf.set(key, before)
 
 
+def landed_late(rows: DataFrame, path: str, end: DataFrame) -> None:
+    """Rows with `ts` as Parquet by time, every fifth two days late; then `end`, rows of one key far behind, so that the watermark passes all others."""
+    arrival = F.unix_micros("ts") + F.when(F.col("seq") % 5 == 0, 2 * 86_400_000_000).otherwise(0)
+    in_order(rows.withColumn("arrival", arrival), "arrival", lambda w: w.parquet(path))
+    for days in (60, 90):
+        last = rows.agg((F.max("ts") + F.expr(f"interval {days} days")).alias("ts")).where("ts is not null")
+        last.join(end).select(*rows.columns).withColumn("arrival", F.lit(0).cast("long")).coalesce(1).write.mode("append").parquet(path)
+
+
+def of_schema(spark, path: str, rows: DataFrame) -> DataFrame:
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "3").parquet(path)
+
+
+@query(CHANGED)
+def st_version_gate(spark, d):
+    """Messages that land a batch or more behind later ones."""
+    path = scratch(spark, "boards")
+    at = views.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = messages(spark, d).join(at, "seq")
+    end = spark.createDataFrame([("~end", -1, 1, "")], "board string, seq long, version long, payload string")
+    landed_late(rows, path, end)
+    passed = ordered.gate_stream(of_schema(spark, path, rows), "7 days", 365 * 86400)
+    return stateful(passed, "gate").where("board <> '~end'")
+
+
+ROUTED = f"""WITH {TICKS}, a AS (SELECT 'c' || user_id % 7 AS client, event_type AS symbol, epoch_us(ts) AS at, CASE WHEN event_id % 3 = 0 THEN 'unsubscribe' ELSE 'subscribe' END AS action FROM events),
+    w AS (SELECT DISTINCT client, symbol FROM a), t AS (SELECT w.client, t.broker, t.symbol, t.ts_us FROM ticks t JOIN w ON w.symbol = t.symbol)
+    SELECT t.client, t.broker, t.symbol, count(*) AS n FROM t ASOF JOIN a ON a.client = t.client AND a.symbol = t.symbol AND t.ts_us >= a.at WHERE a.action = 'subscribe' GROUP BY ALL"""
+
+
+@query(ROUTED)
+def st_subscribe(spark, d):
+    """Actions and ticks as two streams: who is subscribed changes between batches and within them."""
+    e = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    base = e.select(F.lit("sim").alias("broker"), F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), "ts", "user_id", F.col("value").alias("price"))
+    action = F.when(F.col("seq") % 3 == 0, "unsubscribe").otherwise("subscribe")
+    actions = base.select("broker", "symbol", F.concat(F.lit("c"), (F.col("user_id") % 7).cast("string")).alias("client"), action.alias("action"), "seq", "ts")
+    ticks = base.select("broker", "symbol", "seq", "price", "ts")
+    paths = [scratch(spark, n) for n in ("actions", "ticks")]
+    landed_late(actions, paths[0], spark.createDataFrame([("sim", "~end", "c", "none", -1)], "broker string, symbol string, client string, action string, seq long"))
+    landed_late(ticks, paths[1], spark.createDataFrame([("sim", "~end", -1, 0.0)], "broker string, symbol string, seq long, price double"))
+    routed = ordered.routed_stream(of_schema(spark, paths[1], ticks), of_schema(spark, paths[0], actions), "7 days", 2)
+    return stateful(routed, "routed").groupBy("client", "broker", "symbol").agg(F.count("*").alias("n"))
+
+
 SUBSCRIBED = f"""WITH {TICKS}, a AS (SELECT 'c' || user_id % 7 AS client, 'sim' AS broker, event_type AS symbol, CASE WHEN event_id % 3 = 0 THEN 'unsubscribe' ELSE 'subscribe' END AS action, event_id AS seq FROM events),
     s AS (SELECT client, broker, symbol FROM (SELECT client, broker, symbol, arg_max(action, seq) AS action FROM a GROUP BY ALL) WHERE action = 'subscribe')
     SELECT client, broker, symbol, count(*) AS n FROM ticks JOIN s USING (broker, symbol) GROUP BY ALL"""
 
 
 @query(SUBSCRIBED)
-def st_subscribe(spark, d):
+def st_subscribed_last(spark, d):
+    """Ticks of a stream for whoever is subscribed by a table of actions."""
     e = views.table(spark, d, "events")
     actions = e.select(F.concat(F.lit("c"), (F.col("user_id") % 7).cast("string")).alias("client"), F.lit("sim").alias("broker"), F.col("event_type").alias("symbol"), F.when(F.col("event_id") % 3 == 0, "unsubscribe").otherwise("subscribe").alias("action"), F.col("event_id").alias("seq"))
     path, out = scratch(spark, "actions"), scratch(spark, "routed")

@@ -11,14 +11,18 @@ from collections.abc import Callable, Iterator
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .framed_log import framed, opened
 
 
+#: Bytes of a log that one batch of a stream takes, about.
+TAIL_BYTES = 256 << 20
+
+
 class FramedLogSource(DataSource):
-    """format("framed_log"): reads the records of log files below a path, a partition for each file, and appends a file for each task.
+    """format("framed_log"): reads the records of log files below a path, a partition for each file, follows them as a stream, and appends a file for each task.
 
     read_log() also splits large files. A write commits as a whole: what a retried or failed task wrote isn't seen.
     """
@@ -33,6 +37,9 @@ class FramedLogSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _LogReader(self.options["path"], int(self.options.get("start", "0")))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return _LogTail(self.options["path"], int(self.options.get("maxBytesPerTrigger", TAIL_BYTES)))
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _LogWriter(self.options["path"])
 
@@ -55,6 +62,67 @@ class _LogReader(DataSourceReader):
                 yield partition.value, at, to, payload
 
 
+class _LogTail(DataSourceStreamReader):
+    """Offsets are {path: where its next record begins}. Only whole records count, so a half-written one waits for its rest.
+
+    A log `x.log` that was renamed to `x.log.<epoch>` keeps its offset, and a new `x.log` begins at 0.
+    """
+
+    def __init__(self, path: str, most: int):
+        self.path, self.most, self.at = path, most, {}
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        system, at = fs.FileSystem.from_uri(self.path)
+        found = system.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
+        size = {f.path: f.size for f in found if f.is_file and not f.base_name.startswith(("_", "."))}
+        begin, out = _begins_at(self.at, sorted(size)), {}
+        for name, end in size.items():
+            out[name] = begin[name]
+            if end - begin[name] >= 4:
+                with system.open_input_file(name) as raw:
+                    f = io.BufferedReader(raw, 1 << 16)
+                    f.seek(begin[name])
+                    while out[name] + 4 <= end and out[name] - begin[name] < self.most:
+                        (n,) = struct.unpack("<I", f.read(4))
+                        if out[name] + 4 + n > end:
+                            break
+                        f.seek(n, io.SEEK_CUR)
+                        out[name] += 4 + n
+        self.at = out
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = self.at or end
+        begin = _begins_at(start, sorted(end))
+        return [InputPartition((name, begin[name], to)) for name, to in end.items() if to > begin[name]] or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition.value is None:
+            return
+        name, first, last = partition.value
+        system, _ = fs.FileSystem.from_uri(self.path)
+        with system.open_input_file(name) as raw:
+            for at, to, payload in framed(io.BufferedReader(raw, 1 << 20), last, first):
+                yield name, at, to, payload
+
+
+def _begins_at(known: dict, names: list[str]) -> dict:
+    """Where to go on in each of `names`, of offsets `known` before some logs were rotated."""
+    out: dict[str, int] = {}
+    fresh: set[str] = set()
+    for name in names:
+        base, _, epoch = name.rpartition(".")
+        if name not in known and epoch.isdigit() and base in known and base not in fresh:
+            out[name], out[base] = known[base], 0  # the first new part of a log is what it was
+            fresh.add(base)
+        elif name not in out:
+            out[name] = known.get(name, 0)
+    return out
+
+
 class JsonLinesSink(DataSource):
     """format("json_lines_sink"): appends a file of JSON lines for each task below a path."""
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import strict_cast
 from ..operators.candles import order_of
@@ -73,33 +72,8 @@ def last_prices(ticks: DataFrame) -> DataFrame:
     return g.select("broker", "symbol", "x.price", "x.quantity", "x.timestamp")
 
 
-class VersionGate(StatefulProcessor):
-    """Passes a board's message when its version differs from the last one's, 0 at first."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "version long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.last.get()[0] if self.last.exists() else 0
-        for b in rows:
-            b = b.sort_values("seq", kind="stable").reset_index(drop=True)
-            before = b["version"].shift(1, fill_value=last)
-            last = int(b["version"].iloc[-1]) if len(b) else last
-            yield b[b["version"] != before][["board", "seq", "version", "payload"]]
-        self.last.update((last,))
-
-    def close(self) -> None:
-        pass
-
-
-def gate_stream(messages: DataFrame) -> DataFrame:
-    """Messages (board, seq, version, payload) of a stream that bring a new version, in order of seq within each micro-batch."""
-    schema = "board string, seq long, version long, payload string"
-    return messages.groupBy("board").transformWithStateInPandas(VersionGate(), schema, "Append", "None")
-
-
 def version_changes(messages: DataFrame) -> DataFrame:
-    """gate_stream() of a batch."""
+    """What ordered.gate_stream() passes, of a batch without idle boards."""
     from pyspark.sql import Window
 
     before = F.coalesce(F.lag("version").over(Window.partitionBy("board").orderBy("seq")), F.lit(0))
