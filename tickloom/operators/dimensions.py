@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import settled
+from .text import containing
 
 
 def real_brokers(brokers: DataFrame) -> DataFrame:
@@ -78,12 +79,18 @@ def store_meta(stores: DataFrame, meta: DataFrame) -> DataFrame:
     """stores (store) with `label` from meta (rank, key, short, label): by equal key, else the first entry by rank whose
     short name is in the store's or whose key contains it, case aside, else the store's name up to `-`, 25 characters of it.
 
-    Stores without an equal key meet all entries, of which there are a few hundred at most.
+    Names meet by their rarest pieces of three letters, see text.containing(). An empty short name is in every store's, and
+    every key contains an empty store's.
     """
     exact = stores.join(meta.select(F.col("key").alias("store"), F.col("label").alias("exact")), "store", "left")
-    left = exact.where("exact is null").select("store").distinct()
-    near = F.contains(F.lower("store"), F.lower("short")) | F.contains(F.lower("key"), F.lower("store"))
-    found = left.join(meta, near).groupBy("store").agg(F.min_by("label", "rank").alias("near"))
+    left = exact.where("exact is null").select("store", F.lower("store").alias("name")).distinct()
+    entries = meta.select("rank", "label", F.lower("key").alias("key"), F.lower("short").alias("short"))
+    inside = containing(left.select("name"), entries.select(F.col("short").alias("query"))).join(entries.withColumnRenamed("short", "query"), "query").select("name", "rank", "label")
+    around = containing(entries.select(F.col("key").alias("name")), left.select(F.col("name").alias("query"))).withColumnsRenamed({"name": "key", "query": "name"}).join(entries, "key").select("name", "rank", "label")
+    first = lambda rows: F.broadcast(rows.agg(F.min_by("label", "rank").alias("label"), F.min("rank").alias("rank")).where("rank is not null"))  # noqa: E731  one row
+    every = left.join(first(entries.where("short = ''"))).union(left.where("name = ''").join(first(entries.where("key is not null"))))
+    found = left.join(inside.union(around), "name").select("store", "name", "rank", "label").union(every.select("store", "name", "rank", "label"))
+    found = found.groupBy("store").agg(F.min_by("label", "rank").alias("near"))
     default = F.substring(F.trim(F.split_part("store", F.lit("-"), F.lit(1))), 1, 25)
     return exact.join(found, "store", "left").select("store", F.coalesce("exact", "near", default).alias("label"))
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..storage import settled
 from .series import whole_groups
 
 Keys = Sequence[str]
+#: What a bar has besides its keys.
+BAR = ("t", "o", "h", "l", "c", "v", "last_qty")
 
 
 def _levels(candles: DataFrame, levels: int, keys: Keys) -> DataFrame:
@@ -144,3 +151,50 @@ def profile_tables(candles: DataFrame, levels: int = 10, hours: int = 24, overla
     heat = settled(heatmap(candles, levels, hours, overlap, keys))
     ranges = level_ranges(smoothed(level_totals(heat, keys), levels // 10, keys), keys)
     return heat, ranges, timelines(heat, ranges, keys)
+
+
+class VolumeProfile:
+    """volume_profile() as a table function: SELECT * FROM volume_profile(TABLE(candles) PARTITION BY (symbol) ORDER BY (t), 10).
+
+    Its argument has l, h, v and any key columns, which come back; the levels are a constant. A partition's bars are held as
+    three arrays of numbers; the DataFrame function splits a large series over tasks.
+    """
+
+    @staticmethod
+    def analyze(candles: AnalyzeArgument, levels: AnalyzeArgument) -> AnalyzeResult:
+        if not candles.isTable or {"l", "h", "v"} - set(candles.dataType.fieldNames()):
+            raise ValueError("the first argument is a table with l, h and v")
+        if levels.value is None or levels.value < 1:
+            raise ValueError("levels is a constant of 1 or more")
+        keys = [f for f in candles.dataType.fields if f.name not in BAR]
+        return AnalyzeResult(StructType(keys).add("level", "long").add("price", "double").add("volume", "double"))
+
+    def __init__(self):
+        self.key: tuple | None = None
+        self.low, self.high, self.volume = (array("d") for _ in range(3))
+        self.levels = 0
+
+    def eval(self, candles: Row, levels: int) -> None:
+        if self.key is None:
+            self.key, self.levels = tuple(v for c, v in candles.asDict().items() if c not in BAR), levels
+        for to, c in ((self.low, "l"), (self.high, "h"), (self.volume, "v")):
+            to.append(float("nan") if candles[c] is None else candles[c])
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.key is None:
+            return
+        low, high, volume = (np.frombuffer(x) for x in (self.low, self.high, self.volume))
+        bottom, top = np.nanmin(low), np.nanmax(high)
+        if not top > bottom:
+            return
+        width = (top - bottom) / self.levels
+        first, last = (np.minimum((x - bottom) // width, self.levels - 1).astype(int) for x in (low, high))
+        each = volume / (last - first + 1)
+        steps = np.bincount(first, each, self.levels + 1) - np.bincount(last + 1, each, self.levels + 1)
+        for k, v in enumerate(np.cumsum(steps)[: self.levels]):
+            yield *self.key, k, float(bottom + k * width), float(v)
+
+
+def register_profile(spark: SparkSession, name: str = "volume_profile") -> None:
+    """Makes VolumeProfile a table function of SQL."""
+    spark.udtf.register(name, udtf(VolumeProfile))

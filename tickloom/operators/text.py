@@ -9,30 +9,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settled
+
+#: Parts in which the first rows of a group are looked for.
+PARTS = 32
+
+
+def containing(names: DataFrame, queries: DataFrame) -> DataFrame:
+    """(name, query) of all `names` (name) that contain one of `queries` (query); both distinct, empty queries find nothing.
+
+    A query of three letters or more meets the names that have its rarest piece of three letters, by a join that carries
+    numbers of names, not names: a piece that nearly all names have is some query's key only if all its pieces are like
+    that. The few candidates get their names back and are tested. Shorter queries are looked for among the names' own
+    pieces, which are made only if there are such queries.
+    """
+    n = names.where("name is not null").distinct().withColumn("__key", F.xxhash64("name"))
+    q = settled(queries.where("query <> ''").distinct())
+    pieces = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (k - 1), F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(k))))
+    asked = q.where(F.length("query") >= 3).select("query", F.explode(pieces("query", 3)).alias("gram"))
+    grams = n.select("__key", F.explode(pieces("name", 3)).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    grams = settled(grams)
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    # a piece that no name has leaves its query without a name
+    rare = asked.join(often, "gram", "left").groupBy("query").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = rare.join(grams, "gram").select("query", "__key").join(n, "__key").where(F.contains("name", "query")).select("name", "query")
+    short = q.where(F.length("query") < 3)
+    if not short.isEmpty():
+        own = n.select("name", F.explode(F.array_union(pieces("name", 1), pieces("name", 2))).alias("query"))
+        found = found.unionByName(own.join(short, "query", "left_semi").select("name", "query"))
+    return found
+
+
+def first_of_each(rows: DataFrame, group: str, by: str, limit: int) -> DataFrame:
+    """The first `limit` rows of each `group` by `by`: first of parts of a group, so that no task sorts a large one."""
+    salt = F.pmod(F.xxhash64(by), F.lit(PARTS))
+    n = F.row_number().over(Window.partitionBy(group, salt).orderBy(by))
+    rows = rows.withColumn("__n", n).where(F.col("__n") <= limit)
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(by))).where(F.col("__n") <= limit).drop("__n")
+
 
 def substring_search(names: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, rank, id: for each query (query_id, query) the first `limit` names (id, name) by id that contain it, case aside.
 
-    Different names and different queries are matched, so repeated ones cost nothing. A query of three letters or more
-    meets the names that have its first three, by a join on three-letter pieces that carries numbers of names, not names;
-    the few candidates get their names back and are tested. There are few different shorter queries: each is tested on the
-    names. Empty queries find nothing. At most 100 are given.
+    Different names and different queries are matched, so repeated ones cost nothing; see containing(). Empty queries find
+    nothing. At most 100 are given.
     """
     limit = min(limit, 100)
     ids = names.select("id", F.lower("name").alias("name")).distinct()
-    n = ids.select("name").distinct().withColumn("__key", F.xxhash64("name"))
-    asked = queries.select("query_id", F.lower("query").alias("query")).where("query <> ''")
-    q = asked.select("query").distinct()
-    starts = F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1)))
-    grams = n.select("__key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("name"), i, F.lit(3))))).alias("gram"))
-    long = q.where(F.length("query") >= 3).withColumn("gram", F.substring("query", 1, 3)).join(grams, "gram").select("query", "__key")
-    found = long.join(n, "__key").where(F.contains("name", "query")).select("query", "name")
-    # one and two letters: the queries among a name's own pieces
-    short = n.select("name", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.array(*(F.substring(F.col("name"), i, F.lit(k)) for k in (1, 2))))))).alias("query"))
-    found = found.unionByName(short.join(q.where(F.length("query") < 3), "query", "left_semi").select("query", "name")).distinct()
-    first = ids.join(found, "name").select("query", "id").distinct()
-    of_query = F.row_number().over(Window.partitionBy("query").orderBy("id"))
-    first = first.withColumn("n", of_query).where(F.col("n") <= limit)
+    asked = queries.select("query_id", F.lower("query").alias("query"))
+    found = containing(ids.select("name"), asked.select("query"))
+    first = first_of_each(ids.join(found, "name").select("query", "id").distinct(), "query", "id", limit)
     hits = asked.join(first, "query").select("query_id", "id").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
     return hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit).select("query_id", "rank", "id")

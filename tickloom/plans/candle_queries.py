@@ -114,6 +114,15 @@ def win_timeline_islands(spark, d):
     return profile.profile_tables(users(spark, d), 10, 24, 3)[2]
 
 
+@query(f"""{USERS}, {PROFILE} SELECT grid.symbol, grid.level, round(grid.low + grid.level * grid.bin, 6) AS price, round(coalesce(sum(e.v), 0), 4) AS volume
+    FROM grid LEFT JOIN e ON grid.symbol = e.symbol AND grid.level = e.level GROUP BY ALL""")
+def udtf_volume_profile_sql(spark, d):
+    """The profile as a table function, called from SQL."""
+    profile.register_profile(spark)
+    users(spark, d).createOrReplaceTempView("profiled_candles")
+    return spark.sql("SELECT symbol, level, round(price, 6) AS price, abs(round(volume, 4)) AS volume FROM volume_profile(TABLE(profiled_candles) PARTITION BY (symbol) ORDER BY (t), 10)")
+
+
 @query(f"""{SPANS} SELECT 'heat' AS kind, symbol, level AS a, "window" AS b, CAST(NULL AS BIGINT) AS c, volume AS v FROM heat
     UNION ALL SELECT 'range', symbol, range, "begin", "end", CAST(center AS DOUBLE) FROM ranges UNION ALL SELECT 'span', symbol, range, start, "end", NULL FROM spans""")
 def udtf_volume_profile(spark, d):

@@ -158,6 +158,8 @@ def fn_delta_key(spark, d):
     return events(spark, d).select("event_id", symbol.alias("symbol"), index.alias("index"), fn.delta_value(F.concat(F.lit("+"), F.col("value").cast("string"), F.lit(" %"))).alias("change"))
 
 
-@query("SELECT doc_id, nfc_normalize(substr(text, 1, length(text))) AS plain FROM documents")
+@query("SELECT doc_id, nfc_normalize(text) || CAST(doc_id % 10 AS VARCHAR) || 'fi 12 kg' AS plain FROM documents")
 def fn_nfkc(spark, d):
-    return views.table(spark, d, "documents").select("doc_id", fn.nfkc(F.col("text")).alias("plain"))
+    """Texts with a full-width digit, a ligature, circled digits and a unit's sign behind them."""
+    digit = F.translate((F.col("doc_id") % 10).cast("string"), "0123456789", "".join(chr(0xFF10 + k) for k in range(10)))
+    return views.table(spark, d, "documents").select("doc_id", fn.nfkc(F.concat("text", digit, F.lit("\ufb01 \u2460\u2461 \u338f"))).alias("plain"))

@@ -51,10 +51,10 @@ def src_json_path(spark, d):
 
 @query(f"""{PRICES} SELECT CAST(store_id AS VARCHAR) AS store, 'N' || product_id AS name, CAST(floor(buy) + 1 AS BIGINT) AS buy, CAST(floor(sell) + 1 AS BIGINT) AS sell FROM bridge JOIN current USING (product_id)""")
 def src_html_price_table(spark, d):
-    """Shops of four kinds: plain tables; names that span rows; lists in paragraphs of one row; rows named by two cells in a table with a style."""
+    """Shops of six kinds: plain tables; names that span rows; lists in paragraphs of one row; rows named by two cells in a table with a style; the one of two plain tables that has a text, or a header."""
     rows = views.bridge(spark, d).join(views.price_current(spark, d), "product_id")
     money = lambda c: F.format_number(F.floor(c) + 1, 0)
-    kind, name = F.col("store_id") % 4, F.concat(F.lit("N"), F.col("product_id").cast("string"))
+    kind, name = F.col("store_id") % 6, F.concat(F.lit("N"), F.col("product_id").cast("string"))
     own = F.struct("product_id", name.alias("name"), money("buy").alias("buy"), money("sell").alias("sell"), (F.row_number().over(Window.partitionBy("store_id").orderBy("product_id")) % 3).alias("n"))
     shops = rows.select("store_id", kind.alias("kind"), own.alias("r")).groupBy("store_id", "kind").agg(F.array_sort(F.collect_list("r")).alias("r"))
     each = lambda form, *of: F.array_join(F.transform("r", lambda x: F.format_string(form, *(x[c] for c in of))), "")
@@ -62,11 +62,14 @@ def src_html_price_table(spark, d):
     body = F.when(F.col("kind") == 0, F.concat(F.lit('<table class="big price"><tr><th>Name</th><th>Buy</th><th>Sell</th></tr>'), each("<tr><td>%s</td><td>%s</td><td><b>%s</b></td></tr>", "name", "buy", "sell"), F.lit("</table>")))
     body = body.when(F.col("kind") == 1, F.concat(F.lit("<table>"), spanned, F.lit("</table>")))
     body = body.when(F.col("kind") == 2, F.concat(F.lit("<table><tr><td>"), each("<p>%s</p>", "name"), F.lit("</td><td>"), each("<p>%s</p>", "buy"), F.lit("</td><td>"), each("<p>%s</p>", "sell"), F.lit("</td></tr></table>")))
+    other = F.lit("<table><tr><th>City</th><th>Rain</th><th>Sun</th></tr><tr><td>Huế</td><td>1,000</td><td>2,000</td></tr></table>")
+    plain = F.concat(F.lit("<tr><th>Loại vàng</th><th>Mua</th><th>Bán</th></tr>"), each("<tr><td>%s</td><td>%s</td><td>%s</td></tr>", "name", "buy", "sell"), F.lit("</table>"))
+    body = body.when(F.col("kind") >= 4, F.concat(other, F.lit("<table><tr><td>"), other, F.lit("</td></tr></table><table>"), plain, other))
     body = body.otherwise(F.concat(F.lit('<table style="width:50%"><tr><td>x</td></tr></table><table style="color:red;width:99%">'), each("<tr><td>N</td><td>%s</td><td>%s</td><td>%s</td></tr>", "product_id", "buy", "sell"), F.lit("</table>")))
     landed = shops.select(F.col("store_id").cast("string").alias("store"), F.lit(0).alias("page_id"), F.concat(F.lit("<html><body><h1>Prices</h1>"), body, F.lit("</body></html>")).alias("html"))
     whole = F.struct(*(F.lit(x).cast(t).alias(c) for c, t, x in (("table", "string", "table"), ("row", "string", "tr"), ("cell", "string", "td"), ("attribute", "string", ""), ("digits", "string", "all"), ("scale", "string", "unit"), ("valid", "string", "both"))))
     places = F.when(kind == 3, F.struct(F.lit("style*=99%").alias("class"), F.lit(1).alias("name_at"), F.lit(2).alias("also_at"), F.lit("").alias("lines"))).otherwise(
-        F.struct(F.when(kind == 0, "price").otherwise("").alias("class"), F.lit(-3).alias("name_at"), F.lit(None).cast("int").alias("also_at"), F.when(kind == 2, "zip").otherwise("").alias("lines"))
+        F.struct(F.when(kind == 0, "price").when(kind == 4, "text~=LOẠI vàng").when(kind == 5, "header~=Mua,Bán").otherwise("").alias("class"), F.lit(-3).alias("name_at"), F.lit(None).cast("int").alias("also_at"), F.when(kind == 2, "zip").otherwise("").alias("lines"))
     )
     rules = rows.select("store_id").distinct().select(F.col("store_id").cast("string").alias("store"), whole.alias("w"), places.alias("p")).select("store", "w.*", "p.*", F.lit(-2).alias("buy_at"), F.lit(-1).alias("sell_at"))
     found = pages.html_prices(landed, rules)

@@ -14,7 +14,8 @@ from ..functions.scalars import clean_name, price_digits, price_scale, valid_pri
 class _Rows(HTMLParser):
     """Cells of a page's rows: elements `cell` inside elements `row`, inside elements `table` of a class if they are named; an attribute's value or the text, a line for each paragraph.
 
-    In place of a class, id^=x stands for an attribute that begins with x and style*=x for one that contains it.
+    In place of a class, id^=x stands for an attribute that begins with x and style*=x for one that contains it; text~=x and
+    header~=a,b choose a table by what it holds, see _HeldRows.
     """
 
     def __init__(self, table: str, klass: str, row: str, cell: str, attribute: str):
@@ -59,9 +60,61 @@ class _Rows(HTMLParser):
             self.into[0] += data
 
 
+class _HeldRows(HTMLParser):
+    """Rows of the innermost table, the first of several, that holds what is asked: text~=x a text, header~=a,b columns in its first row, case aside."""
+
+    def __init__(self, table: str, holds: str, row: str, cell: str, attribute: str):
+        super().__init__(convert_charrefs=True)
+        self.kind, _, what = holds.partition("~=")
+        self.what = [w.strip().casefold() for w in (what.split(",") if self.kind == "header" else [what])]
+        self.want, self.parts = table or "table", (row, cell, attribute)
+        self.open: list[tuple[_Rows, list[str], list[list[str]]]] = []  # of each open table: its rows, its text, its first row
+        self.rows: list[list[str]] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == self.want:
+            self.open.append((_Rows("", "", *self.parts), [], []))
+            return
+        if self.open:
+            rows, _, first = self.open[-1]
+            rows.handle_starttag(tag, attrs)
+            if tag in ("th", "td") and len(rows.rows) <= 1:
+                first.append([])
+
+    def handle_endtag(self, tag):
+        if tag == self.want:
+            self._end()
+        elif self.open:
+            self.open[-1][0].handle_endtag(tag)
+
+    def handle_data(self, data):
+        for _, text, _ in self.open:
+            text.append(data)
+        if self.open:
+            rows, _, first = self.open[-1]
+            rows.handle_data(data)
+            if first and len(rows.rows) <= 1:
+                first[-1].append(data)
+
+    def _end(self):
+        if not self.open:
+            return
+        rows, text, first = self.open.pop()
+        columns = {" ".join("".join(c).split()).casefold() for c in first}
+        whole = " ".join("".join(text).split()).casefold()
+        if self.rows is None and (all(w in columns for w in self.what) if self.kind == "header" else self.what[0] in whole):
+            self.rows = rows.rows
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._end()
+        self.rows = self.rows or []
+
+
 def rows_of(page: str | None, table: str, klass: str, row: str, cell: str, attribute: str, lines: str = "") -> list[list[str]]:
     """Rows of cells. lines: `zip` makes a row of each line of a row's cells, where a cell of one line goes to all; `join` takes all rows of one cell as lists, one below the other, and pairs them."""
-    found = _Rows(table, klass, row, cell, attribute)
+    found = (_HeldRows if "~=" in klass else _Rows)(table, klass, row, cell, attribute)
     found.feed(page or "")
     found.close()
     if not lines:
