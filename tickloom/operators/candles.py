@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.history import between
+from .series import chunk_window, haloed
 
 #: Seconds of a coverage block.
 WEEK = 7 * 86400
@@ -34,8 +35,7 @@ def tick_bars(ticks: DataFrame, period: int, keys: Keys = ("symbol",), order: Ke
 
 def series_stats(candles: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
     """Last close, its change and change in percent against the bar before (0 without one), high, low and volume of each series."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    rows = candles.withColumn("before", F.lag("c").over(w))
+    rows = haloed(candles, 1, 0, keys).withColumn("before", F.lag("c").over(chunk_window())).where("__own")
     g = rows.groupBy(*keys).agg(F.max_by(F.struct("c", "before"), "t").alias("x"), F.max("h").alias("high"), F.min("l").alias("low"), F.round(F.sum("v"), 6).alias("volume"))
     change = F.coalesce(F.col("x.c") - F.col("x.before"), F.lit(0.0))
     return g.select(*keys, F.col("x.c").alias("last"), F.round(change, 6).alias("change"), F.round(F.when(F.coalesce("x.before", F.lit(0.0)) == 0, 0.0).otherwise(change / F.col("x.before") * 100), 6).alias("change_pct"), "high", "low", "volume")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.history import between
+from .series import SPAN, chunk_window, haloed
 
 LOCAL_SHIFT = 7 * 3600
 #: What ranks a product's history rows; rows that tie are equal.
@@ -100,8 +101,8 @@ def top_history(history: DataFrame, n: int) -> DataFrame:
 
 def changes(history: DataFrame) -> DataFrame:
     """History rows in which a product's price differs from the row before: what would have changed the current table."""
-    w = Window.partitionBy("product_id").orderBy(*ORDER)
-    rows = history.withColumns({"b": F.lag("buy").over(w), "s": F.lag("sell").over(w)})
+    w = chunk_window(ORDER)
+    rows = haloed(history, 1, 0, ("product_id",), order=ORDER).withColumns({"b": F.lag("buy").over(w), "s": F.lag("sell").over(w)}).where("__own")
     return rows.where("b is null or b <> buy or s <> sell").select("product_id", "ts", "id", "buy", "sell")
 
 
@@ -175,14 +176,14 @@ def load_summary(loads: DataFrame) -> DataFrame:
 
 
 def gold_parity(ticks: DataFrame, fx: DataFrame) -> DataFrame:
-    """ticks (id, symbol, day, ts, usd) in million a tael by the last rate (day, sell) of the day or before: id, parity, change, change_pct."""
+    """ticks (id, symbol, day, ts in microseconds, usd) in million a tael by the last rate (day, sell) of the day or before: id, parity, change, change_pct."""
     told = fx.select(F.col("day"), F.lit(0).alias("asked"), "sell", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("ts"), F.lit(None).cast("double").alias("usd"))
     asked = ticks.select("day", F.lit(1).alias("asked"), F.lit(None).cast("double").alias("sell"), "id", "ts", "usd")
     # rates are one row a day: the running last needs days alone, so it is taken by day and joined, not over all ticks
     days = told.select("day", "sell").unionByName(asked.select("day", "sell").distinct()).groupBy("day").agg(F.max("sell").alias("sell"))
     filled = days.select("day", F.last("sell", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)).alias("sell"))
     rows = ticks.join(filled, "day").withColumn("parity", F.col("usd") * 1.205 * F.col("sell") / 1e6)
-    before = F.lag("parity").over(Window.partitionBy("symbol").orderBy("ts", "id"))
-    rows = rows.withColumn("before", before)
+    by = ("ts", "id")
+    rows = haloed(rows.select("symbol", *by, "parity"), 1, 0, ("symbol",), SPAN * 1_000_000, order=by).withColumn("before", F.lag("parity").over(chunk_window(by))).where("__own")
     pct = F.when(F.coalesce("before", F.lit(0.0)) != 0, (F.col("parity") - F.col("before")) / F.col("before") * 100).otherwise(0.0)
     return rows.select("id", F.round("parity", 6).alias("parity"), F.round(F.coalesce(F.col("parity") - F.col("before"), F.lit(0.0)), 6).alias("change"), F.round(pct, 6).alias("change_pct"))

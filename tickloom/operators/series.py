@@ -18,16 +18,17 @@ ROWS = 50_000
 SHORT = 500
 
 
-def haloed(candles: DataFrame, before: int = 0, after: int = 0, keys: Keys = ("symbol",), span: int = SPAN, rows: int = ROWS) -> DataFrame:
+def haloed(candles: DataFrame, before: int = 0, after: int = 0, keys: Keys = ("symbol",), span: int = SPAN, rows: int = ROWS, order: Keys = ("t",)) -> DataFrame:
     """`candles` with i (number in the series from 0), n (bars of the series), and __chunk, __at (number from the chunk's begin), __own: each row once in its own chunk, where __own is true, and in those that need it as a neighbour.
 
     Chunks have `rows` rows of a series, or more if `before` and `after` are more; every row of its own chunk has `before`
     rows before it there and `after` behind it, or all that there are. Numbers come from counts of time chunks of `span`
-    seconds, of which the series' sums see one row each, so no task holds a series. Null keys are a key.
+    seconds (of the first column of `order`, in its unit), of which the series' sums see one row each, so no task holds a
+    series. Null keys are a key.
     """
     k = F.struct(*keys)
-    timed = candles.withColumn("__k", k).withColumn("__time", F.floor(F.col("t") / span))
-    timed = timed.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__time").orderBy("t")))
+    timed = candles.withColumn("__k", k).withColumn("__time", F.floor(F.col(order[0]) / span))
+    timed = timed.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__time").orderBy(*order)))
     counts = timed.groupBy("__k", "__time").agg(F.max("__n").alias("__size"))
     by = Window.partitionBy("__k")
     counts = counts.select("__k", "__time", F.coalesce(F.sum("__size").over(by.orderBy("__time").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__upto"), F.sum("__size").over(by).alias("n"))
@@ -43,9 +44,9 @@ def haloed(candles: DataFrame, before: int = 0, after: int = 0, keys: Keys = ("s
     return each.withColumn("__own", F.col("__chunk") == home).select(*candles.columns, "__k", "i", "n", "__chunk", "__own", (F.col("i") - F.col("__chunk") * size).alias("__at"))
 
 
-def chunk_window() -> WindowSpec:
+def chunk_window(order: Keys = ("t",)) -> WindowSpec:
     """The rows of a chunk of haloed(), in order."""
-    return Window.partitionBy("__k", "__chunk").orderBy("t")
+    return Window.partitionBy("__k", "__chunk").orderBy(*order)
 
 
 def own(rows: DataFrame, *columns: str) -> DataFrame:
