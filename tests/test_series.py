@@ -117,6 +117,12 @@ def test_ranges_of_sizes_as_a_table(spark, bars):
         patterns.pivot_ranks(bars, [(3, 2)])
 
 
+def test_bars_without_a_time_come_first(spark):
+    rows = spark.createDataFrame([("a", None, 5.0), ("a", 10, 7.0), ("a", 20, 9.0)], "symbol string, t long, c double")
+    assert [(r.t, r.sma) for r in indicators.sma(rows, 2, span=15, rows=2).orderBy("t").collect()] == [(10, 6.0), (20, 8.0)]
+    assert [(r.t, r.ema) for r in indicators.ema_first(rows, 3, span=15).orderBy("t").collect()] == [(None, 5.0), (10, 6.0), (20, 7.5)]
+
+
 def test_no_bars(bars):
     for f in (*FRAMES.values(), *SCANS.values()):
         assert f(bars.limit(0)).count() == 0

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 Keys = Sequence[str]
@@ -18,16 +18,21 @@ ROWS = 50_000
 SHORT = 500
 
 
+def _time(at: str, span: int) -> Column:
+    """The number of a time chunk; rows without a time are the first."""
+    return F.coalesce(F.floor(F.col(at) / span), F.lit(-(1 << 62)))
+
+
 def haloed(candles: DataFrame, before: int = 0, after: int = 0, keys: Keys = ("symbol",), span: int = SPAN, rows: int = ROWS, order: Keys = ("t",)) -> DataFrame:
     """`candles` with i (number in the series from 0), n (bars of the series), and __chunk, __at (number from the chunk's begin), __own: each row once in its own chunk, where __own is true, and in those that need it as a neighbour.
 
     Chunks have `rows` rows of a series, or more if `before` and `after` are more; every row of its own chunk has `before`
     rows before it there and `after` behind it, or all that there are. Numbers come from counts of time chunks of `span`
     seconds (of the first column of `order`, in its unit), of which the series' sums see one row each, so no task holds a
-    series. Null keys are a key.
+    series. Null keys are a key, rows without a time come first.
     """
     k = F.struct(*keys)
-    timed = candles.withColumn("__k", k).withColumn("__time", F.floor(F.col(order[0]) / span))
+    timed = candles.withColumn("__k", k).withColumn("__time", _time(order[0], span))
     timed = timed.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__time").orderBy(*order)))
     counts = timed.groupBy("__k", "__time").agg(F.max("__n").alias("__size"))
     by = Window.partitionBy("__k")
@@ -218,7 +223,7 @@ def followed(candles: DataFrame, what: Recurrence, keys: Keys = ("symbol",), spa
     other, which gives the state at each chunk's start; from there each chunk is followed by itself. Null keys are a key.
     """
     by = [*keys, "__chunk"]
-    rows = candles.select(*keys, "t", F.col("c").cast("double").alias("c")).withColumn("__chunk", F.floor(F.col("t") / span))
+    rows = candles.select(*keys, "t", F.col("c").cast("double").alias("c")).withColumn("__chunk", _time("t", span))
     zeros = np.zeros(what.averages)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
