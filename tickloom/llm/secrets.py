@@ -147,12 +147,12 @@ def labelled_findings(docs: DataFrame, documents: int = FIT_DOCUMENTS, salt: int
     at = F.pmod("seed", F.greatest(F.length("text"), F.lit(1))).cast("int")
     # only a few words of each text go to the choice of documents
     some = some.select("doc_id", "path", "seed", F.substring(F.col("text"), at + 1, F.lit(160)).alias("around")).orderBy("seed", "path").limit(documents)
-    some = some.withColumn("around", F.regexp_replace("around", CANDIDATE, " "))
+    some = settled(some.withColumn("around", F.regexp_replace("around", CANDIDATE, " ")))
     half = F.floor(F.length("around") / 2).cast("int")
     rows = _made(some)
     mark = F.when(F.pmod(F.hash("kind", "around"), F.lit(2)) == 0, " ").otherwise("\n")
     text = F.concat(F.left(F.col("around"), half), mark, F.col("made"), mark, F.expr("substring(around, cast(floor(length(around) / 2) as int) + 1)"))
-    planted = rows.select("doc_id", "path", text.alias("text"), F.col("secret").alias("__secret"))
+    planted = settled(rows.select("doc_id", "path", text.alias("text"), F.col("secret").alias("__secret")))  # so that the plan of what follows stays small
     found = candidates(planted, "path")
     held = F.contains("__secret", F.col("candidate")) | F.contains("candidate", F.col("__secret"))
     found = found.withColumn("label", F.when(F.coalesce(held, F.lit(False)), 1.0).otherwise(0.0)).drop("__secret")
@@ -162,7 +162,7 @@ def labelled_findings(docs: DataFrame, documents: int = FIT_DOCUMENTS, salt: int
 
 def train(labelled: DataFrame, trees: int = 40, depth: int = 10) -> RandomForestClassificationModel | None:
     """A forest of labelled findings; None where there are none."""
-    rows, names = features(labelled)
+    rows, names = features(settled(labelled))
     rows = settled(VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label"))
     if rows.isEmpty():
         return None
