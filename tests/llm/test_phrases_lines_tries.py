@@ -43,18 +43,16 @@ def corpus(seed, n):
     return [(r.choice(["en", "de", None]), pick() + r.choice([". ", "\n", "\t", ",", " ; "]) + "new York city hall" + r.choice(["", "!", " of the"])) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("hot", "chunk"), [(200_000, 1_000_000), (40, 300)])
-def test_collocations(spark, monkeypatch, hot, chunk):
-    """Also with stripes of frequent prefixes in parts, and many small counts to merge."""
+@pytest.mark.parametrize(("filter_", "chunk"), [(1 << 26, 1_000_000), (1 << 16, 300)])
+def test_collocations(spark, filter_, chunk):
+    """Also with a filter that lets all through, and many small counts to merge."""
     rows = [*corpus(1, 260), ("en", None), ("en", ""), ("und", "new york " * 40), ("fr", "..,,;;"), (None, "tie one tie one tie two tie two " * 3), ("en", "same row here " * 3), ("en", "same row here " * 3)]
-    monkeypatch.setattr(phrases, "HOT", hot)
-    monkeypatch.setattr(phrases, "CHUNK", chunk)
     docs = spark.createDataFrame([(k, t, x, "n") for k, (x, t) in enumerate(rows)], "n long, text string, lang string, gram string")
     for least, top in ((5, 2000), (3, 7)):
-        got = phrases.collocations(docs, least, top)
+        got = phrases.collocations(docs, least, top, chunk=chunk, size=filter_)
         assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
         assert sorted(map(tuple, got.collect())) == brute_collocations(rows, least, top, 80)
-    if hot > 1000:
+    if chunk > 1000:
         assert phrases.collocations(docs.limit(0)).count() == 0
 
 
@@ -67,13 +65,11 @@ def test_counts_beyond_64_bits(spark):
 
 def test_filters():
     r = np.random.default_rng(2)
-    words = r.integers(0, 1 << 63, (500, 1), np.uint64)
+    prints = phrases._prints("de", r.integers(0, 1 << 63, (500, 3), np.uint64), 12)
     bits = np.zeros(phrases.FILTER // 8, np.uint8)
-    at = phrases._places("de", words[:250]).ravel()
+    at = phrases._places(prints[:250], phrases.FILTER).ravel()
     np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-    whole = phrases._held(bits, "de", words)
-    one = phrases._holds(memoryview(bits), "de")
-    assert whole[:250].all() and not whole[250:].any() and [one(int(w)) for w in words[:, 0]] == whole.tolist()
+    assert phrases._held(bits, prints).tolist() == [True] * 250 + [False] * 250 and len(set(prints.tolist())) == 500 and (prints >> np.uint64(44)).max() == 0
 
 
 def test_line_index():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +17,17 @@ from .common import settled
 ENDS, BLANKS, CAPITALS = b".,;:!?\n\x0b\x0c\r", b" \t", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PLAIN = bytes.maketrans(ENDS + BLANKS + CAPITALS, b"." * len(ENDS) + b" " * len(BLANKS) + CAPITALS.lower())
 #: Words that a task counts at once, about; distinct words whose numbers it keeps.
-CHUNK, KEPT = 1_000_000, 1_000_000
-#: Bits of a filter and of a segment of it: a filter has this size whatever the corpus.
+CHUNK, KEPT = 500_000, 100_000
+#: Bits of a filter, whatever the corpus, and of a segment of it.
 FILTER, SEGMENT = 1 << 26, 1 << 16
-#: Stripes of a prefix that occurs more often are split by their words; at a millionth of all words at least, so that few prefixes are.
-HOT = 200_000
+#: Parts of a prefix' stripe, by its words, so that no frequent prefix is one task's.
+PARTS = 32
+#: Buckets of fingerprints and stripes, as powers of two: one for each 1,024 texts, but not fewer or more. A chunk has a row for each, so they are few where the chunks are.
+BUCKETS = (8, 16)
 #: Salts of the first ranking.
 SALTS = 32
-_EIGHT = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -33,45 +36,31 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _places(lang: str, words: np.ndarray) -> np.ndarray:
-    """Two places in a filter for each row of word hashes."""
+def _prints(lang: str, words: np.ndarray, buckets: int) -> np.ndarray:
+    """A fingerprint for each row of word hashes: `buckets` bits of its bucket, then 32 bits."""
     x = np.full(len(words), xxhash.xxh64_intdigest(lang), np.uint64)
     for k in range(words.shape[1]):
-        x = _mixed((x ^ words[:, k]) * _EIGHT)
-    return np.stack([x % np.uint64(FILTER), (x >> np.uint64(32)) * np.uint64(3) % np.uint64(FILTER)], axis=1)
+        x = _mixed((x ^ words[:, k]) * _ODD)
+    return (x >> np.uint64(64 - buckets)) << np.uint64(32) | (x & _LOW)
 
 
-def _held(bits: np.ndarray, lang: str, words: np.ndarray) -> np.ndarray:
-    at = _places(lang, words)
-    return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-
-
-def _holds(bits: memoryview, lang: str) -> Callable[[int], bool]:
-    """_held() of one word at a time, in plain integers."""
-    start, full = xxhash.xxh64_intdigest(lang), (1 << 64) - 1
+def _places(prints: np.ndarray, size: int) -> np.ndarray:
+    """Two places of a filter of `size` bits for each fingerprint."""
+    x = _mixed(prints * _ODD)
+    return np.stack([x % np.uint64(size), (x >> np.uint64(32)) * np.uint64(3) % np.uint64(size)], axis=1)
 
-    def holds(h: int) -> bool:
-        x = (start ^ h) * 0x9E3779B97F4A7C15 & full
-        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & full
-        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & full
-        x ^= x >> 32
-        a, b = x % FILTER, (x >> 32) * 3 % FILTER
-        return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
 
-    return holds
+def _held(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    at = _places(prints, 8 * len(bits))
+    return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
 
-def filter_of(grams: DataFrame) -> np.ndarray:
-    """A Bloom filter of `grams` (lang, gram: 8 bytes a word), as bytes of a fixed number, put together from segments."""
+def filter_of(prints: DataFrame, size: int = FILTER) -> np.ndarray:
+    """A Bloom filter of `prints` (print), `size` bits whatever their number, put together from segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [np.empty(0, np.uint64)]
-            langs, grams_ = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lang in set(langs):
-                own = [g for x, g in zip(langs, grams_) if x == lang]
-                at.append(_places(lang, np.frombuffer(b"".join(own), np.uint64).reshape(len(own), -1)).ravel())
-            at = np.unique(np.concatenate(at)).astype(np.int64)
+            at = np.unique(_places(b.column(0).to_numpy().view(np.uint64), size)).astype(np.int64)
             yield pa.record_batch([pa.array((at // SEGMENT).astype(np.int32)), pa.array((at % SEGMENT).astype(np.int32))], names=["segment", "bit"])
 
     def packed(table: pa.Table) -> pa.Table:
@@ -79,32 +68,28 @@ def filter_of(grams: DataFrame) -> np.ndarray:
         own[table.column("bit").to_numpy()] = True
         return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
-    bits = np.zeros(FILTER // 8, np.uint8)
-    places = grams.select("lang", "gram").mapInArrow(run, "segment int, bit int").distinct()
+    bits = np.zeros(size // 8, np.uint8)
+    places = prints.select("print").mapInArrow(run, "segment int, bit int").distinct()
     for r in places.groupBy("segment").applyInArrow(packed, "segment int, bits binary").collect():
         bits[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
     return bits
 
 
 class _Numbers(dict):
-    """Numbers of words, from 1 on, with their hashes; 0 is the end of a piece, and any word that `known`, if given, doesn't have."""
+    """Numbers of words, from 1 on, with their hashes; 0 is the end of a piece."""
 
-    def __init__(self, seed: int, known: Callable[[int], bool] | None = None):
-        self.seed, self.known, self.hashes = seed, known, [0]
+    def __init__(self, seed: int):
+        self.seed, self.hashes = seed, [0]
         self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, self.seed)
-        n = 0
-        if self.known is None or self.known(h):
-            n = len(self.hashes)
-            self.hashes.append(h)
-        self[word] = n
+        n = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
         return n
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], numbers: Callable[[str], _Numbers]) -> Iterator[tuple[str, np.ndarray, _Numbers]]:
-    """(lang, numbers of words with a 0 after each piece, their table) of all texts, about CHUNK words at a time."""
+def _numbered(batches: Iterator[pa.RecordBatch], seed: int, chunk: int) -> Iterator[tuple[str, np.ndarray, _Numbers]]:
+    """(lang, numbers of words with a 0 after each piece, their table) of all texts, about `chunk` words at a time."""
     tables: dict[str, _Numbers] = {}
     held: dict[str, list[np.ndarray]] = {}
     n = 0
@@ -119,11 +104,11 @@ def _numbered(batches: Iterator[pa.RecordBatch], numbers: Callable[[str], _Numbe
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
             if lang not in tables:
-                tables[lang] = numbers(lang)
+                tables[lang] = _Numbers(seed)
             words = ((text.as_py() or b"").translate(_PLAIN).replace(b".", b" . ") + b" .").split()
             held.setdefault(lang, []).append(np.fromiter(map(tables[lang].__getitem__, words), np.int64, len(words)))
             n += len(words)
-            if n >= CHUNK:
+            if n >= chunk:
                 yield from out()
                 n = 0
     yield from out()
@@ -133,125 +118,209 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
-def words_of(docs: DataFrame, seed: int) -> DataFrame:
-    """(lang, word, gram, n): every word of each lang, its hash as 8 bytes, and how often it occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, at, table in _numbered(batches, lambda _: _Numbers(seed)):
-            n = np.bincount(at, minlength=len(table))
-            times = n.tolist()
-            words = [w for w, k in table.items() if k and times[k]]  # in order of their numbers, as they came in
-            seen = np.flatnonzero(n[1:]) + 1
-            hashes = np.array(table.hashes, np.uint64)[seen]
-            yield pa.record_batch([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), _binary(hashes[:, None]), pa.array(n[seen])], names=["lang", "word", "gram", "n"])
-
-    rows = _texts(docs).mapInArrow(run, "lang string, word binary, gram binary, n long")
-    return rows.groupBy("lang", "word", "gram").agg(F.sum("n").alias("n"))
-
-
 def _binary(words: np.ndarray) -> pa.Array:
     """Rows of 64-bit numbers as binary values."""
     width = 8 * words.shape[1]
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(words), [None, pa.py_buffer(np.ascontiguousarray(words).tobytes())]).cast(pa.binary())
 
 
-_STRIPE = "lang string, prefix binary, part int, next array<long>, n array<long>"
+#: What tasks send: stripes (part: the words of a prefix) of a bucket: columns of the prefix' words and of the words that
+#: follow in `blob`, how often in `counts`; fingerprints of a bucket (PRINTS) with counts up to 255; words (WORDS) with
+#: their text; all words of a lang (ALL).
+_SENT = {"lang": pa.string(), "prefix": pa.binary(), "part": pa.int32(), "n": pa.int64(), "blob": pa.binary(), "counts": pa.binary()}
+_SENT_DDL = "lang string, prefix binary, part int, n long, blob binary, counts binary"
+PRINTS, WORDS, ALL = -1, -2, -3
+#: What is known when they are added up: kind (part of what was sent, or 0), a phrase or word with its count, or a fingerprint.
+_KNOWN = {"kind": pa.int32(), "lang": pa.string(), "gram": pa.binary(), "n": pa.int64(), "word": pa.binary(), "print": pa.int64()}
+_KNOWN_DDL = "kind int, lang string, gram binary, n long, word binary, print long"
+
+
+def _rows(kinds: dict, n: int, /, **columns) -> pa.RecordBatch:
+    given = {k: v if isinstance(v, pa.Array) else pa.array(v, kinds[k]) for k, v in columns.items()}
+    return pa.record_batch([given.get(k, pa.nulls(n, kind)) for k, kind in kinds.items()], names=list(kinds))
+
+
+def _cut(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the buckets, where each begins, and the end) of sorted bucket numbers."""
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(bucket)]
+    return bucket[first], np.append(first, len(bucket))
+
+
+def _stripes(lang: str, code: np.ndarray, count: np.ndarray, base: int, prefixes: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Stripes of sorted codes (number of a prefix * base + number of a word), by bucket of prefix and part; prefixes has the hashes of a prefix' words."""
+    prefix, word = prefixes[code // base], hashes[code % base]
+    own = _mixed(word) % np.uint64(PARTS)
+    for k in range(prefix.shape[1]):
+        own = _mixed((own ^ prefix[:, k]) * _ODD)
+    own >>= np.uint64(64 - buckets)
+    order = np.argsort(own, kind="stable")  # within a bucket the stripes stay whole
+    columns = np.concatenate([prefix, word[:, None]], axis=1)[order]
+    count = count[order].astype(np.uint32)
+    numbers, ends = _cut(own[order].astype(np.uint32))
+    blob = [np.ascontiguousarray(columns[x:y].T).tobytes() for x, y in zip(ends[:-1], ends[1:])]
+    counts = [count[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
+    n = len(numbers)
+    return _rows(_SENT, n, lang=[lang] * n, prefix=[b.tobytes() for b in numbers], part=np.full(n, prefix.shape[1], np.int32), blob=blob, counts=counts)
+
+
+def _buckets(prints: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket of fingerprints: five bytes for each of them."""
+    order = np.argsort(prints)
+    prints, count = prints[order], np.minimum(count[order], 255).astype(np.uint8)
+    numbers, ends = _cut((prints >> np.uint64(32)).astype(np.uint32))
+    low = (prints & _LOW).astype(np.uint32)
+    blob = [low[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
+    counts = [count[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
+    n = len(numbers)
+    return _rows(_SENT, n, lang=[""] * n, prefix=[b.tobytes() for b in numbers], part=np.full(n, PRINTS, np.int32), blob=blob, counts=counts)
 
 
-def _stripes(lang: str, code: np.ndarray, count: np.ndarray, base: int, prefixes: np.ndarray, hashes: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
-    """Stripes of sorted codes (number of a prefix * base + number of a word): prefixes has the hashes of a prefix' words, parts the number of parts into which its stripe is cut."""
-    prefix, word = code // base, hashes[code % base]
-    part = (_mixed(word) % parts[prefix].astype(np.uint64)).astype(np.int32)
-    if (parts[prefix] > 1).any():
-        order = np.lexsort((part, prefix))
-        prefix, word, part, count = prefix[order], word[order], part[order], count[order]
-    first = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1]))))[: len(prefix)]
-    ends = pa.array(np.append(first, len(prefix)).astype(np.int32))
-    return pa.record_batch(
-        [pa.array([lang] * len(first), pa.string()), _binary(prefixes[prefix[first]]), pa.array(part[first]), pa.ListArray.from_arrays(ends, pa.array(word.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(count))],
-        names=["lang", "prefix", "part", "next", "n"],
-    )
+class _Counter:
+    """Counts of one chunk of one lang: pairs, then triples of frequent pairs, then fours of triples."""
 
+    def __init__(self, lang: str, at: np.ndarray, table: _Numbers, buckets: int):
+        self.lang, self.at, self.base, self.bits = lang, at, len(table.hashes), buckets
+        self.hashes = np.array(table.hashes, np.uint64)
 
-def _cuts(lang: str, hashes: np.ndarray, hot: dict) -> np.ndarray:
-    """Parts of the stripe of each row of hashes."""
-    if not hot:
-        return np.ones(len(hashes), np.int64)
-    return np.array([hot.get((lang, h.tobytes()), 1) for h in hashes], np.int64)
+    def longer(self, before: np.ndarray, prefixes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, codes, own, counts, hashes) of phrases of `size` words whose prefix and suffix have numbers, 0 or more, in `before`."""
+        at, n = self.at, len(self.at)
+        i = np.flatnonzero((before[: n - 1] >= 0) & (before[1:n] >= 0) & (np.arange(1, n) + size - 2 < n))
+        code, own, count = np.unique(before[i] * self.base + at[i + size - 1], return_inverse=True, return_counts=True)
+        return i, code, own, count, np.concatenate([prefixes[code // self.base], self.hashes[code % self.base][:, None]], axis=1)
 
+    def singles(self) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words or -1, their hashes)"""
+        return np.where(self.at > 0, self.at, -1), self.hashes[:, None]
 
-def stripes_of_words(docs: DataFrame, seed: int, known: np.ndarray, hot: dict) -> DataFrame:
-    """Stripes whose prefix is one word; words that the filter `known` doesn't have are in none. `hot` has the parts of the stripes of frequent prefixes."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # of FILTER bits
+    def numbers(self, i: np.ndarray, own: np.ndarray, some: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.at), -1, np.int64)
+        out[i] = np.where(some[own], own, -1)
+        return out
+
+    def stripes(self, code: np.ndarray, count: np.ndarray, prefixes: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+        return _stripes(self.lang, code[some], count[some], self.base, prefixes, self.hashes, self.bits)
+
+    def prints(self, words: np.ndarray) -> np.ndarray:
+        return _prints(self.lang, words, self.bits)
+
+
+def pair_prints(docs: DataFrame, seed: int, buckets: int, chunk: int) -> DataFrame:
+    """Fingerprints of all pairs of neighbouring words, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = memoryview(shared.value)
-        for lang, at, table in _numbered(batches, lambda lang: _Numbers(seed, _holds(known, lang))):
-            base, hashes = len(table.hashes), np.array(table.hashes, np.uint64)
+        for lang, at, table in _numbered(batches, seed, chunk):
+            c = _Counter(lang, at, table, buckets)
             both = (at[:-1] > 0) & (at[1:] > 0)
-            code, count = np.unique(at[:-1][both] * base + at[1:][both], return_counts=True)
-            yield _stripes(lang, code, count, base, hashes[:, None], hashes, _cuts(lang, hashes[:, None], hot))
+            code, count = np.unique(at[:-1][both] * c.base + at[1:][both], return_counts=True)
+            yield _buckets(c.prints(np.stack([c.hashes[code // c.base], c.hashes[code % c.base]], axis=1)), count)
 
-    return _texts(docs).mapInArrow(run, _STRIPE)
+    return _texts(docs).mapInArrow(run, _SENT_DDL)
 
 
-def stripes_of_pairs(docs: DataFrame, seed: int, known: np.ndarray, pairs: np.ndarray, hot: dict) -> DataFrame:
-    """Stripes whose prefix is two or three words, of phrases in which the filter `pairs` has every pair of neighbours."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, pairs))  # of FILTER bits each
+def pair_stripes(docs: DataFrame, seed: int, buckets: int, chunk: int, pairs: np.ndarray) -> DataFrame:
+    """Stripes of one word, of the pairs that the filter has; and fingerprints of the phrases of three and four words that are made of such pairs."""
+    shared = docs.sparkSession.sparkContext.broadcast(pairs)  # of a fixed number of bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, two = shared.value
-        for lang, at, table in _numbered(batches, lambda lang: _Numbers(seed, _holds(memoryview(words), lang))):
-            base, hashes = len(table.hashes), np.array(table.hashes, np.uint64)
-            both = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
-            code, own = np.unique(at[both] * base + at[both + 1], return_inverse=True)
-            pair = np.stack([hashes[code // base], hashes[code % base]], axis=1)
-            some = _held(two, lang, pair)
-            pair_at = np.full(len(at) + 2, -1)  # the number of the frequent pair that begins at each word
-            pair_at[both] = np.where(some[own], own, -1)
-            cut = _cuts(lang, pair, hot)
-            i = np.flatnonzero((pair_at[:-2] >= 0) & (pair_at[1:-1] >= 0))
-            code, own, count = np.unique(pair_at[i] * base + at[np.minimum(i + 2, len(at) - 1)], return_inverse=True, return_counts=True)
-            yield _stripes(lang, code, count, base, pair, hashes, cut)
-            three = np.full(len(at) + 2, -1)
-            three[i] = own
-            triple = np.concatenate([pair[code // base], hashes[code % base][:, None]], axis=1)
-            i = np.flatnonzero((three[:-2] >= 0) & (three[1:-1] >= 0))
-            first = code // base
-            code, count = np.unique(three[i] * base + at[np.minimum(i + 3, len(at) - 1)], return_counts=True)
-            yield _stripes(lang, code, count, base, triple, hashes, cut[first] if len(first) else np.ones(0, np.int64))
-
-    return _texts(docs).mapInArrow(run, _STRIPE)
-
-
-def merged(stripes: DataFrame, least: int) -> DataFrame:
-    """(lang, gram, prefix, n) of every phrase that occurs `least` times or more: stripes of one prefix and part, added word by word.
-
-    A stripe's counters are sorted and summed as arrays, so a task holds the stripes of one prefix and part, and a batch.
-    """
+        for lang, at, table in _numbered(batches, seed, chunk):
+            c = _Counter(lang, at, table, buckets)
+            one, words = c.singles()
+            i, code, own, count, two = c.longer(one, words, 2)
+            some = _held(shared.value, c.prints(two))
+            yield c.stripes(code, count, words, some)
+            i, code, own, count, three = c.longer(c.numbers(i, own, some), two, 3)
+            four = c.longer(c.numbers(i, own, np.ones(len(code), bool)), three, 4)
+            yield _buckets(np.concatenate([c.prints(three), c.prints(four[4])]), np.concatenate([count, four[3]]))
+
+    return _texts(docs).mapInArrow(run, _SENT_DDL)
+
+
+def longer_stripes(docs: DataFrame, seed: int, buckets: int, chunk: int, known: np.ndarray) -> DataFrame:
+    """Stripes of two and three words, of the phrases that the filter has with all their parts; words that it has with their texts, and the number of all words."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # of a fixed number of bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for lang, at, table in _numbered(batches, seed, chunk):
+            c = _Counter(lang, at, table, buckets)
+            one, words = c.singles()
+            i, code, own, count, two = c.longer(one, words, 2)
+            i, code, own, count, three = c.longer(c.numbers(i, own, _held(shared.value, c.prints(two))), two, 3)
+            some = _held(shared.value, c.prints(three))
+            yield c.stripes(code, count, two, some)
+            i, code, own, count, four = c.longer(c.numbers(i, own, some), three, 4)
+            yield c.stripes(code, count, three, _held(shared.value, c.prints(four)))
+
+            times = np.bincount(at, minlength=c.base)
+            yield _rows(_SENT, 1, lang=[lang], prefix=[b""], part=[ALL], n=[int(times[1:].sum())])
+            here = (times > 0) & _held(shared.value, c.prints(words))
+            here[0] = False
+            texts = [w for w, k in table.items() if k and here[k]]  # in order of their numbers, as they came in
+            own = np.flatnonzero(here)
+            yield _rows(_SENT, len(own), lang=[lang] * len(own), prefix=_binary(words[own]), part=np.full(len(own), WORDS, np.int32), n=times[own], blob=pa.array(texts, pa.binary()))
+
+    return _texts(docs).mapInArrow(run, _SENT_DDL)
+
+
+def added(sent: DataFrame, least: int) -> DataFrame:
+    """What tasks sent, added up (_KNOWN): phrases and fingerprints that occur `least` times or more, words, and the number of all words of a lang.
+
+    Stripes are added element by element, as sorted columns of a bucket; a task holds those of one bucket, and a batch.
+    Words with two texts come twice.
+    """
 
-        def out(rows: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
-            group = np.repeat(np.cumsum(new) - 1, np.diff(rows.column(3).offsets.to_numpy()))
-            word, n = rows.column(3).flatten().to_numpy(), rows.column(4).flatten().to_numpy()
-            order = np.lexsort((word, group))
-            word, n, group = word[order], n[order], group[order]
-            first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (group[1:] != group[:-1]))))[: len(word)]
-            n = np.add.reduceat(n, first) if len(first) else n
+    def stripes(rows: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+        langs, grams, counts = [], [], []
+        first = np.append(np.flatnonzero(new), rows.num_rows).tolist()
+        for x, y in zip(first[:-1], first[1:]):
+            size = rows.column(2)[x].as_py() + 1
+            columns = np.concatenate([np.frombuffer(b, np.uint64).reshape(size, -1) for b in rows.column(4).slice(x, y - x).to_pylist()], axis=1)
+            n = np.frombuffer(b"".join(rows.column(5).slice(x, y - x).to_pylist()), np.uint32).astype(np.int64)
+            order = np.lexsort(columns[::-1])
+            columns, n = columns[:, order], n[order]
+            at = np.flatnonzero(np.concatenate(([True], (columns[:, 1:] != columns[:, :-1]).any(axis=0))))[: len(n)]
+            n = np.add.reduceat(n, at) if len(at) else n
             keep = n >= least
-            of = rows.take(pa.array(np.flatnonzero(new)[group[first][keep]]))
-            gram = pc.binary_join_element_wise(of.column(1), _binary(word[first][keep].view(np.uint64)[:, None]), pa.scalar(b"", pa.binary()))
-            return pa.record_batch([of.column(0), gram, of.column(1), pa.array(n[keep])], names=["lang", "gram", "prefix", "n"])
-
-        def starts(rows: pa.RecordBatch) -> np.ndarray:
-            differ = np.zeros(rows.num_rows - 1, bool)
-            for c in range(3):
-                x = rows.column(c)
-                differ |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
-            return np.concatenate(([True], differ))
+            grams.append(_binary(columns[:, at[keep]].T))
+            counts.append(n[keep])
+            langs.extend([rows.column(0)[x].as_py()] * int(keep.sum()))
+        return _rows(_KNOWN, len(langs), kind=np.zeros(len(langs), np.int32), lang=langs, gram=pa.concat_arrays(grams), n=np.concatenate(counts))
+
+    def prints(rows: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in rows.column(5).to_pylist()])
+        bucket = np.repeat(np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint32), sizes).astype(np.uint64)
+        own = bucket << np.uint64(32) | np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint32).astype(np.uint64)
+        count = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8)
+        order = np.argsort(own)
+        own = own[order]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))[: len(own)]
+        many = own[first][np.add.reduceat(count[order].astype(np.int64), first) >= least] if len(first) else own
+        return _rows(_KNOWN, len(many), kind=np.full(len(many), PRINTS, np.int32), print=many.view(np.int64))
+
+    def words(rows: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+        texts: dict[tuple[int, bytes | None], int] = {}
+        for g, text, n in zip(np.cumsum(new) - 1, rows.column(4).to_pylist(), rows.column(3).to_pylist()):
+            texts[g, text] = texts.get((g, text), 0) + n
+        of = rows.take(pa.array(np.flatnonzero(new)[[g for g, _ in texts]].astype(np.int64)))
+        return _rows(_KNOWN, len(texts), kind=of.column(2), lang=of.column(0), gram=of.column(1), n=list(texts.values()), word=[w for _, w in texts])
+
+    def starts(rows: pa.RecordBatch) -> np.ndarray:
+        differ = np.zeros(rows.num_rows - 1, bool)
+        for c in range(3):
+            x = rows.column(c)
+            differ |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+        return np.concatenate(([True], differ))
+
+    def out(rows: pa.RecordBatch, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part, group = rows.column(2).to_numpy(), np.cumsum(new)
+        for kind, f in ((part > 0, stripes), (part == PRINTS, prints), (part <= WORDS, words)):
+            at = np.flatnonzero(kind)
+            if len(at):
+                own = group[at]
+                yield f(rows.take(pa.array(at)), np.concatenate(([True], own[1:] != own[:-1])))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
@@ -259,27 +328,35 @@ def merged(stripes: DataFrame, least: int) -> DataFrame:
             new = starts(rows)
             whole = int(np.flatnonzero(new)[-1])  # the last group may go on
             if whole:
-                yield out(rows.slice(0, whole), new[:whole])
+                yield from out(rows.slice(0, whole), new[:whole])
             held = [rows.slice(whole)]
         if held:
             rows = pa.concat_batches(held)
-            yield out(rows, starts(rows))
+            yield from out(rows, starts(rows))
 
     by = ("lang", "prefix", "part")
-    return stripes.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "lang string, gram binary, prefix binary, n long")
+    return sent.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, _KNOWN_DDL)
 
 
-def _frequent_prefixes(grams: DataFrame, total: int) -> dict:
-    """Parts of the stripes of prefixes that occur very often: a million of them at most, as no more can have a millionth of all words."""
-    least = max(HOT, -(-total // 1_000_000))
-    return {(r.lang, bytes(r.gram)): -(-r.n // least) for r in grams.where(F.col("n") >= least).collect()}
+def _prints_of(grams: DataFrame, buckets: int) -> DataFrame:
+    """(print) of `grams` (lang, gram)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            by: dict[tuple[str, int], list[bytes]] = {}
+            for lang, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.setdefault((lang, len(g)), []).append(g)
+            for (lang, _), own in by.items():
+                yield pa.record_batch([pa.array(_prints(lang, np.frombuffer(b"".join(own), np.uint64).reshape(len(own), -1), buckets).view(np.int64))], names=["print"])
+
+    return grams.select("lang", "gram").mapInArrow(run, "print long")
 
 
 def _big(c: str) -> Column:
     return F.col(c).cast("decimal(30,0)")
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, subsumed: int = 80, seed: int = 0) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, subsumed: int = 80, seed: int = 0, chunk: int = CHUNK, size: int = FILTER) -> DataFrame:
     """The first `top` phrases of 2 to 4 words of each lang in `docs` (lang, text): lang, rank, phrase, a, l, r, n, score.
 
     Words are lower-cased (A-Z), pieces end at .,;:!? and line ends, words at blanks and tabs. A null lang is `und`, a null
@@ -288,25 +365,32 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, subsumed: in
     earliest; l and r are the counts of its parts, n that of all words of the lang. A phrase is dropped if a longer candidate
     that contains it has `subsumed` per cent of its count. Order: score, a, both falling, then the phrase's bytes.
 
-    First words are counted. Then stripes: each prefix of one word with a counter of the words that follow it, added up
-    element by element; then those of two and three words. As all parts of a frequent phrase are frequent, words and
-    pairs that aren't are left out by filters of fixed size, which never lose a frequent one. A stripe's entries are the
-    counts of a phrase and of its extensions to the right; by the words without the first they are its extensions to the
-    left, so counts of parts and the largest extension come from the same entries. Longer extensions needn't be looked at:
-    where one has so much of the count, so has the one of one word in it. Words go by 64-bit hashes; should two words of a
+    Stripes: each prefix has a counter of the words that follow it, and tasks' stripes are added up element by element,
+    those of a prefix in PARTS parts by the words in them. A stripe's entries are the counts of a phrase and of its
+    extensions to the right; by the words without the first they are its extensions to the left, so counts of parts and the
+    largest extension come from the same entries. Longer extensions needn't be looked at: where one has so much of the
+    count, so has the one of one word in it. Most phrases are rare, and are told by fingerprints of five bytes before any
+    stripe is made of them: first those of all pairs are added up; a second pass makes the stripes of pairs whose fingerprint
+    is frequent, and fingerprints of three and four words of such pairs; a third makes the stripes of these, and counts
+    the words of frequent pairs. Frequent fingerprints reach tasks in filters of a fixed size, which never lose one: what
+    they let through besides costs a stripe, and nothing in the result. Words go by 64-bit hashes; should two words of a
     lang share one, everything is counted anew with another seed.
     """
     docs = docs.select("lang", "text")
-    words = settled(words_of(docs, seed))
+    buckets = min(max(BUCKETS[0], (docs.count() // 1024).bit_length()), BUCKETS[1])
+    prints = settled(added(pair_prints(docs, seed, buckets, chunk), least))
+    first = settled(added(pair_stripes(docs, seed, buckets, chunk, filter_of(prints, size)), least))
+    two = first.where("kind = 0").select("lang", "gram", "n")
+    singles = two.select("lang", F.explode(F.array(F.expr("substring(gram, 1, 8)"), F.expr("substring(gram, 9)"))).alias("gram")).distinct()
+    known = _prints_of(two.select("lang", "gram").union(singles), buckets).union(first.where(F.col("kind") == PRINTS).select("print"))
+    last = settled(added(longer_stripes(docs, seed, buckets, chunk, filter_of(known, size)), least))
+    words = last.where(F.col("kind") == WORDS)
     if not words.groupBy("lang", "gram").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
-        return collocations(docs, least, top, subsumed, seed + 1)
-    totals = settled(words.groupBy("lang").agg(F.sum("n").alias("total")))
-    total = totals.agg(F.sum("total")).first()[0] or 0
-    common = settled(words.where(F.col("n") >= least))
-    known = filter_of(common)
-    two = settled(merged(stripes_of_words(docs, seed, known, _frequent_prefixes(common, total)), least))
-    more = settled(merged(stripes_of_pairs(docs, seed, known, filter_of(two), _frequent_prefixes(two, total)), least))
-    found = two.union(more)
+        return collocations(docs, least, top, subsumed, seed + 1, chunk, size)
+    totals = last.where(F.col("kind") == ALL).select("lang", F.col("n").alias("total"))
+    common = words.select("lang", "gram", "word", "n")
+    more = last.where("kind = 0").select("lang", "gram", F.expr("substring(gram, 1, length(gram) - 8)").alias("prefix"), "n")
+    found = two.union(more.select("lang", "gram", "n"))
 
     longer = more.select("lang", F.col("prefix").alias("gram"), "n").union(more.select("lang", F.expr("substring(gram, 9)").alias("gram"), "n"))
     longer = longer.groupBy("lang", "gram").agg(F.max("n").alias("most"))
