@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from .common import settled
 #: What ends a piece of a text, what parts words, and what is lower-cased.
 ENDS, BLANKS, CAPITALS = b".,;:!?\n\x0b\x0c\r", b" \t", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PLAIN = bytes.maketrans(ENDS + BLANKS + CAPITALS, b"." * len(ENDS) + b" " * len(BLANKS) + CAPITALS.lower())
-#: Words that a task counts at once, about; distinct words whose numbers it keeps.
-CHUNK, KEPT = 500_000, 100_000
+#: Words of one lang that a task counts at once, about; how many times as many it holds of all langs; distinct words of a lang whose numbers it keeps.
+CHUNK, LANGS, KEPT = 500_000, 4, 100_000
 #: Bits of a filter, whatever the corpus, and of a segment of it.
 FILTER, SEGMENT = 1 << 26, 1 << 16
 #: Parts of a prefix' stripe, by its words, so that no frequent prefix is one task's.
@@ -44,6 +45,17 @@ def _prints(lang: str, words: np.ndarray, buckets: int) -> np.ndarray:
     return (x >> np.uint64(64 - buckets)) << np.uint64(32) | (x & _LOW)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then the next ones: high bytes are mostly zero and compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _plain(b: bytes, kind: type) -> np.ndarray:
+    """The numbers of `_planes`."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _places(prints: np.ndarray, size: int) -> np.ndarray:
     """Two places of a filter of `size` bits for each fingerprint."""
     x = _mixed(prints * _ODD)
@@ -81,37 +93,47 @@ class _Numbers(dict):
     def __init__(self, seed: int):
         self.seed, self.hashes = seed, [0]
         self[b"."] = 0
+        self.told = np.zeros(1, bool)
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.hashes)
         self.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
         return n
 
+    def untold(self, here: np.ndarray) -> np.ndarray:
+        """Numbers of the words of `here` that weren't asked for before."""
+        told = np.zeros(len(here), bool)
+        told[: len(self.told)] = self.told
+        self.told = told | here
+        return np.flatnonzero(here & ~told)
+
 
 def _numbered(batches: Iterator[pa.RecordBatch], seed: int, chunk: int) -> Iterator[tuple[str, np.ndarray, _Numbers]]:
-    """(lang, numbers of words with a 0 after each piece, their table) of all texts, about `chunk` words at a time."""
+    """(lang, numbers of words with a 0 after each piece, their table) of all texts, about `chunk` words of a lang at a time; with many langs, the lang of most words when LANGS times as many are held."""
     tables: dict[str, _Numbers] = {}
     held: dict[str, list[np.ndarray]] = {}
-    n = 0
+    sizes: dict[str, int] = {}
 
-    def out() -> Iterator[tuple[str, np.ndarray, _Numbers]]:
-        for lang, parts in held.items():
-            yield lang, np.concatenate(parts), tables[lang]
-            if len(tables[lang]) > KEPT:
-                del tables[lang]
-        held.clear()
+    def out(lang: str) -> tuple[str, np.ndarray, _Numbers]:
+        del sizes[lang]
+        table = tables[lang]
+        if len(table) > KEPT:
+            del tables[lang]
+        return lang, np.concatenate(held.pop(lang)).astype(np.int64), table
 
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
             if lang not in tables:
                 tables[lang] = _Numbers(seed)
             words = ((text.as_py() or b"").translate(_PLAIN).replace(b".", b" . ") + b" .").split()
-            held.setdefault(lang, []).append(np.fromiter(map(tables[lang].__getitem__, words), np.int64, len(words)))
-            n += len(words)
-            if n >= chunk:
-                yield from out()
-                n = 0
-    yield from out()
+            held.setdefault(lang, []).append(np.fromiter(map(tables[lang].__getitem__, words), np.int32, len(words)))
+            sizes[lang] = sizes.get(lang, 0) + len(words)
+            if sizes[lang] >= chunk:
+                yield out(lang)
+            elif sum(sizes.values()) >= LANGS * chunk:
+                yield out(max(sizes, key=sizes.get))
+    for lang in list(sizes):
+        yield out(lang)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -124,13 +146,13 @@ def _binary(words: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(words), [None, pa.py_buffer(np.ascontiguousarray(words).tobytes())]).cast(pa.binary())
 
 
-#: What tasks send: stripes (part: the words of a prefix) of a bucket: columns of the prefix' words and of the words that
-#: follow in `blob`, how often in `counts`; fingerprints of a bucket (PRINTS) with counts up to 255; words (WORDS) with
-#: their text; all words of a lang (ALL).
+#: What tasks send: stripes (part: the words of a prefix, 0 for the counts of words) of a bucket: columns of the prefix'
+#: words and of the words that follow in `blob`, how often in `counts`; fingerprints of a bucket (PRINTS), as differences,
+#: with counts up to 255; words (WORDS) with their text, once for each table of numbers; all words of a lang (ALL).
 _SENT = {"lang": pa.string(), "prefix": pa.binary(), "part": pa.int32(), "n": pa.int64(), "blob": pa.binary(), "counts": pa.binary()}
 _SENT_DDL = "lang string, prefix binary, part int, n long, blob binary, counts binary"
 PRINTS, WORDS, ALL = -1, -2, -3
-#: What is known when they are added up: kind (part of what was sent, or 0), a phrase or word with its count, or a fingerprint.
+#: What is known when they are added up: kind (part of what was sent, or 0), a phrase or word with its count, a word with its text, or a fingerprint.
 _KNOWN = {"kind": pa.int32(), "lang": pa.string(), "gram": pa.binary(), "n": pa.int64(), "word": pa.binary(), "print": pa.int64()}
 _KNOWN_DDL = "kind int, lang string, gram binary, n long, word binary, print long"
 
@@ -149,7 +171,9 @@ def _cut(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _stripes(lang: str, code: np.ndarray, count: np.ndarray, base: int, prefixes: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Stripes of sorted codes (number of a prefix * base + number of a word), by bucket of prefix and part; prefixes has the hashes of a prefix' words."""
     prefix, word = prefixes[code // base], hashes[code % base]
-    own = _mixed(word) % np.uint64(PARTS)
+    own = _mixed(word * _ODD)
+    if prefix.shape[1]:  # without a prefix each word goes by itself
+        own %= np.uint64(PARTS)
     for k in range(prefix.shape[1]):
         own = _mixed((own ^ prefix[:, k]) * _ODD)
     own >>= np.uint64(64 - buckets)
@@ -158,18 +182,18 @@ def _stripes(lang: str, code: np.ndarray, count: np.ndarray, base: int, prefixes
     count = count[order].astype(np.uint32)
     numbers, ends = _cut(own[order].astype(np.uint32))
     blob = [np.ascontiguousarray(columns[x:y].T).tobytes() for x, y in zip(ends[:-1], ends[1:])]
-    counts = [count[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
+    counts = [_planes(count[x:y]) for x, y in zip(ends[:-1], ends[1:])]
     n = len(numbers)
     return _rows(_SENT, n, lang=[lang] * n, prefix=[b.tobytes() for b in numbers], part=np.full(n, prefix.shape[1], np.int32), blob=blob, counts=counts)
 
 
 def _buckets(prints: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket of fingerprints: five bytes for each of them."""
+    """A row for each bucket of fingerprints: five bytes for each of them, of which two are mostly alike."""
     order = np.argsort(prints)
     prints, count = prints[order], np.minimum(count[order], 255).astype(np.uint8)
     numbers, ends = _cut((prints >> np.uint64(32)).astype(np.uint32))
     low = (prints & _LOW).astype(np.uint32)
-    blob = [low[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
+    blob = [_planes(np.diff(low[x:y], prepend=np.uint32(0))) for x, y in zip(ends[:-1], ends[1:])]
     counts = [count[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
     n = len(numbers)
     return _rows(_SENT, n, lang=[""] * n, prefix=[b.tobytes() for b in numbers], part=np.full(n, PRINTS, np.int32), blob=blob, counts=counts)
@@ -255,15 +279,18 @@ def longer_stripes(docs: DataFrame, seed: int, buckets: int, chunk: int, known:
             yield _rows(_SENT, 1, lang=[lang], prefix=[b""], part=[ALL], n=[int(times[1:].sum())])
             here = (times > 0) & _held(shared.value, c.prints(words))
             here[0] = False
-            texts = [w for w, k in table.items() if k and here[k]]  # in order of their numbers, as they came in
-            own = np.flatnonzero(here)
-            yield _rows(_SENT, len(own), lang=[lang] * len(own), prefix=_binary(words[own]), part=np.full(len(own), WORDS, np.int32), n=times[own], blob=pa.array(texts, pa.binary()))
+            yield c.stripes(np.arange(c.base), times, np.empty((1, 0), np.uint64), here)
+            own = table.untold(here)
+            new = np.zeros(len(table), bool)
+            new[own] = True
+            texts = list(compress(table, new))  # words stand in order of their numbers
+            yield _rows(_SENT, len(own), lang=[lang] * len(own), prefix=_binary(words[own]), part=np.full(len(own), WORDS, np.int32), blob=pa.array(texts, pa.binary()))
 
     return _texts(docs).mapInArrow(run, _SENT_DDL)
 
 
 def added(sent: DataFrame, least: int) -> DataFrame:
-    """What tasks sent, added up (_KNOWN): phrases and fingerprints that occur `least` times or more, words, and the number of all words of a lang.
+    """What tasks sent, added up (_KNOWN): phrases, words and fingerprints that occur `least` times or more, words' texts, and the number of all words of a lang.
 
     Stripes are added element by element, as sorted columns of a bucket; a task holds those of one bucket, and a batch.
     Words with two texts come twice.
@@ -275,7 +302,7 @@ def added(sent: DataFrame, least: int) -> DataFrame:
         for x, y in zip(first[:-1], first[1:]):
             size = rows.column(2)[x].as_py() + 1
             columns = np.concatenate([np.frombuffer(b, np.uint64).reshape(size, -1) for b in rows.column(4).slice(x, y - x).to_pylist()], axis=1)
-            n = np.frombuffer(b"".join(rows.column(5).slice(x, y - x).to_pylist()), np.uint32).astype(np.int64)
+            n = np.concatenate([_plain(b, np.uint32) for b in rows.column(5).slice(x, y - x).to_pylist()]).astype(np.int64)
             order = np.lexsort(columns[::-1])
             columns, n = columns[:, order], n[order]
             at = np.flatnonzero(np.concatenate(([True], (columns[:, 1:] != columns[:, :-1]).any(axis=0))))[: len(n)]
@@ -289,7 +316,8 @@ def added(sent: DataFrame, least: int) -> DataFrame:
     def prints(rows: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in rows.column(5).to_pylist()])
         bucket = np.repeat(np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint32), sizes).astype(np.uint64)
-        own = bucket << np.uint64(32) | np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint32).astype(np.uint64)
+        low = np.concatenate([np.cumsum(_plain(b, np.uint32), dtype=np.uint64) for b in rows.column(4).to_pylist()])
+        own = bucket << np.uint64(32) | low
         count = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8)
         order = np.argsort(own)
         own = own[order]
@@ -300,7 +328,7 @@ def added(sent: DataFrame, least: int) -> DataFrame:
     def words(rows: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
         texts: dict[tuple[int, bytes | None], int] = {}
         for g, text, n in zip(np.cumsum(new) - 1, rows.column(4).to_pylist(), rows.column(3).to_pylist()):
-            texts[g, text] = texts.get((g, text), 0) + n
+            texts[g, text] = texts.get((g, text), 0) + (n or 0)
         of = rows.take(pa.array(np.flatnonzero(new)[[g for g, _ in texts]].astype(np.int64)))
         return _rows(_KNOWN, len(texts), kind=of.column(2), lang=of.column(0), gram=of.column(1), n=list(texts.values()), word=[w for _, w in texts])
 
@@ -313,7 +341,7 @@ def added(sent: DataFrame, least: int) -> DataFrame:
 
     def out(rows: pa.RecordBatch, new: np.ndarray) -> Iterator[pa.RecordBatch]:
         part, group = rows.column(2).to_numpy(), np.cumsum(new)
-        for kind, f in ((part > 0, stripes), (part == PRINTS, prints), (part <= WORDS, words)):
+        for kind, f in ((part >= 0, stripes), (part == PRINTS, prints), (part <= WORDS, words)):
             at = np.flatnonzero(kind)
             if len(at):
                 own = group[at]
@@ -372,7 +400,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, subsumed: in
     count, so has the one of one word in it. Most phrases are rare, and are told by fingerprints of five bytes before any
     stripe is made of them: first those of all pairs are added up; a second pass makes the stripes of pairs whose fingerprint
     is frequent, and fingerprints of three and four words of such pairs; a third makes the stripes of these, and counts
-    the words of frequent pairs. Frequent fingerprints reach tasks in filters of a fixed size, which never lose one: what
+    the words of frequent pairs, whose texts a task sends once. Frequent fingerprints reach tasks in filters of a fixed size, which never lose one: what
     they let through besides costs a stripe, and nothing in the result. Words go by 64-bit hashes; should two words of a
     lang share one, everything is counted anew with another seed.
     """
@@ -388,8 +416,8 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, subsumed: in
     if not words.groupBy("lang", "gram").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
         return collocations(docs, least, top, subsumed, seed + 1, chunk, size)
     totals = last.where(F.col("kind") == ALL).select("lang", F.col("n").alias("total"))
-    common = words.select("lang", "gram", "word", "n")
-    more = last.where("kind = 0").select("lang", "gram", F.expr("substring(gram, 1, length(gram) - 8)").alias("prefix"), "n")
+    common = last.where("kind = 0 and length(gram) = 8").select("lang", "gram", "n")
+    more = last.where("kind = 0 and length(gram) > 8").select("lang", "gram", F.expr("substring(gram, 1, length(gram) - 8)").alias("prefix"), "n")
     found = two.union(more.select("lang", "gram", "n"))
 
     longer = more.select("lang", F.col("prefix").alias("gram"), "n").union(more.select("lang", F.expr("substring(gram, 9)").alias("gram"), "n"))
@@ -397,7 +425,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, subsumed: in
     kept = found.join(longer, ["lang", "gram"], "left").where(F.coalesce(100 * _big("most"), F.lit(0)) < subsumed * _big("n"))
     kept = settled(kept.select("lang", "gram", F.col("n").alias("a")))
 
-    parts = common.select("lang", "gram", "n").union(found.select("lang", "gram", "n"))
+    parts = common.union(found.select("lang", "gram", "n"))
     cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), (F.length("gram") / 8).cast("int") - 1)))
     cuts = cuts.select("*", F.expr("substring(gram, 1, 8 * k)").alias("left"), F.expr("substring(gram, 8 * k + 1)").alias("right"))
     cuts = cuts.join(parts.select("lang", F.col("gram").alias("left"), F.col("n").alias("l")), ["lang", "left"])
@@ -412,7 +440,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, subsumed: in
     scored = scored.withColumn("at", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("at") <= top).drop("at")
     each = scored.withColumn("i", F.explode(F.sequence(F.lit(0), (F.length("gram") / 8).cast("int") - 1)))
     each = each.select("*", F.expr("substring(gram, 8 * i + 1, 8)").alias("one"))
-    each = each.join(common.select("lang", F.col("gram").alias("one"), F.col("word").cast("string").alias("word")), ["lang", "one"])
+    each = each.join(words.select("lang", F.col("gram").alias("one"), F.col("word").cast("string").alias("word")), ["lang", "one"])
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase")
     told = each.groupBy("lang", "gram", "a", "l", "r", "score").agg(phrase)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
