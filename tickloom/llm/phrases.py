@@ -67,12 +67,18 @@ def _held(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
 
-def filter_of(prints: DataFrame, size: int = FILTER) -> np.ndarray:
-    """A Bloom filter of `prints` (print), `size` bits whatever their number, put together from segments."""
+def filter_of(known: DataFrame, buckets: int, size: int = FILTER) -> np.ndarray:
+    """A Bloom filter of `known` (lang, gram, print: a fingerprint, or null and that of the phrase counts), `size` bits whatever their number, put together from segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(_places(b.column(0).to_numpy().view(np.uint64), size)).astype(np.int64)
+            own = [b.column(2).drop_null().to_numpy().view(np.uint64)]
+            by: dict[tuple[str, int], list[bytes]] = {}
+            for lang, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if g is not None:
+                    by.setdefault((lang, len(g)), []).append(g)
+            own += [_prints(lang, np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1), buckets) for (lang, _), x in by.items()]
+            at = np.unique(_places(np.concatenate(own), size)).astype(np.int64)
             yield pa.record_batch([pa.array((at // SEGMENT).astype(np.int32)), pa.array((at % SEGMENT).astype(np.int32))], names=["segment", "bit"])
 
     def packed(table: pa.Table) -> pa.Table:
@@ -81,7 +87,7 @@ def filter_of(prints: DataFrame, size: int = FILTER) -> np.ndarray:
         return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
     bits = np.zeros(size // 8, np.uint8)
-    places = prints.select("print").mapInArrow(run, "segment int, bit int").distinct()
+    places = known.select("lang", "gram", "print").mapInArrow(run, "segment int, bit int").distinct()
     for r in places.groupBy("segment").applyInArrow(packed, "segment int, bits binary").collect():
         bits[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
     return bits
@@ -366,20 +372,6 @@ def added(sent: DataFrame, least: int) -> DataFrame:
     return sent.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, _KNOWN_DDL)
 
 
-def _prints_of(grams: DataFrame, buckets: int) -> DataFrame:
-    """(print) of `grams` (lang, gram)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            by: dict[tuple[str, int], list[bytes]] = {}
-            for lang, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault((lang, len(g)), []).append(g)
-            for (lang, _), own in by.items():
-                yield pa.record_batch([pa.array(_prints(lang, np.frombuffer(b"".join(own), np.uint64).reshape(len(own), -1), buckets).view(np.int64))], names=["print"])
-
-    return grams.select("lang", "gram").mapInArrow(run, "print long")
-
-
 def _big(c: str) -> Column:
     return F.col(c).cast("decimal(30,0)")
 
@@ -407,11 +399,11 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, subsumed: in
     docs = docs.select("lang", "text")
     buckets = min(max(BUCKETS[0], (docs.count() // 1024).bit_length()), BUCKETS[1])
     prints = settled(added(pair_prints(docs, seed, buckets, chunk), least))
-    first = settled(added(pair_stripes(docs, seed, buckets, chunk, filter_of(prints, size)), least))
+    first = settled(added(pair_stripes(docs, seed, buckets, chunk, filter_of(prints, buckets, size)), least))
     two = first.where("kind = 0").select("lang", "gram", "n")
     singles = two.select("lang", F.explode(F.array(F.expr("substring(gram, 1, 8)"), F.expr("substring(gram, 9)"))).alias("gram")).distinct()
-    known = _prints_of(two.select("lang", "gram").union(singles), buckets).union(first.where(F.col("kind") == PRINTS).select("print"))
-    last = settled(added(longer_stripes(docs, seed, buckets, chunk, filter_of(known, size)), least))
+    known = first.select("lang", "gram", "print").union(singles.select("lang", "gram", F.lit(None).cast("long")))
+    last = settled(added(longer_stripes(docs, seed, buckets, chunk, filter_of(known, buckets, size)), least))
     words = last.where(F.col("kind") == WORDS)
     if not words.groupBy("lang", "gram").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
         return collocations(docs, least, top, subsumed, seed + 1, chunk, size)
