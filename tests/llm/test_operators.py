@@ -712,6 +712,30 @@ def test_pipeline_drops_near_copies(spark, monkeypatch, part):
     assert len({x.component_id for x in simhash.near_duplicates(docs).collect()}) > len(set(want.values()))
 
 
+@pytest.mark.parametrize("k", [147911, 507671])
+def test_candidates_of_bands_are_settled_exactly(spark, k):
+    """Texts of 10 and 8 five-word shingles that share 8, where a band agrees but few of all minima do."""
+    text = [f"w{k}x{i}" for i in range(14)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:12])), (3, " ".join(text[:11]))], "doc_id long, text string")  # 3 shares 7 of 8 with 2
+    assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs.where("doc_id < 3")).collect()} == {1: 1, 2: 1}
+    assert [x.doc_id for x in corpus_pipeline.one_of_each(spark, docs, "").collect()] == [1]
+
+
+def test_bounds_lose_no_similar_sets():
+    """Sets at the threshold and just below, from one value to many more than there are bits."""
+    r, passed = np.random.default_rng(4), 0
+    for both in (1, 4, 8, 40, 400, 4000, 40000):
+        for one, two in {(both // 4, 0), (0, both // 4), (both // 8, both // 4 - both // 8), (both // 4 + 1, 0), (both, both)}:
+            values = r.integers(0, 1 << 63, both + one + two, np.uint64)
+            x, y = np.sort(values[: both + one]), np.sort(np.concatenate((values[:both], values[both + one :])))
+            bits = [np.frombuffer(jaccard.parities(s), np.uint64)[None] for s in (x, y)]
+            may = bool(jaccard.possible(np.array([len(x)]), bits[0], np.array([len(y)]), bits[1])[0])
+            near = 5 * both >= 4 * len(values)
+            assert jaccard.similar(x, y) == near and may >= near
+            passed += may and not near
+    assert passed < 10
+
+
 def test_balls_of_no_radius(spark):
     fps = spark.createDataFrame([(1,)], "fp long")
     for radius, halves in ((3, 1), (0, 1), (5, 2), (6, 2)):

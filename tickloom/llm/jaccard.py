@@ -16,8 +16,8 @@ from .common import connected_components, settled, text_key, unused
 WORDS, SIMILAR = 5, (4, 5)
 #: Bands of so many minima each: of pairs at the similarity one in 150,000 shares no band, (1 - 0.8 ** 5) ** 30.
 BANDS, MINIMA = 30, 5
-#: Of BANDS * MINIMA minima so many agree in a pair worth an exact comparison: 4.5 standard deviations below the threshold.
-AGREE = 97
+#: Bits of a set's parities. Where two sets' bits differ, the sets differ, so they bound the similarity and lose no pair; sets of well over BITS shingles pass unhindered.
+BITS = 1024
 #: Orders of nodes by which the bands choose the member that leads a bucket.
 LEADS = 3
 #: Members of a part of a bucket: parts are compared two at a time.
@@ -61,28 +61,45 @@ def minima(of: np.ndarray) -> np.ndarray:
     return low
 
 
+def parities(of: np.ndarray) -> bytes:
+    """BITS bits, each whether an odd number of the set's values fall to it."""
+    return np.packbits(np.bincount((of & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def possible(n: np.ndarray, bits: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """False where sets of `n` and of `m` values cannot be similar, by their sizes and their parities (rows of 64-bit words)."""
+    part, whole = SIMILAR
+    apart = np.bitwise_count(bits ^ others).sum(axis=1, dtype=np.int64)  # so many values or more are in one of the two only
+    return (whole * np.minimum(n, m) >= part * np.maximum(n, m)) & ((whole - part) * (n + m) >= (whole + part) * apart)
+
+
+def _words(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
+
+
 def _identity(of: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(of.tobytes()) - (1 << 63)
 
 
-def with_sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, node, bands, sketch) of every row of `docs`: node stands for the set, equal sets have one; a null text has no words."""
+def with_bands(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, node, bands, n, bits) of every row of `docs`: node stands for the set, equal sets have one; n is its size, bits are its parities; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, bands, sketches = [], [], []
+            nodes, bands, sizes, bits = [], [], [], []
             for x in batch.column(2):
                 own = shingles(x.as_py() or b"")
                 low = minima(own)
                 nodes.append(_identity(own))
                 keys = (low.astype(np.uint64).reshape(BANDS, MINIMA) * _BAND[:, :-1]).sum(axis=1, dtype=np.uint64) + _BAND[:, -1]
                 bands.append(_mixed(keys).view(np.int64))
-                sketches.append((low >> np.uint32(8)).astype(np.uint8).tobytes())
+                sizes.append(len(own))
+                bits.append(parities(own))
             bands = pa.ListArray.from_arrays(np.arange(0, BANDS * len(nodes) + 1, BANDS, dtype=np.int32), np.concatenate(bands) if bands else np.empty(0, np.int64))
-            yield pa.record_batch([*batch.columns[:2], pa.array(nodes, pa.int64()), bands, pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "node", "bands", "sketch"])
+            yield pa.record_batch([*batch.columns[:2], pa.array(nodes, pa.int64()), bands, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "text_key", "node", "bands", "n", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, bands array<long>, sketch binary")
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, bands array<long>, n long, bits binary")
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
@@ -114,16 +131,16 @@ def sets_of(nodes: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def alike(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) of nodes whose sketches agree in AGREE places or more, so that few sets are made and sent."""
+    """Those of `pairs` (a, b) of nodes that may be similar by their sizes and parities, so that few sets are made and sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BANDS * MINIMA) for c in batch.columns[2:])
-            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(np.count_nonzero(x == y, axis=1) >= AGREE))
+            n, x, m, y = (c.to_pylist() for c in batch.columns[2:])
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(possible(np.array(n, np.int64), _words(x), np.array(m, np.int64), _words(y))))
 
-    left = ids.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    right = ids.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = ids.select(F.col("node").alias("a"), "n", F.col("bits").alias("x"))
+    right = ids.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -140,26 +157,25 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def compared(left: DataFrame) -> DataFrame:
-    """Edges (a, b) that join different components with similar members, from `left` (bucket, node, component, sketch, own, parts).
+    """Edges (a, b) that join different components with similar members, from `left` (bucket, node, component, n, bits, own, parts).
 
     Members of a bucket are dealt over `parts`, and every two parts, or a part with itself, are compared by themselves.
-    Pairs whose sketches agree enough are compared exactly, unless edges of the same two parts have joined them by then.
+    Pairs that may be similar by their sizes and parities are compared exactly, unless edges of the same two parts have joined them by then.
     """
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j")))
     dealt = left.withColumn("mine", mine).withColumn("p", F.explode(pairs))
-    cells = dealt.select(F.xxhash64("bucket", "p.i", "p.j").alias("cell"), "node", "component", "sketch", "own", F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("mine") == F.col("p.i"), 1).otherwise(2).alias("side"))
+    cells = dealt.select(F.xxhash64("bucket", "p.i", "p.j").alias("cell"), "node", "component", "n", "bits", "own", F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("mine") == F.col("p.i"), 1).otherwise(2).alias("side"))
 
     def cell(held: list) -> list[tuple[int, int]]:
-        node, comp, sketch, own, side = zip(*held)
-        comp, side = np.array(comp), np.array(side)
-        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * MINIMA)
+        node, comp, n, bits, own, side = zip(*held)
+        comp, n, bits, side = np.array(comp), np.array(n), _words(bits), np.array(side)
         sets = [np.frombuffer(x, np.uint64) for x in own]
         place = np.arange(len(node))
         edges = []
         for i in np.flatnonzero(side < 2):
             others = np.flatnonzero((comp != comp[i]) & np.where(side == 0, place > i, side == 2))
-            for j in others[np.count_nonzero(sketch[others] == sketch[i], axis=1) >= AGREE]:
+            for j in others[possible(n[others], bits[others], n[i], bits[i])]:
                 if comp[j] != comp[i] and similar(sets[i], sets[j]):
                     edges.append((max(node[i], node[j]), min(node[i], node[j])))
                     comp[comp == comp[j]] = comp[i]
@@ -195,12 +211,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable; where all of a component's are null, it is null. component tells
     components apart even so.
 
-    Sets that share a band are candidates. First each is held against one member of its bucket, another in each band,
+    Sets that share a band are candidates, and every candidate that is not joined otherwise is settled by the exact sets,
+    unless their sizes or parities prove that it is not similar. First each is held against one member of its bucket, another in each band,
     which joins large groups without their pairs. Then members of a bucket that are still in different components are
-    compared with one another by their sketches, and those that may be similar exactly, in the same task, so that no list of pairs is made.
+    compared with one another, in the same task, so that no list of pairs is made.
     """
-    rows = settled(with_sketches(docs))
-    ids = settled(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    rows = settled(with_bands(docs))
+    ids = settled(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     seen = ids.select("node", F.posexplode("bands").alias("band", "bucket"))
     order = F.xxhash64(F.pmod("band", F.lit(LEADS)), "node")  # so that members of a large group meet few leads
     lead = seen.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "node")).alias("low"), F.count("*").alias("n")).where("n > 1")
@@ -215,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = shared.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = settled(apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high"))
     left = settled(apart.join(mixed.select("bucket", F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts")), "bucket"))
-    near = near.union(settled(compared(left.join(own, "node").join(ids.select("node", "sketch"), "node"))))
+    near = near.union(settled(compared(left.join(own, "node").join(ids.select("node", "n", "bits"), "node"))))
 
     comps = settled(connected_components(near))
     joined = settled(ids.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")))
