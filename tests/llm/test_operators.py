@@ -721,6 +721,23 @@ def test_candidates_of_bands_are_settled_exactly(spark, k):
     assert [x.doc_id for x in corpus_pipeline.one_of_each(spark, docs, "").collect()] == [1]
 
 
+def test_fingerprints_of_the_stage(spark, monkeypatch):
+    """The stage's fingerprints bit by bit; their balls give candidates, without any band too, which the exact sets settle."""
+    base = words(7, 400)
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(base[::-1]), "few words", "", " ".join(words(8, 5000))]
+    own = [jaccard.shingles(t.encode()) for t in texts]
+    for x in own:
+        assert jaccard.fingerprint(x) % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x) > len(x))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = jaccard.with_bands(docs)
+    pairs = {tuple(sorted(p)) for p in jaccard.close(ids.select("node", "fp").distinct()).collect()}
+    nodes = {r.doc_id: r.node for r in ids.collect()}
+    assert pairs == {tuple(sorted((nodes[0], nodes[1])))} and jaccard.similar(own[0], own[1])
+    lone = ids.withColumn("bands", F.transform("bands", lambda x: F.xxhash64(x, "node")))
+    monkeypatch.setattr(jaccard, "with_bands", lambda _: lone)
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
 def test_bounds_lose_no_similar_sets():
     """Sets at the threshold and just below, from one value to many more than there are bits."""
     r, passed = np.random.default_rng(4), 0

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands give candidates, exact sets settle them."""
+"""Near-duplicates by the Jaccard similarity of word shingles: balls of SimHash fingerprints give candidates, MinHash bands those that lie farther apart, exact sets settle them."""
 
 from __future__ import annotations
 
@@ -10,10 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import connected_components, settled, text_key, unused
 
 #: Words of a shingle; least similarity of two sets, as a fraction, so that it is compared in whole numbers.
 WORDS, SIMILAR = 5, (4, 5)
+#: Bits by which the SimHash fingerprints of candidates differ at most. Many pairs at the similarity differ in more; bands find these.
+RADIUS = 4
 #: Bands of so many minima each: of pairs at the similarity one in 150,000 shares no band, (1 - 0.8 ** 5) ** 30.
 BANDS, MINIMA = 30, 5
 #: Bits of a set's parities. Where two sets' bits differ, the sets differ, so they bound the similarity and lose no pair; sets of well over BITS shingles pass unhindered.
@@ -61,6 +64,14 @@ def minima(of: np.ndarray) -> np.ndarray:
     return low
 
 
+def fingerprint(of: np.ndarray) -> int:
+    """64-bit SimHash of the set, as a signed number: a bit is 1 if set in over half the values; 0 of an empty set."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(of), STEP):
+        counts += np.unpackbits(of[at : at + STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(of), bitorder="little").view("<i8")[0])
+
+
 def parities(of: np.ndarray) -> bytes:
     """BITS bits, each whether an odd number of the set's values fall to it."""
     return np.packbits(np.bincount((of & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
@@ -82,24 +93,25 @@ def _identity(of: np.ndarray) -> int:
 
 
 def with_bands(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, node, bands, n, bits) of every row of `docs`: node stands for the set, equal sets have one; n is its size, bits are its parities; a null text has no words."""
+    """(doc_id, text_key, node, fp, bands, n, bits) of every row of `docs`: node stands for the set, equal sets have one; fp is its fingerprint, n its size, bits are its parities; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, bands, sizes, bits = [], [], [], []
+            nodes, fps, bands, sizes, bits = [], [], [], [], []
             for x in batch.column(2):
                 own = shingles(x.as_py() or b"")
                 low = minima(own)
                 nodes.append(_identity(own))
+                fps.append(fingerprint(own))
                 keys = (low.astype(np.uint64).reshape(BANDS, MINIMA) * _BAND[:, :-1]).sum(axis=1, dtype=np.uint64) + _BAND[:, -1]
                 bands.append(_mixed(keys).view(np.int64))
                 sizes.append(len(own))
                 bits.append(parities(own))
             bands = pa.ListArray.from_arrays(np.arange(0, BANDS * len(nodes) + 1, BANDS, dtype=np.int32), np.concatenate(bands) if bands else np.empty(0, np.int64))
-            yield pa.record_batch([*batch.columns[:2], pa.array(nodes, pa.int64()), bands, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "text_key", "node", "bands", "n", "bits"])
+            yield pa.record_batch([*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), bands, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "text_key", "node", "fp", "bands", "n", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, bands array<long>, n long, bits binary")
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, fp long, bands array<long>, n long, bits binary")
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
@@ -156,6 +168,15 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def close(ids: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of `ids` (node, fp) that join all whose fingerprints are within RADIUS bits, by balls of fingerprints."""
+    first = settled(ids.groupBy("fp").agg(F.min("node").alias("first")))
+    same = ids.select("node", "fp").join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    links = simhash.links(first.select("fp"), RADIUS).withColumnsRenamed({"a": "x", "b": "y"})
+    left, right = (first.select(F.col("fp").alias(x), F.col("first").alias(c)) for x, c in (("x", "a"), ("y", "b")))
+    return same.union(links.join(left, "x").join(right, "y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+
+
 def compared(left: DataFrame) -> DataFrame:
     """Edges (a, b) that join different components with similar members, from `left` (bucket, node, component, n, bits, own, parts).
 
@@ -211,22 +232,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable; where all of a component's are null, it is null. component tells
     components apart even so.
 
-    Sets that share a band are candidates, and every candidate that is not joined otherwise is settled by the exact sets,
-    unless their sizes or parities prove that it is not similar. First each is held against one member of its bucket, another in each band,
+    Sets are candidates whose SimHash fingerprints meet in a ball, and sets that share a band of minima. The exact sets
+    settle every candidate that is not joined otherwise, unless sizes or parities prove that it is not similar. First
+    fingerprints' balls are taken, and each set is held against one member of its bucket, another in each band,
     which joins large groups without their pairs. Then members of a bucket that are still in different components are
     compared with one another, in the same task, so that no list of pairs is made.
     """
     rows = settled(with_bands(docs))
-    ids = settled(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    ids = settled(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     seen = ids.select("node", F.posexplode("bands").alias("band", "bucket"))
     order = F.xxhash64(F.pmod("band", F.lit(LEADS)), "node")  # so that members of a large group meet few leads
     lead = seen.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "node")).alias("low"), F.count("*").alias("n")).where("n > 1")
     seen = seen.drop("band")
     shared = settled(seen.join(lead.select("bucket", F.col("low.node").alias("lead")), "bucket"))
 
-    stars = shared.where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-    own = sets_of(shared.select("node").distinct(), docs, ids)  # once, as this sends the texts
-    near = settled(verified(settled(alike(stars, ids)), own))
+    stars = shared.where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b"))
+    some = settled(alike(stars.union(close(ids)).distinct(), ids))
+    own = sets_of(shared.select("node").union(some.select(F.explode(F.array("a", "b")))).distinct(), docs, ids)  # once, as this sends the texts
+    near = settled(verified(some, own))
     comps = settled(connected_components(near))
 
     apart = shared.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
