@@ -4,6 +4,7 @@ import struct
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,93 @@ def test_subscriptions_change_between_batches(spark, rocks, tmp_path):
     t = landed(spark, ticks, "broker string, symbol string, seq long, price double, ts timestamp", tmp_path / "t")
     got = run(ordered.routed_stream(t, a, "60 seconds", 3), tmp_path)
     assert sorted((r.client, r.seq, r.price) for r in got.collect()) == [("c1", 1, 1.0), ("c1", 2, 2.0), ("c1", 9, 0.0), ("c2", 5, 5.0), ("c2", 6, 6.0), ("c2", 9, 0.0)]
+
+
+def test_gate_deals_boards_over_few_keys(spark, rocks, tmp_path):
+    """Many boards in a few keys of the state give what each board by itself gives, in order of microseconds."""
+    schema = "board string, seq long, version long, payload string, ts timestamp"
+    rows = [(None if k % 50 == 7 else f"b{k % 50}", k, k * k % 4, "p", 30 + k / 7 + 0.0002 * (k % 3)) for k in range(600)]
+    batches = [rows[100:400:2], rows[:100] + rows[101:400:2], rows[400:], [("~", 0, 1, "", 500)], [("~", 0, 1, "", 600)], [("~", 0, 1, "", 700)]]
+    got = run(ordered.gate_stream(landed(spark, batches, schema, tmp_path / "in"), "60 seconds", 86400, 4), tmp_path).where("board is null or board <> '~'")
+    want, last = [], {}
+    for board, seq, version, payload, _ in sorted(rows, key=lambda r: r[4]):
+        if version != last.get(board, 0):
+            want.append((board, seq, version, payload))
+        last[board] = version
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    for name in ("last", "index"):
+        assert spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "ck")).count() <= 4
+
+
+class Kept:
+    """State variables in a dict, with the calls that are made to them."""
+
+    def __init__(self):
+        self.of, self.calls, self.timers = {}, 0, set()
+
+    def variable(self, name):
+        def at(key=()):
+            self.calls += 1
+            return self.of.setdefault(name, {}), key
+
+        class Variable:
+            def get(_):
+                of, key = at()
+                return of.get(key)
+
+            def update(_, value):
+                of, key = at()
+                of[key] = value
+
+            def clear(_):
+                at()[0].clear()
+
+            def getValue(_, key):
+                return at(key)[0].get(key)
+
+            def updateValue(_, key, value):
+                at(key)[0][key] = value
+
+            def removeKey(_, key):
+                del at(key)[0][key]
+
+            def keys(_):
+                return iter([*at()[0]])
+
+        return Variable()
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.variable(name)
+
+    getValueState = getMapState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_state_is_called_by_pieces(monkeypatch):
+    """Calls to the state don't grow with rows or boards, and what the watermark hasn't reached is neither read nor written again."""
+    monkeypatch.setattr(ordered, "PIECE", 1000)
+    kept, gate = Kept(), ordered.VersionGate(10_000_000)
+    gate.init(kept)
+    rows = pd.DataFrame({"board": [f"b{k % 700}" for k in range(5000)], "at": [k * 1000 for k in range(5000)], "seq": range(5000), "version": [k // 700 % 2 + 1 for k in range(5000)], "payload": "x"})
+    assert not list(gate.handleInputRows((0,), iter([rows[::2], rows[1::2]]), None))
+    assert kept.calls == 5 + 2 and kept.timers == {0}
+    before = dict(kept.of["held"])
+    kept.timers.remove(0)
+    first = pd.concat(gate.handleExpiredTimer((0,), At(1500), At(0)))
+    assert list(first["seq"].sort_values()) == list(range(1501)) and kept.calls <= 20 and kept.timers == {1501}
+    assert [k for k, v in kept.of["held"].items() if before.get(k) == v] == [(2,), (3,), (4,)]
+    kept.timers.remove(1501)
+    rest = pd.concat(gate.handleExpiredTimer((0,), At(9000), At(1501)))
+    assert list(rest["seq"].sort_values()) == list(range(1501, 5000)) and not kept.of["held"] and kept.calls <= 40
+    assert min(kept.timers) == 4300 + 10_000_000 + 1  # the board that is idle first
+    assert list(gate.handleExpiredTimer((0,), At(20_000_000), At(10_004_301))) == [] and not kept.of["last"] and not kept.of["index"]

@@ -13,6 +13,8 @@ from ..views import HISTORY_ORDER, TICKS, candles_sql
 from .registry import query
 
 RANGES = 8
+#: Keys of the state over which boards are dealt.
+BOARD_BUCKETS = 256
 
 
 def in_order(rows: DataFrame, by: str, write) -> None:
@@ -97,10 +99,10 @@ def st_last_price(spark, d):
     return g.select("broker", "symbol", "x.price", "x.timestamp")
 
 
-def messages(spark, d) -> DataFrame:
+def messages(spark, d, *more) -> DataFrame:
     e = views.table(spark, d, "events")
     version = F.floor(F.col("event_id") / 3) % 5 + 1
-    return e.select(F.col("user_id").cast("string").alias("board"), F.col("event_id").alias("seq"), version.alias("version"), F.col("event_type").alias("payload"))
+    return e.select(F.col("user_id").cast("string").alias("board"), F.col("event_id").alias("seq"), version.alias("version"), F.col("event_type").alias("payload"), *more)
 
 
 CHANGED = """SELECT board, seq, version, payload FROM (SELECT *, coalesce(lag(version) OVER (PARTITION BY board ORDER BY seq), 0) AS b
@@ -141,11 +143,10 @@ def of_schema(spark, path: str, rows: DataFrame) -> DataFrame:
 def st_version_gate(spark, d):
     """Messages that land a batch or more behind later ones."""
     path = scratch(spark, "boards")
-    at = views.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
-    rows = messages(spark, d).join(at, "seq")
+    rows = messages(spark, d, F.col("ts").cast("timestamp").alias("ts"))
     end = spark.createDataFrame([("~end", -1, 1, "")], "board string, seq long, version long, payload string")
     landed_late(rows, path, end)
-    passed = ordered.gate_stream(of_schema(spark, path, rows), "7 days", 365 * 86400)
+    passed = ordered.gate_stream(of_schema(spark, path, rows), "7 days", 365 * 86400, BOARD_BUCKETS)
     return stateful(passed, "gate").where("board <> '~end'")
 
 

@@ -2,145 +2,227 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Rows of a piece that is held, and of what is given on at once.
+PIECE, OUT = 16_384, 262_144
+#: Whole numbers stay exact beside nulls.
+WHOLE = {pa.int64(): pd.Int64Dtype()}
+ROUTED = ["broker", "symbol", "client", "seq", "timestamp", "price"]
+
+
+def packed(rows: pa.Table) -> bytes:
+    """`rows` for a state variable."""
+    return b"".join(b.serialize().to_pybytes() for b in rows.combine_chunks().to_batches()[:1])
+
+
+def unpacked(rows: bytes, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(rows), schema)] if rows else [], schema)
+
 
 class InOrder(StatefulProcessor):
-    """Keeps a key's rows until the watermark reaches them, and hands them on by `order`. A timer waits for the earliest row that is held.
+    """Keeps a key's rows until the watermark reaches them, and hands them on. A timer waits for the earliest row that is held.
 
-    Rows that come after the watermark has passed their time are dropped by Spark.
+    Rows are held as Arrow batches, pieces of up to PIECE rows by time. A row is written when it comes, read once its piece
+    begins before the watermark, and written again only where the piece ends behind it; calls to the state count by pieces,
+    not by rows. Rows have their time, in microseconds, in `at`. Those that come after the watermark has passed their time
+    are dropped by Spark.
     """
 
-    fields = ""
-    order: tuple[str, ...] = ("at",)
+    schema = pa.schema([])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.names = [f.split()[0] for f in self.fields.split(", ")]
-        self.held = handle.getListState("held", self.fields)
-        self.due = handle.getValueState("due", "at long")
-
-    def wait(self, at: int) -> None:
-        """A timer for `at`, unless there is an earlier one."""
-        if self.due.exists():
-            now = self.due.get()[0]
-            if now <= at:
-                return
-            self.handle.deleteTimer(now)
-        self.handle.registerTimer(at)
-        self.due.update((at,))
+        self.held = handle.getMapState("held", "piece long", "rows binary")
+        self.index = handle.getValueState("index", "due long, pieces binary")
+
+    def known(self) -> tuple[int | None, np.ndarray]:
+        """The timer that is set, and the first time and number of each piece."""
+        due, pieces = self.index.get() or (None, b"")
+        return due, np.frombuffer(pieces, "int64").reshape(-1, 2)
+
+    def wait(self, before: int | None, due: int | None, pieces: np.ndarray) -> None:
+        """Sets the timer for `due` in place of that for `before`."""
+        if before is not None and before != due:
+            self.handle.deleteTimer(before)
+        if due is None:
+            self.index.clear()
+            return
+        if before != due:
+            self.handle.registerTimer(due)
+        self.index.update((due, pieces.tobytes()))
+
+    def hold(self, rows: pa.Table, pieces: np.ndarray) -> np.ndarray:
+        """Writes `rows` as further pieces."""
+        rows = rows.sort_by("at")
+        begins, free = range(0, len(rows), PIECE), int(pieces[:, 1].max(initial=-1)) + 1
+        for k, i in enumerate(begins):
+            self.held.updateValue((free + k,), (packed(rows.slice(i, PIECE)),))
+        more = [(rows["at"][i].as_py(), free + k) for k, i in enumerate(begins)]
+        return np.concatenate([pieces, np.array(more, "int64").reshape(-1, 2)])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for b in rows:
-            if len(b):
-                b = b.assign(at=b["ts"].astype("datetime64[ms]").astype("int64"))
-                self.held.appendList([tuple(None if pd.isna(x) else x for x in r) for r in b[self.names].itertuples(index=False, name=None)])
-                self.wait(int(b["at"].min()))
+        tables = [pa.Table.from_pandas(b[self.schema.names], self.schema, preserve_index=False) for b in rows if len(b)]
+        if tables:
+            before, pieces = self.known()
+            pieces = self.hold(pa.concat_tables(tables), pieces)
+            first = due_of(pieces)
+            self.wait(before, first if before is None else min(before, first), pieces)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        if self.due.exists() and self.due.get()[0] <= passed:
-            self.due.clear()
-        rows = [dict(zip(self.names, r)) for r in self.held.get()] if self.held.exists() else []
-        ready = sorted((r for r in rows if r["at"] <= passed), key=lambda r: tuple(r[c] for c in self.order))
-        later = [r for r in rows if r["at"] > passed]
-        if ready:
-            self.held.clear()
-            if later:
-                self.held.put([tuple(r[c] for c in self.names) for r in later])
-        if later:
-            self.wait(min(r["at"] for r in later))
-        out = self.take(key, ready, passed)
-        return iter([out] if out is not None and len(out) else [])
-
-    def take(self, key, rows: list[dict], passed: int) -> pd.DataFrame | None:
-        """What rows in order give; `passed` is the time up to which all are known."""
+        before, pieces = self.known()
+        before = None if before is not None and before <= passed else before
+        begun = pieces[:, 0] <= passed * 1000
+        tables = []
+        for n in pieces[begun, 1].tolist():
+            tables.append(unpacked(self.held.getValue((n,))[0], self.schema))
+            self.held.removeKey((n,))
+        pieces, rows = pieces[~begun], pa.concat_tables([self.schema.empty_table(), *tables])
+        ready = rows["at"].to_numpy() <= passed * 1000
+        if not ready.all():
+            pieces = self.hold(rows.filter(pa.array(~ready)), pieces)
+        out, idle = self.take(key, rows.filter(pa.array(ready)).to_pandas(types_mapper=WHOLE.get), passed)
+        due = [d for d in (due_of(pieces) if len(pieces) else None, idle) if d is not None]
+        self.wait(before, min(due, default=None), pieces)
+        return out
+
+    def take(self, key, rows: pd.DataFrame, passed: int) -> tuple[Iterator[pd.DataFrame], int | None]:
+        """What rows in no order give, and when, in milliseconds, the key is to be woken without a further row; `passed` is the time up to which all are known."""
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+def due_of(pieces: np.ndarray) -> int:
+    """The millisecond by which the first row of `pieces` has passed."""
+    return -int(-pieces[:, 0].min() // 1000)
+
+
 class VersionGate(InOrder):
-    """Passes a board's message when its version differs from the last one's, 0 at first and after `idle` milliseconds without a message; an idle board leaves the state."""
+    """Passes a board's message when its version differs from the last one's, 0 at first and after `idle` milliseconds without a message; an idle board leaves the state. A key has any boards."""
 
-    fields = "at long, seq long, version long, payload string"
-    order = ("at", "seq")
+    schema = pa.schema([("board", pa.string()), ("at", pa.int64()), ("seq", pa.int64()), ("version", pa.int64()), ("payload", pa.string())])
 
     def __init__(self, idle: int):
-        self.idle = idle
+        self.idle = idle * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("last", "version long, at long")
+        self.last = handle.getValueState("last", "boards binary")
 
     def take(self, key, rows, passed):
-        version, at = self.last.get() if self.last.exists() else (0, None)
-        out = []
-        for r in rows:
-            if at is not None and r["at"] - at > self.idle:
-                version = 0
-            if r["version"] != version:
-                out.append((key[0], r["seq"], r["version"], r["payload"]))
-            version, at = r["version"], r["at"]
-        if at is not None:
-            if passed > at + self.idle and not self.due.exists():
-                self.last.clear()
-            else:
-                self.last.update((version, at))
-                if not self.due.exists():
-                    self.wait(at + self.idle + 1)
-        return pd.DataFrame(out, columns=["board", "seq", "version", "payload"])
+        kept = pa.schema([self.schema.field(c) for c in ("board", "at", "version")])
+        last = unpacked((self.last.get() or (b"",))[0], kept)
+        before = last.to_pandas(types_mapper=WHOLE.get).assign(seq=-1, payload=None).astype({"seq": "Int64"})
+        both = pd.concat([before, rows], ignore_index=True)
+        board, _ = pd.factorize(both["board"], use_na_sentinel=False)
+        at = both["at"].to_numpy("int64")
+        order = np.lexsort((both["seq"].fillna(-1).to_numpy("int64"), at, board))
+        both, board, at, version = both.iloc[order], board[order], at[order], both["version"].iloc[order]
+        known = np.r_[False, (board[1:] == board[:-1]) & (np.diff(at) <= self.idle)][: len(at)]
+        differs = (version != version.shift().where(known, 0).fillna(0)).fillna(False).to_numpy(bool)
+        out = both[differs & (order >= len(last))]
+        state = both[np.r_[board[1:] != board[:-1], True][: len(at)] & (at + self.idle >= passed * 1000)]
+        if len(state):
+            self.last.update((packed(pa.Table.from_pandas(state[kept.names], kept, preserve_index=False)),))
+        elif len(last):
+            self.last.clear()
+        idle = int(state["at"].min() + self.idle) // 1000 + 1 if len(state) else None
+        out = out[["board", "seq", "version", "payload"]]
+        return (out.iloc[i : i + OUT] for i in range(0, len(out), OUT)), idle
 
 
 class Router(InOrder):
-    """Gives each tick of a broker's symbol to the clients that are subscribed at its time; an action counts before a tick of the same time."""
+    """Gives each tick of a broker's symbol to the clients that are subscribed at its time; an action counts before a tick of the same time.
+
+    `action` is 1 to subscribe, 0 to unsubscribe, negative for others and null for ticks. A client's ticks come in arrays.
+    """
 
-    fields = "at long, kind long, seq long, client string, action string, price double"
-    order = ("at", "kind", "seq")
+    schema = pa.schema([("at", pa.int64()), ("seq", pa.int64()), ("client", pa.string()), ("action", pa.int64()), ("price", pa.float64())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.clients = handle.getMapState("clients", "client string", "since long")
 
     def take(self, key, rows, passed):
-        now = {k[0] for k in self.clients.keys()} if self.clients.exists() else set()
-        out = []
-        for r in rows:
-            if r["kind"]:
-                out.extend((key[0], key[1], c, r["seq"], r["at"], r["price"]) for c in sorted(now))
-            elif r["action"] == "subscribe" and r["client"] not in now:
-                now.add(r["client"])
-                self.clients.updateValue((r["client"],), (r["at"],))
-            elif r["action"] == "unsubscribe" and r["client"] in now:
-                now.discard(r["client"])
-                self.clients.removeKey((r["client"],))
-        return pd.DataFrame(out, columns=["broker", "symbol", "client", "seq", "timestamp", "price"])
-
-
-def gate_stream(messages: DataFrame, late: str = "1 minute", idle: int = 86400) -> DataFrame:
+        rows = rows.sort_values(["at", "seq"], kind="stable", ignore_index=True)
+        ticks, actions = rows[rows["action"].isna()], rows[rows["action"].fillna(-1) >= 0]
+        now = [k[0] for k in self.clients.keys()]
+        # who is subscribed so far counts as an action before all others
+        client, names = pd.factorize(np.array([*now, *actions["client"]], object), use_na_sentinel=False)
+        at = np.r_[np.full(len(now), np.iinfo("int64").min), actions["at"].to_numpy("int64")]
+        on = np.r_[np.ones(len(now), bool), actions["action"].to_numpy("int64") == 1]
+        order = np.argsort(client, kind="stable")
+        client, at, on = client[order], at[order], on[order]
+        last = np.r_[client[1:] != client[:-1], True][: len(client)]
+        were = set(now)
+        for c, t, subscribed in zip(names[client[last]], at[last].tolist(), on[last]):
+            if subscribed and c not in were:
+                self.clients.updateValue((c,), (t,))
+            elif not subscribed and c in were:
+                self.clients.removeKey((c,))
+        # an action holds for the ticks from its time up to the client's next action
+        begin = np.searchsorted(ticks["at"].to_numpy("int64"), at, "left")
+        end = np.where(last, len(ticks), np.r_[begin[1:], 0][: len(begin)])
+        return given(key[:2], ticks, names, client, begin, np.where(on, end - begin, 0)), None
+
+
+def given(key: Sequence, ticks: pd.DataFrame, names: Sequence, client: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Spans of `ticks`, each of a client and by client, as arrays of PIECE ticks at most."""
+    seq = ticks["seq"].to_numpy(object, na_value=None) if ticks["seq"].hasnans else ticks["seq"].to_numpy("int64")
+    columns = [seq, ticks["at"].to_numpy("int64") // 1000, ticks["price"].to_numpy("float64")]
+    first = np.flatnonzero(np.r_[True, client[1:] != client[:-1]][: len(client)]).tolist()
+    made, size = [], 0
+    for i, j in zip(first, [*first[1:], len(client)]):
+        n = length[i:j]
+        at = np.repeat(begin[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for k in range(0, len(at), PIECE):
+            part = at[k : k + PIECE]
+            made.append((*key, names[client[i]], *(c[part] for c in columns)))
+            size += len(part)
+            if size >= OUT:
+                yield pd.DataFrame(made, columns=ROUTED)
+                made, size = [], 0
+    if made:
+        yield pd.DataFrame(made, columns=ROUTED)
+
+
+def micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def gate_stream(messages: DataFrame, late: str = "1 minute", idle: int = 86400, buckets: int = 0) -> DataFrame:
     """Messages (board, seq, version, payload, ts) of a stream that bring a new version, in order of ts and seq across all batches.
 
     A message waits until none of its time can come any more, `late` behind the newest. A board without a message for `idle`
-    seconds begins anew at version 0.
+    seconds begins anew at version 0. Many boards are dealt over `buckets` keys of the state, as a batch costs calls for each
+    key; with 0 each board is one.
     """
-    rows = messages.withWatermark("ts", late)
-    return rows.groupBy("board").transformWithStateInPandas(VersionGate(idle * 1000), "board string, seq long, version long, payload string", "Append", "EventTime")
+    rows = messages.select("board", "seq", "version", "payload", "ts", micros("ts").alias("at")).withWatermark("ts", late)
+    if buckets:
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("board"), F.lit(buckets)))
+    return rows.groupBy("bucket" if buckets else "board").transformWithStateInPandas(VersionGate(idle * 1000), "board string, seq long, version long, payload string", "Append", "EventTime")
 
 
 def routed_stream(ticks: DataFrame, actions: DataFrame, late: str = "1 minute", buckets: int = 1) -> DataFrame:
     """A row (broker, symbol, client, seq, timestamp, price) for each tick (broker, symbol, seq, price, ts) and each client that is subscribed at its time by `actions` (client, broker, symbol, action, seq, ts); both are streams.
 
-    Clients of a symbol are dealt over `buckets`, and its ticks go to each, so that a symbol that all want isn't one key.
+    Times are compared in microseconds; `timestamp` is in milliseconds. Clients of a symbol are dealt over `buckets`, and its
+    ticks go to each, so that a symbol that all want isn't one key.
     """
-    none = F.lit(None).cast("string")
-    a = actions.select("broker", "symbol", F.pmod(F.xxhash64("client"), F.lit(buckets)).alias("bucket"), "ts", F.lit(0).cast("long").alias("kind"), "seq", "client", "action", F.lit(None).cast("double").alias("price"))
-    t = ticks.select("broker", "symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"), "ts", F.lit(1).cast("long"), "seq", none, none, "price")
+    does = F.when(F.col("action") == "subscribe", 1).when(F.col("action") == "unsubscribe", 0).otherwise(-1).cast("long")
+    a = actions.select("broker", "symbol", F.pmod(F.xxhash64("client"), F.lit(buckets)).alias("bucket"), "ts", micros("ts").alias("at"), "seq", "client", does.alias("action"), F.lit(None).cast("double").alias("price"))
+    t = ticks.select("broker", "symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"), "ts", micros("ts"), "seq", F.lit(None).cast("string"), F.lit(None).cast("long"), "price")
     rows = a.union(t).withWatermark("ts", late).groupBy("broker", "symbol", "bucket")
-    return rows.transformWithStateInPandas(Router(), "broker string, symbol string, client string, seq long, timestamp long, price double", "Append", "EventTime")
+    spans = rows.transformWithStateInPandas(Router(), "broker string, symbol string, client string, seq array<long>, timestamp array<long>, price array<double>", "Append", "EventTime")
+    return spans.select("broker", "symbol", "client", F.inline(F.arrays_zip("seq", "timestamp", "price")))
