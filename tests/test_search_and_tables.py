@@ -69,3 +69,15 @@ def test_profile_from_sql(spark):
     for bad in ("volume_profile(TABLE(bars) PARTITION BY (symbol), 0)", "volume_profile(TABLE(SELECT symbol FROM bars) PARTITION BY (symbol), 3)"):
         with pytest.raises(PySparkException):
             spark.sql(f"SELECT * FROM {bad}").collect()
+
+
+def test_profile_from_sql_at_the_edges_of_levels(spark):
+    """Prices whose quotient by a level's width rounds to a level's edge, and bars without a price or volume."""
+    bars = [(f"s{k}", t, low / 100, low / 100, 1.0) for k in range(1, 40) for t, low in enumerate([0, *range(k, 10 * k, k), 10 * k])]
+    bars += [("n", 0, 1.0, 2.0, 3.0), ("n", 2, 1.5, None, 2.0), ("n", 3, 1.0, 1.2, None)]
+    spark.createDataFrame(bars, "symbol string, t long, l double, h double, v double").createOrReplaceTempView("edges")
+    profile.register_profile(spark)
+    got = spark.sql("SELECT * FROM volume_profile(TABLE(edges) PARTITION BY (symbol) ORDER BY (t), 10)")
+    want = profile.volume_profile(spark.table("edges"), 10)
+    plain = lambda df: sorted((r.symbol, r.level, round(r.price, 6), round(r.volume, 6) + 0.0) for r in df.collect())
+    assert plain(got) == plain(want)

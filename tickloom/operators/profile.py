@@ -188,7 +188,10 @@ class VolumeProfile:
         if not top > bottom:
             return
         width = (top - bottom) / self.levels
-        first, last = (np.minimum((x - bottom) // width, self.levels - 1).astype(int) for x in (low, high))
+        # a quotient that rounds up to a level's edge is that level, as in SQL (numpy's // takes the one below), and a bound that is missing is the last level
+        first, last = (np.fmin(np.floor((x - bottom) / width), self.levels - 1).astype(int) for x in (low, high))
+        there = (first <= last) & ~np.isnan(volume)
+        first, last, volume = first[there], last[there], volume[there]
         each = volume / (last - first + 1)
         steps = np.bincount(first, each, self.levels + 1) - np.bincount(last + 1, each, self.levels + 1)
         for k, v in enumerate(np.cumsum(steps)[: self.levels]):
