@@ -339,6 +339,17 @@ def test_console_and_discard(spark):
     tables.console(rows, "row: ", 3)
 
 
+def test_ingest_takes_batches_in_any_order(spark):
+    """Of events of one time the greater id counts, though it comes a batch earlier; a null price is a price."""
+    kinds = "product_id long, buy double, sell double, ts long, id long"
+    rows = [(1, 1.0, 2.0, 5, 9), (1, 3.0, 4.0, 5, 8), (1, 3.0, 4.0, 6, 1), (1, 8.0, 8.0, 4, 99), (2, 1.0, 1.0, 3, 1), (2, None, 1.0, 4, 1), (2, 7.0, 7.0, 4, 0)]
+    for order in ([0, 1, 2, 3, 4, 5, 6], [6, 5, 4, 3, 2, 1, 0], [2, 0, 5, 6, 3, 1, 4]):
+        current = spark.createDataFrame([], "product_id long, buy double, sell double, ts long, last_ts long, last_id long")
+        for k in order:
+            current = spark.createDataFrame(prices.ingest(current, spark.createDataFrame([rows[k]], kinds)).collect(), current.schema)
+        assert sorted((r.product_id, r.buy, r.sell, r.last_ts, r.last_id) for r in current.collect()) == [(1, 3.0, 4.0, 6, 1), (2, None, 1.0, 4, 1)]
+
+
 def test_upsert_keeps_rows_that_tie(spark):
     target = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, name string, kind string")
     batch = spark.createDataFrame([(2, "one", "z", 2), (2, "two", "w", 2), (2, "old", "z", 1)], "id long, name string, kind string, seq long")

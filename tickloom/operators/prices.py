@@ -107,12 +107,21 @@ def changes(history: DataFrame) -> DataFrame:
 
 
 def ingest(current: DataFrame, events: DataFrame) -> DataFrame:
-    """`current` (product_id, buy, sell, ts) after `events` of the same columns and id: the last of each product; `ts` moves only with a price."""
-    last = events.groupBy("product_id").agg(F.max_by(F.struct("buy", "sell", "ts"), F.struct(*ORDER)).alias("e"))
-    both = current.join(last, "product_id", "full_outer")
-    moved = F.col("buy").isNull() | (F.col("e.buy") != F.col("buy")) | (F.col("e.sell") != F.col("sell"))
-    take = lambda c: F.when(F.col("e").isNotNull() & moved, F.col(f"e.{c}")).otherwise(F.col(c)).alias(c)
-    return both.select("product_id", take("buy"), take("sell"), take("ts"))
+    """`current` (product_id, buy, sell, ts) after `events` of the same columns and id: the last of each product; `ts` moves only with a price.
+
+    Where `current` has the last event's time and id as well (last_ts, last_id), an event before it changes nothing, so
+    batches may come in any order.
+    """
+    last = events.groupBy("product_id").agg(F.max_by(F.struct("buy", "sell", "ts", "id"), F.struct(*ORDER)).alias("e"))
+    both = current.withColumn("__there", F.lit(True)).join(last, "product_id", "full_outer")
+    new, ordered = F.col("__there").isNull(), {"last_ts", "last_id"} <= set(current.columns)
+    at = lambda *c: F.struct(*(F.col(x) for x in c))
+    later = new | (at("e.ts", "e.id", "e.buy", "e.sell") > at("last_ts", "last_id", "buy", "sell")) if ordered else F.lit(True)
+    later &= F.col("e").isNotNull()
+    moved = later & (new | ~F.col("e.buy").eqNullSafe(F.col("buy")) | ~F.col("e.sell").eqNullSafe(F.col("sell")))
+    take = lambda c, e, when: F.when(when, F.col(f"e.{e}")).otherwise(F.col(c)).alias(c)
+    seen = [take("last_ts", "ts", later), take("last_id", "id", later)] if ordered else []
+    return both.select("product_id", *(take(c, c, moved) for c in ("buy", "sell", "ts")), *seen)
 
 
 def store_documents(stores: DataFrame, locations: DataFrame, bridge: DataFrame, current: DataFrame) -> DataFrame:

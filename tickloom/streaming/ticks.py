@@ -114,7 +114,8 @@ def fan_out(sinks: Mapping[str, Callable[[DataFrame, int], None]]) -> Callable[[
 
 def price_ingest(current: str, history: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: batches of events (product_id, buy, sell, ts, id) go to `history`, by epoch and month, and into the
-    snapshot below `current`, of which only the buckets of their products are rewritten. A batch that comes again replaces
+    snapshot below `current`, of which only the buckets of their products are rewritten; an event before a product's last one
+    by ts and id changes nothing there, in whatever batch it comes. A batch that comes again replaces
     what it wrote in the history and changes nothing in the snapshot."""
 
     def run(batch: DataFrame, epoch: int) -> None:
@@ -131,7 +132,7 @@ def price_ingest(current: str, history: str) -> Callable[[DataFrame, int], None]
 
 def prices_of(spark: SparkSession, current: str) -> Snapshot:
     """The snapshot of current prices that price_ingest() keeps."""
-    return Snapshot(spark, current, "product_id long, buy double, sell double, ts long", ["product_id"])
+    return Snapshot(spark, current, "product_id long, buy double, sell double, ts long, last_ts long, last_id long", ["product_id"])
 
 
 def finish(query: StreamingQuery) -> None:
