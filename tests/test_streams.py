@@ -5,6 +5,7 @@ from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,7 +178,8 @@ def test_state_is_called_by_pieces(monkeypatch):
     kept, gate = Kept(), ordered.VersionGate(10_000_000)
     gate.init(kept)
     rows = pd.DataFrame({"board": [f"b{k % 700}" for k in range(5000)], "at": [k * 1000 for k in range(5000)], "seq": range(5000), "version": [k // 700 % 2 + 1 for k in range(5000)], "payload": "x"})
-    assert not list(gate.handleInputRows((0,), iter([rows[::2], rows[1::2]]), None))
+    come = [ordered.pieces_of([pa.RecordBatch.from_pandas(b.assign(bucket=0), preserve_index=False)], ["bucket"], gate.schema) for b in (rows[::2], rows[1::2])]
+    assert not list(gate.handleInputRows((0,), (b.to_pandas() for pieces in come for b in pieces), None))
     assert kept.calls == 5 + 2 and kept.timers == {0}
     before = dict(kept.of["held"])
     kept.timers.remove(0)
@@ -189,3 +191,14 @@ def test_state_is_called_by_pieces(monkeypatch):
     assert list(rest["seq"].sort_values()) == list(range(1501, 5000)) and not kept.of["held"] and kept.calls <= 40
     assert min(kept.timers) == 4300 + 10_000_000 + 1  # the board that is idle first
     assert list(gate.handleExpiredTimer((0,), At(20_000_000), At(10_004_301))) == [] and not kept.of["last"] and not kept.of["index"]
+
+
+def test_actions_and_ticks_of_one_millisecond(spark, rocks, tmp_path):
+    """What happens within a millisecond is told apart, whatever batch it comes in; an action counts before a tick of its microsecond."""
+    u = 1e-6
+    actions = [[("c1", "s", "A", "subscribe", 2, 10 + 200 * u), ("c2", "s", "A", "subscribe", 1, 10 + 100 * u)], [("c1", "s", "A", "unsubscribe", 4, 10 + 400 * u)]]
+    ticks = [[("s", "A", 4, 4.0, 10 + 400 * u), ("s", "A", 1, 1.0, 10 + 100 * u)], [("s", "A", 2, 2.0, 10 + 199 * u), ("s", "A", 3, 3.0, 10 + 399 * u)], [("s", "~", 9, 0.0, 20000)], [("s", "~", 9, 0.0, 30000)]]
+    a = landed(spark, actions, "client string, broker string, symbol string, action string, seq long, ts timestamp", tmp_path / "a")
+    t = landed(spark, ticks, "broker string, symbol string, seq long, price double, ts timestamp", tmp_path / "t")
+    got = run(ordered.routed_stream(t, a, "60 seconds", 2), tmp_path)
+    assert sorted((r.client, r.seq, r.price) for r in got.collect()) == [("c1", 3, 3.0), ("c2", 1, 1.0), ("c2", 2, 2.0), ("c2", 3, 3.0), ("c2", 4, 4.0)]

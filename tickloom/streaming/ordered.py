@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Rows of a piece that is held, and of what is given on at once.
-PIECE, OUT = 16_384, 262_144
+#: Rows of a piece that is held, of what is given on at once, and of what a task packs at once.
+PIECE, OUT, PACK = 16_384, 262_144, 262_144
 #: Whole numbers stay exact beside nulls.
 WHOLE = {pa.int64(): pd.Int64Dtype()}
 ROUTED = ["broker", "symbol", "client", "seq", "timestamp", "price"]
@@ -27,13 +27,44 @@ def unpacked(rows: bytes, schema: pa.Schema) -> pa.Table:
     return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(rows), schema)] if rows else [], schema)
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], keys: Sequence[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows (keys, columns of `schema`) packed by key, as keys, at (of the last) and rows. Those without a time are left out, as Spark drops them."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= PACK:
+            yield _pieces(pa.Table.from_batches(held), keys, schema)
+            held, n = [], 0
+    if n:
+        yield _pieces(pa.Table.from_batches(held), keys, schema)
+
+
+def _pieces(rows: pa.Table, keys: Sequence[str], schema: pa.Schema) -> pa.RecordBatch:
+    rows = rows.filter(rows["at"].is_valid()).combine_chunks()
+    group = np.zeros(len(rows), "int64")
+    for k in keys:
+        code, names = pd.factorize(rows[k].to_pandas(), use_na_sentinel=False)
+        group = group * len(names) + code
+    at = rows["at"].to_numpy()
+    order = np.lexsort((at, group))
+    rows, at, group = rows.take(pa.array(order)), at[order], group[order]
+    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+    ends = [*begins[1:].tolist(), len(group)]
+    cuts = [(i, min(i + PIECE, y)) for x, y in zip(begins.tolist(), ends) for i in range(x, y, PIECE)]
+    first = rows.select(list(keys)).take(pa.array([x for x, _ in cuts], pa.int64()))
+    columns = [*(first[k].combine_chunks() for k in keys), pa.array([int(at[y - 1]) for _, y in cuts], pa.int64())]
+    columns.append(pa.array([packed(rows.slice(x, y - x).select(schema.names).cast(schema)) for x, y in cuts], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, [*keys, "at", "rows"])
+
+
 class InOrder(StatefulProcessor):
     """Keeps a key's rows until the watermark reaches them, and hands them on. A timer waits for the earliest row that is held.
 
-    Rows are held as Arrow batches, pieces of up to PIECE rows by time. A row is written when it comes, read once its piece
-    begins before the watermark, and written again only where the piece ends behind it; calls to the state count by pieces,
-    not by rows. Rows have their time, in microseconds, in `at`. Those that come after the watermark has passed their time
-    are dropped by Spark.
+    Rows come packed (see in_order()) and are held as Arrow batches, pieces of up to PIECE rows by time. A row is written
+    when it comes, read once its piece begins before the watermark, and written again only where the piece ends behind it;
+    Spark's way into Python and calls to the state count by pieces, not by rows. Rows have their time, in microseconds, in
+    `at`. Those that come after the watermark has passed their time are dropped, by Spark where all of a piece are.
     """
 
     schema = pa.schema([])
@@ -41,23 +72,20 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getMapState("held", "piece long", "rows binary")
-        self.index = handle.getValueState("index", "due long, pieces binary")
+        self.index = handle.getValueState("index", "due long, passed long, pieces binary")
 
-    def known(self) -> tuple[int | None, np.ndarray]:
-        """The timer that is set, and the first time and number of each piece."""
-        due, pieces = self.index.get() or (None, b"")
-        return due, np.frombuffer(pieces, "int64").reshape(-1, 2)
+    def known(self) -> tuple[int | None, int | None, np.ndarray]:
+        """The timer that is set, the time up to which rows were handed on, and the first time and number of each piece."""
+        due, passed, pieces = self.index.get() or (None, None, b"")
+        return due, passed, np.frombuffer(pieces, "int64").reshape(-1, 2)
 
-    def wait(self, before: int | None, due: int | None, pieces: np.ndarray) -> None:
+    def wait(self, before: int | None, due: int | None, passed: int | None, pieces: np.ndarray) -> None:
         """Sets the timer for `due` in place of that for `before`."""
         if before is not None and before != due:
             self.handle.deleteTimer(before)
-        if due is None:
-            self.index.clear()
-            return
-        if before != due:
+        if due is not None and before != due:
             self.handle.registerTimer(due)
-        self.index.update((due, pieces.tobytes()))
+        self.index.update((due, passed, pieces.tobytes()))
 
     def hold(self, rows: pa.Table, pieces: np.ndarray) -> np.ndarray:
         """Writes `rows` as further pieces."""
@@ -69,17 +97,19 @@ class InOrder(StatefulProcessor):
         return np.concatenate([pieces, np.array(more, "int64").reshape(-1, 2)])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        tables = [pa.Table.from_pandas(b[self.schema.names], self.schema, preserve_index=False) for b in rows if len(b)]
-        if tables:
-            before, pieces = self.known()
-            pieces = self.hold(pa.concat_tables(tables), pieces)
+        before, passed, pieces = self.known()
+        new = pa.concat_tables([self.schema.empty_table(), *(unpacked(x, self.schema) for b in rows for x in b["rows"])])
+        if passed is not None:
+            new = new.filter(pa.array(new["at"].to_numpy() > passed * 1000))
+        if len(new):
+            pieces = self.hold(new, pieces)
             first = due_of(pieces)
-            self.wait(before, first if before is None else min(before, first), pieces)
+            self.wait(before, first if before is None else min(before, first), passed, pieces)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        before, pieces = self.known()
+        before, _, pieces = self.known()
         before = None if before is not None and before <= passed else before
         begun = pieces[:, 0] <= passed * 1000
         tables = []
@@ -90,13 +120,15 @@ class InOrder(StatefulProcessor):
         ready = rows["at"].to_numpy() <= passed * 1000
         if not ready.all():
             pieces = self.hold(rows.filter(pa.array(~ready)), pieces)
-        out, idle = self.take(key, rows.filter(pa.array(ready)).to_pandas(types_mapper=WHOLE.get), passed)
+        out, idle, kept = self.take(key, rows.filter(pa.array(ready)).to_pandas(types_mapper=WHOLE.get), passed)
         due = [d for d in (due_of(pieces) if len(pieces) else None, idle) if d is not None]
-        self.wait(before, min(due, default=None), pieces)
+        self.wait(before, min(due, default=None), passed, pieces)
+        if not due and not kept:
+            self.index.clear()
         return out
 
-    def take(self, key, rows: pd.DataFrame, passed: int) -> tuple[Iterator[pd.DataFrame], int | None]:
-        """What rows in no order give, and when, in milliseconds, the key is to be woken without a further row; `passed` is the time up to which all are known."""
+    def take(self, key, rows: pd.DataFrame, passed: int) -> tuple[Iterator[pd.DataFrame], int | None, bool]:
+        """What rows in no order give, when, in milliseconds, the key is to be woken without a further row, and whether it keeps a state; `passed` is the time up to which all are known."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -139,7 +171,7 @@ class VersionGate(InOrder):
             self.last.clear()
         idle = int(state["at"].min() + self.idle) // 1000 + 1 if len(state) else None
         out = out[["board", "seq", "version", "payload"]]
-        return (out.iloc[i : i + OUT] for i in range(0, len(out), OUT)), idle
+        return (out.iloc[i : i + OUT] for i in range(0, len(out), OUT)), idle, bool(len(state))
 
 
 class Router(InOrder):
@@ -174,7 +206,7 @@ class Router(InOrder):
         # an action holds for the ticks from its time up to the client's next action
         begin = np.searchsorted(ticks["at"].to_numpy("int64"), at, "left")
         end = np.where(last, len(ticks), np.r_[begin[1:], 0][: len(begin)])
-        return given(key[:2], ticks, names, client, begin, np.where(on, end - begin, 0)), None
+        return given(key[:2], ticks, names, client, begin, np.where(on, end - begin, 0)), None, bool(on[last].any())
 
 
 def given(key: Sequence, ticks: pd.DataFrame, names: Sequence, client: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -201,6 +233,19 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def in_order(rows: DataFrame, keys: Sequence[str], processor: InOrder, late: str, result: str) -> DataFrame:
+    """What `processor` makes of `rows` (keys, columns of its schema) with the watermark `late` behind.
+
+    Spark hands each row to a state processor as a Python object, so tasks pack their rows by key before they are dealt; a
+    piece has the time of its last row, so that the watermark is that of the rows.
+    """
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    schema = processor.schema
+    pieces = rows.mapInArrow(lambda batches: pieces_of(batches, keys, schema), f"{kinds}, at long, rows binary")
+    pieces = pieces.select(*keys, F.timestamp_micros("at").alias("ts"), "rows").withWatermark("ts", late)
+    return pieces.groupBy(*keys).transformWithStateInPandas(processor, result, "Append", "EventTime")
+
+
 def gate_stream(messages: DataFrame, late: str = "1 minute", idle: int = 86400, buckets: int = 0) -> DataFrame:
     """Messages (board, seq, version, payload, ts) of a stream that bring a new version, in order of ts and seq across all batches.
 
@@ -208,10 +253,10 @@ def gate_stream(messages: DataFrame, late: str = "1 minute", idle: int = 86400,
     seconds begins anew at version 0. Many boards are dealt over `buckets` keys of the state, as a batch costs calls for each
     key; with 0 each board is one.
     """
-    rows = messages.select("board", "seq", "version", "payload", "ts", micros("ts").alias("at")).withWatermark("ts", late)
+    rows = messages.select("board", micros("ts").alias("at"), "seq", "version", "payload")
     if buckets:
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("board"), F.lit(buckets)))
-    return rows.groupBy("bucket" if buckets else "board").transformWithStateInPandas(VersionGate(idle * 1000), "board string, seq long, version long, payload string", "Append", "EventTime")
+    return in_order(rows, ["bucket" if buckets else "board"], VersionGate(idle * 1000), late, "board string, seq long, version long, payload string")
 
 
 def routed_stream(ticks: DataFrame, actions: DataFrame, late: str = "1 minute", buckets: int = 1) -> DataFrame:
@@ -221,8 +266,8 @@ def routed_stream(ticks: DataFrame, actions: DataFrame, late: str = "1 minute",
     ticks go to each, so that a symbol that all want isn't one key.
     """
     does = F.when(F.col("action") == "subscribe", 1).when(F.col("action") == "unsubscribe", 0).otherwise(-1).cast("long")
-    a = actions.select("broker", "symbol", F.pmod(F.xxhash64("client"), F.lit(buckets)).alias("bucket"), "ts", micros("ts").alias("at"), "seq", "client", does.alias("action"), F.lit(None).cast("double").alias("price"))
-    t = ticks.select("broker", "symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"), "ts", micros("ts"), "seq", F.lit(None).cast("string"), F.lit(None).cast("long"), "price")
-    rows = a.union(t).withWatermark("ts", late).groupBy("broker", "symbol", "bucket")
-    spans = rows.transformWithStateInPandas(Router(), "broker string, symbol string, client string, seq array<long>, timestamp array<long>, price array<double>", "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("client"), F.lit(buckets)).alias("bucket")
+    a = actions.select("broker", "symbol", bucket, micros("ts").alias("at"), "seq", "client", does.alias("action"), F.lit(None).cast("double").alias("price"))
+    t = ticks.select("broker", "symbol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"), micros("ts"), "seq", F.lit(None).cast("string"), F.lit(None).cast("long"), "price")
+    spans = in_order(a.union(t), ["broker", "symbol", "bucket"], Router(), late, "broker string, symbol string, client string, seq array<long>, timestamp array<long>, price array<double>")
     return spans.select("broker", "symbol", "client", F.inline(F.arrays_zip("seq", "timestamp", "price")))
