@@ -202,3 +202,31 @@ def test_actions_and_ticks_of_one_millisecond(spark, rocks, tmp_path):
     t = landed(spark, ticks, "broker string, symbol string, seq long, price double, ts timestamp", tmp_path / "t")
     got = run(ordered.routed_stream(t, a, "60 seconds", 2), tmp_path)
     assert sorted((r.client, r.seq, r.price) for r in got.collect()) == [("c1", 3, 3.0), ("c2", 1, 1.0), ("c2", 2, 2.0), ("c2", 3, 3.0), ("c2", 4, 4.0)]
+
+
+def test_router_against_one_pass(monkeypatch):
+    """Ticks, actions and watermarks in any pieces give what one pass over all of them in order gives, and no call to the state for a row."""
+    monkeypatch.setattr(ordered, "PIECE", 50)
+    monkeypatch.setattr(ordered, "OUT", 70)
+    kept, router = Kept(), ordered.Router()
+    router.init(kept)
+    rows = [(k * 37 % 401 * 1000 + k % 3, k, f"c{k % 4}", (k * k + k // 7) % 3 - 1, None) if k % 3 == 0 else (k * 37 % 401 * 1000 + k % 3, k, None, None, k / 2) for k in range(401)]
+    got, timer = [], 0
+    for passed in (100, 250, 400, 500):
+        part = [r for r in rows if (passed - 150) * 1000 < r[0] <= passed * 1000 and r[0] > timer * 1000] if passed > 100 else [r for r in rows if r[0] <= 100_000]
+        frame = pd.DataFrame(part, columns=router.schema.names).astype({"action": "Int64"}).assign(broker="s")
+        come = ordered.pieces_of([pa.RecordBatch.from_pandas(frame, preserve_index=False)], ["broker"], router.schema) if part else iter(())
+        list(router.handleInputRows(("s", "A", 0), (b.to_pandas() for b in come), None))
+        kept.timers = {t for t in kept.timers if t > passed}
+        for f in router.handleExpiredTimer(("s", "A", 0), At(passed), At(0)):
+            got += [(c, int(s), float(p)) for c, seq, price in zip(f["client"], f["seq"], f["price"]) for s, p in zip(seq, price)]
+        timer = passed
+    want, on = [], set()
+    for _, seq, client, action, price in sorted(rows, key=lambda r: (r[0], r[1])):
+        if client is None:
+            want += [(c, seq, price) for c in on]
+        elif action == 1:
+            on.add(client)
+        elif action == 0:
+            on.discard(client)
+    assert sorted(got) == sorted(want) and len(want) > 100 and kept.calls < 120
